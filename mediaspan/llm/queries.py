@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaspan.llm import decontaminate, language, minhash, packing
+from mediaspan.llm import decontaminate, embeddings, language, minhash, packing, urls
 
 #: The byte-level vocabulary, read as ranks: the ids are those of byte_bpe_50k.json.
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -35,6 +35,18 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(spark, docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+#: Rules of op8: (verdict, host, path).
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark, _table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
+
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.minhash_groups(spark, _table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
