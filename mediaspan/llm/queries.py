@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaspan.llm import decontaminate, embeddings, language, minhash, packing, urls
+from mediaspan.llm import counts, decontaminate, embeddings, language, lines, minhash, packing, pii, urls
+from mediaspan.plans.workspace import Workspace
 
 #: The byte-level vocabulary, read as ranks: the ids are those of byte_bpe_50k.json.
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -29,12 +30,57 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+#: The secret of op3's surrogates; a deployment passes its own.
+SURROGATE_KEY = "mediaspan-demo-key"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(spark, docs, SURROGATE_KEY)
+
+
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_repeated_units(spark, _table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["first"].cast("string"), s["last"].cast("string"))), ",")
+    return found.select("doc_id", "text", "n_units", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"))
+
+
+_OP4_SQL = """
+with units as (
+    select doc_id, pos, unit, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as norm
+    from (select doc_id, unnest(string_split(text, chr(10))) as unit, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)
+), placed as (
+    select *, cast(coalesce(sum(length(unit) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as bigint) as start,
+        length(norm) > 0 and length(norm) - length(replace(norm, ' ', '')) >= 4 and row_number() over (partition by norm order by doc_id, pos) > 1 as gone
+    from units
+), docs as (
+    select doc_id, coalesce(string_agg(unit, chr(10) order by pos) filter (where not gone), '') as text, count(*) as n_units, count(*) filter (where gone) as n_removed,
+        coalesce(string_agg(start || '-' || (start + length(unit)), ',' order by pos) filter (where gone), '') as removed_spans
+    from placed group by doc_id
+)
+select d.doc_id, docs.text, cast(coalesce(docs.n_units, 0) as bigint) as n_units, cast(coalesce(docs.n_removed, 0) as bigint) as n_removed, coalesce(docs.removed_spans, '') as removed_spans
+from documents d left join docs using (doc_id)
+"""
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
     model = language.learn(spark, docs.where("not held_out"))
     return language.identify(spark, docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted; those of low quality are then deleted, toxic ones revised to a text without digits; the last batch is sent twice."""
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    ledger = counts.TokenLedger(spark, Workspace(spark, "ledger").root)
+    ledger.apply("0-load", inserts=counts.count_tokens(docs, TOKENIZER))
+    toxic = docs.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", "[0-9]", ""))
+    changes = {"deletes": labels.where("quality = 0"), "revised": counts.count_tokens(toxic, TOKENIZER)}
+    for _ in range(2):
+        ledger.apply("1-review", **changes)
+    return ledger.totals()
+
+
 #: Rules of op8: (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -57,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_lines": _OP4_SQL}
