@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,9 @@ N_HASHES = LEFT[0] * LEFT[1] + RIGHT[0] * RIGHT[1]
 #: Ids above this count are joined by a shuffle instead of a broadcast (16 bytes each).
 BROADCAST_IDS = 1_000_000
 
+#: Components of this many sets are compared in blocks of so many.
+BIG, BLOCK = 16, 256
+
 _rng = np.random.default_rng(20240901)
 _XOR = _rng.integers(0, 2**63, N_HASHES, dtype=np.uint64)
 _MUL = _rng.integers(0, 2**63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,21 +120,61 @@ def _sets(size: int):
     return run
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, size: int, percent: int, work: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = work.table(ids, f"{name}-ids")
+def _sets_of(ids: DataFrame, docs: DataFrame, size: int, work: Workspace, name: str) -> DataFrame:
+    """(id, shingles) of the documents with these ids."""
+    ids = work.table(ids.distinct(), f"{name}-ids")
     small = ids.count() <= BROADCAST_IDS
     chosen = docs.join(F.broadcast(ids) if small else ids, "id", "left_semi")
-    sets = work.table(chosen.mapInArrow(_sets(size), "id long, shingles array<long>"), f"{name}-sets")
+    return work.table(chosen.mapInArrow(_sets(size), "id long, shingles array<long>"), f"{name}-sets")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike enough."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     met = pairs.join(left, "a").join(right, "b").withColumn("both", both)
-    ok = met.where(F.col("both") * 100 >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("both")))
-    links = work.table(ok.select("a", "b"), f"{name}-links")
-    work.drop(f"{name}-sets", f"{name}-ids")
-    return links
+    return met.where(F.col("both") * 100 >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+
+
+def _cross_links(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A spanning star of every group of linked sets of a block pair; intersections are products of membership matrices."""
+        sides = [pdf[pdf["side"] == k] for k in (0, 1)]
+        if not all(map(len, sides)):
+            return pd.DataFrame({"a": [], "b": []})
+        sizes = [side["shingles"].map(len).to_numpy() for side in sides]
+        flat = [np.concatenate(side["shingles"].to_numpy()) for side in sides]
+        shared = np.intersect1d(*flat)
+        both = np.zeros((len(sides[0]), len(sides[1])), dtype=np.float32)
+        places = []
+        for f, n in zip(flat, sizes, strict=True):
+            at = np.minimum(np.searchsorted(shared, f), max(len(shared) - 1, 0))
+            ok = shared[at] == f if len(shared) else np.zeros(len(f), bool)
+            places.append((np.repeat(np.arange(len(n)), n)[ok], at[ok]))
+        for low in range(0, len(shared), 4096):
+            m = []
+            for (row, at), n in zip(places, sizes, strict=True):
+                here = (at >= low) & (at < low + 4096)
+                block = np.zeros((len(n), 4096), dtype=np.float32)
+                block[row[here], at[here] - low] = 1
+                m.append(block)
+            both += m[0] @ m[1].T
+        both = both.astype(np.int64)
+        link = both * (100 + percent) >= percent * (sizes[0][:, None] + sizes[1][None, :])
+        rows, cols = np.flatnonzero(link.any(axis=1)), np.flatnonzero(link.any(axis=0))
+        link, top = link[np.ix_(rows, cols)], np.iinfo(np.int64).max
+        ids = sides[0]["id"].to_numpy()[rows], sides[1]["id"].to_numpy()[cols]
+        low = ids[0].copy(), ids[1].copy()
+        while len(rows):
+            a = np.minimum(low[0], np.where(link, low[1][None, :], top).min(axis=1))
+            b = np.minimum(low[1], np.where(link, a[:, None], top).min(axis=0))
+            if (a == low[0]).all() and (b == low[1]).all():
+                break
+            low = a, b
+        return pd.DataFrame({"a": np.concatenate(ids), "b": np.concatenate(low)})
+
+    return run
 
 
 def minhash_groups(spark: SparkSession, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -159,8 +203,10 @@ def minhash_groups(spark: SparkSession, documents: DataFrame, doc_id: str = "doc
     sigs = reps.select(F.col("rep").alias("id"), "n", "bits")
     led = keyed.join(leaders, "key").where("id <> b").groupBy("id", "b").agg(F.count("*").alias("tables"))
     led = _alike(led.withColumnRenamed("id", "a"), sigs, percent)
-    best = led.groupBy("a").agg(F.min_by("b", F.struct("far", (-F.col("tables")).alias("t"), "b")).alias("b"))
-    links = _checked(work.table(best, "best"), docs, shingle, percent, work, "first")
+    led = work.table(led.select("a", "b"), "led")
+    sets = _sets_of(led.select(F.col("a").alias("id")).union(led.select("b")), docs, shingle, work, "first")
+    links = work.table(_checked(led, sets, percent), "first-links")
+    work.drop("first-sets", "led")
     labels = connected_components(links, "a", "b", work, "cc1")
 
     # What is left: pairs that share a key and lie in different components.
@@ -169,11 +215,33 @@ def minhash_groups(spark: SparkSession, documents: DataFrame, doc_id: str = "doc
     open_keys = full.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
     open_rows = work.table(full.join(open_keys, "key"), "open")
     work.drop("labelled")
-    x = open_rows.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("c").alias("ca"))
-    y = open_rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("c").alias("cb"))
+    sizes = labels.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") >= BIG)
+    big = work.table(sizes.withColumnRenamed("component", "c"), "big")
+    marked = work.table(open_rows.join(big, "c", "left"), "marked")
+    # Outsiders that share a key with a large component meet it, and one another, in blocks, which return links only.
+    inside = marked.where("members is not null").groupBy("key", "c").agg(F.max("members").alias("m")).withColumnRenamed("c", "group")
+    met = marked.join(inside, "key").where((F.col("c") != F.col("group")) & (F.col("members").isNull() | (F.col("c") < F.col("group"))))
+    guests = work.table(met.groupBy("group", "id").agg(F.max("m").alias("m")), "guests")
+    small = marked.join(inside.select("key").distinct(), "key", "left_anti")
+    x = small.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("c").alias("ca"))
+    y = small.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("c").alias("cb"))
     may = (F.col("ca") < F.col("cb")) & _near("na", "nb", "ba", "bb", percent)
-    rest = x.join(y, [x["key"] == y["key"], may]).groupBy("a", "b").agg(F.count("*").alias("tables")).select("a", "b")
-    more = _checked(work.table(rest, "rest"), docs, shingle, percent, work, "second")
+    rest = work.table(x.join(y, [x["key"] == y["key"], may]).groupBy("a", "b").agg(F.count("*").alias("tables")).select("a", "b"), "rest")
+    invited = guests.groupBy("group").agg(F.count("*").alias("q"), (F.max("m") + F.count("*")).alias("m"))
+    hosts = labels.join(invited, F.col("component") == F.col("group")).select("group", F.col("node").alias("id"), "m", "q")
+    hosts = work.table(hosts.union(guests.select("group", "id").join(invited, "group").select("group", "id", "m", "q")), "hosts")
+    wanted = rest.select(F.col("a").alias("id")).union(rest.select("b")).union(guests.select("id")).union(hosts.select("id"))
+    sets = _sets_of(wanted, docs, shingle, work, "second")
+    guests = guests.drop("m").join(invited, "group").join(sets, "id").withColumn("side", F.lit(1))
+    dealt = hosts.join(sets, "id").withColumn("side", F.lit(0)).unionByName(guests.select("group", "id", "m", "q", "shingles", "side"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, blocks("m")).otherwise(blocks("q"))).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, blocks("q")).otherwise(blocks("m")) - 1))
+    dealt = dealt.withColumn("mine", mine).withColumn("other", others)
+    host = F.col("side") == 0
+    dealt = dealt.select("group", F.when(host, F.col("mine")).otherwise(F.col("other")).alias("i"), F.when(host, F.col("other")).otherwise(F.col("mine")).alias("j"), "side", "id", "shingles")
+    crossed = dealt.groupBy("group", "i", "j").applyInPandas(_cross_links(percent), "a long, b long")
+    more = work.table(_checked(rest, sets, percent).union(crossed), "second-links")
     # New links join whole components, so only their labels need joining.
     joined = more.join(labels.select(F.col("node").alias("a"), F.col("component").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("lb")), "b", "left")
     bridges = joined.select(F.coalesce("la", "a").alias("x"), F.coalesce("lb", "b").alias("y")).distinct()
@@ -181,7 +249,7 @@ def minhash_groups(spark: SparkSession, documents: DataFrame, doc_id: str = "doc
     every = labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     fresh = merged.join(labels, "node", "left_anti")
     final = work.table(every.union(fresh.select("node", "component")), "components")
-    work.drop("keyed", "open", "rest", "best")
+    work.drop("keyed", "open", "marked", "rest", "hosts", "guests", "second-sets")
 
     found = signed.select("id", "n", "h1", "h2").join(reps.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left")
     found = found.join(final.withColumnRenamed("node", "rep"), "rep", "left")
