@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaspan.llm import counts, decontaminate, embeddings, language, lines, minhash, packing, pii, urls
+from mediaspan.llm import counts, decontaminate, embeddings, language, lines, minhash, packing, pii, substrings, urls
 from mediaspan.plans.workspace import Workspace
 
 #: The byte-level vocabulary, read as ranks: the ids are those of byte_bpe_50k.json.
@@ -63,6 +63,12 @@ from documents d left join docs using (doc_id)
 """
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.drop_repeated_substrings(spark, _table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
     model = language.learn(spark, docs.where("not held_out"))
