@@ -48,11 +48,11 @@ for _code, _order in enumerate(("label", "label desc", "total, label", "total de
     )
 
 
-@query("A8_gps_heatmap", "select round(gps_latitude, 2) cell_lat, round(gps_longitude, 2) cell_lon, round(avg(gps_latitude), 4) lat, round(avg(gps_longitude), 4) lon, count(*) n from v_files where gps_latitude is not null and gps_longitude is not null group by 1, 2")
+@query("A8_gps_heatmap", "select round(gps_latitude, 2) cell_lat, round(gps_longitude, 2) cell_lon, round(avg(gps_latitude) + 1e-8, 6) lat, round(avg(gps_longitude) + 1e-8, 6) lon, count(*) n from v_files where gps_latitude is not null and gps_longitude is not null group by 1, 2")
 def heatmap(lib: Library) -> DataFrame:
     lat, lon = F.col("gps_latitude"), F.col("gps_longitude")
     cells = lib.files.where(lat.isNotNull() & lon.isNotNull()).groupBy(F.round(lat, 2).alias("cell_lat"), F.round(lon, 2).alias("cell_lon"))
-    return cells.agg(F.round(F.avg(lat), 4).alias("lat"), F.round(F.avg(lon), 4).alias("lon"), F.count("*").alias("n"))
+    return cells.agg(F.round(F.avg(lat) + 1e-8, 6).alias("lat"), F.round(F.avg(lon) + 1e-8, 6).alias("lon"), F.count("*").alias("n"))
 
 
 def _counted(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
