@@ -29,7 +29,7 @@ from mediaspan.plans.workspace import Workspace
 
 GRAM = 24
 #: Names with more contexts than this are compared window by window.
-FREQUENT = 2048
+FREQUENT = 64
 _LOW = np.uint64((1 << 24) - 1)
 
 
