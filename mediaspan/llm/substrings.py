@@ -12,7 +12,8 @@ the context. Nothing but hashes of 64 bits is compared.
 
 Copies of whole texts are set aside first. No name's group meets in one task
 unless it is small: minima combine before the shuffle, joins are plain equi-joins,
-and the contexts of a frequent name are compared by window instead.
+and the contexts of a frequent name are dealt to salted groups, each of which
+puts forward only its first occurrence of a window.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from mediaspan.llm import textbytes as tb
 from mediaspan.plans.workspace import Workspace
 
 GRAM = 24
-#: Names with more contexts than this are compared window by window.
+#: Names with more contexts than this are dealt to groups of about this many.
 FREQUENT = 64
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -78,27 +79,24 @@ def _samples(length: int):
     return run
 
 
-def _contexts(length: int, by_window: bool):
-    """The bytes of the listed contexts of each row, or a hash of each of their windows."""
+def _contexts(length: int):
+    """The bytes of the listed contexts of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids, lists = batch.column(1).cast(pa.binary()), batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for r, (one, spans) in enumerate(zip(ids, lists, strict=True)):
                 text = texts[r].as_py()
-                out_id = [one] * len(spans)
-                if not by_window:
-                    yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array([s["first"] for s in spans], pa.int32()), pa.array([s["name"] for s in spans], pa.int64()), pa.array([text[s["first"] : s["last"] + length] for s in spans], pa.binary())], ["id", "first", "name", "body"])
-                    continue
-                sums = tb.prefix_sums(np.frombuffer(text, np.uint8), tb.BASES[0])
-                where = np.concatenate([np.arange(s["first"], s["last"] + 1) for s in spans])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), one)), pa.array(where.astype(np.int32)), pa.array(tb.range_hash(sums, where, where + length, tb.BASES[0]).view(np.int64))], ["id", "first", "window"])
+                column = lambda key, kind: pa.array([s[key] for s in spans], kind)  # noqa: E731, B023
+                bodies = pa.array([text[s["first"] : s["last"] + length] for s in spans], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([one] * len(spans), pa.int64()), column("first", pa.int32()), column("name", pa.int64()), column("salt", pa.int32()), column("hot", pa.bool_()), bodies], ["id", "first", "name", "salt", "hot", "body"])
 
     return run
 
 
 def _later(length: int):
-    """(id, first, last) runs of windows that occur earlier, among rows sorted by name; a name's rows stay together."""
+    """Of rows sorted by name and salt, whose groups stay together: (id, first, last) runs of windows that
+    occur earlier in the group; and, of names in several groups, the group's first occurrence of each window."""
 
     def ranges(rows: pa.Table) -> pa.RecordBatch:
         ids, first = rows.column("id").to_numpy(), rows.column("first").to_numpy().astype(np.int64)
@@ -110,16 +108,24 @@ def _later(length: int):
         inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         start = (np.cumsum(sizes) - sizes)[row] + inner
         window = tb.range_hash(sums, start, start + length, tb.BASES[0])
-        doc, place = ids[row], first[row] + inner
+        doc, place, hot = ids[row], first[row] + inner, rows.column("hot").to_numpy()[row]
         order = np.lexsort((place, doc, window))
-        window, doc, place = window[order], doc[order], place[order]
+        window, doc, place, hot = window[order], doc[order], place[order], hot[order]
         again = np.concatenate([[False], window[1:] == window[:-1]])
+        open_ = ~again & hot
+        open_doc, open_place, open_window = doc[open_], place[open_], window[open_].view(np.int64)
         doc, place = doc[again], place[again]
         order = np.lexsort((place, doc))
         doc, place = doc[order], place[order]
         cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)])) if len(doc) else np.zeros(0, int)
         tail = np.concatenate([cut[1:] - 1, [len(doc) - 1]]) if len(doc) else cut
-        return pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(place[cut].astype(np.int32)), pa.array(place[tail].astype(np.int32))], ["id", "first", "last"])
+        columns = [
+            pa.array(np.concatenate([doc[cut], open_doc])),
+            pa.array(np.concatenate([place[cut], open_place]).astype(np.int32)),
+            pa.array(np.concatenate([place[tail], open_place]).astype(np.int32)),
+            pa.concat_arrays([pa.nulls(len(cut), pa.int64()), pa.array(open_window)]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["id", "first", "last", "window"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -129,8 +135,8 @@ def _later(length: int):
             if n < 20_000:
                 continue
             rows = pa.Table.from_batches(held)
-            names = rows.column("name").to_numpy()
-            whole = int(np.flatnonzero(names != names[-1]).max(initial=-1)) + 1
+            names, salts = rows.column("name").to_numpy(), rows.column("salt").to_numpy()
+            whole = int(np.flatnonzero((names != names[-1]) | (salts != salts[-1])).max(initial=-1)) + 1
             if whole:
                 yield ranges(rows.slice(0, whole))
             held, n = rows.slice(whole).to_batches(), rows.num_rows - whole
@@ -190,18 +196,19 @@ def drop_repeated_substrings(spark: SparkSession, documents: DataFrame, doc_id:
 
     # Names with several contexts: windows of different contexts may still be equal.
     several = work.table(earliest.groupBy("name").agg(F.count("*").alias("m")).where("m > 1"), "several")
-    mixed = earliest.join(several, "name").select(F.col("start.id").alias("id"), F.col("start.first").alias("first"), "last", "name", (F.col("m") > FREQUENT).alias("hot"))
-    listed = work.table(mixed.groupBy("id", "hot").agg(F.collect_list(F.struct("first", "last", "name")).alias("spans")), "listed")
-    bodies = lambda hot: single.join(listed.where("hot" if hot else "not hot").drop("hot"), "id").select("id", "text", "spans")
-    few = bodies(False).mapInArrow(_contexts(length, False), "id long, first int, name long, body binary")
-    few = few.repartition("name").sortWithinPartitions("name").mapInArrow(_later(length), "id long, first int, last int")
-    found = late.unionByName(few)
-    if listed.where("hot").limit(1).count():
-        windows = work.table(bodies(True).mapInArrow(_contexts(length, True), "id long, first int, window long"), "windows")
-        known = windows.groupBy("window").agg(F.min(place).alias("start"), F.count("*").alias("n")).where("n > 1")
-        many = windows.join(known, "window").where((F.col("id") != F.col("start.id")) | (F.col("first") != F.col("start.first")))
-        found = found.unionByName(many.select("id", "first", F.col("first").alias("last")))
+    hot = F.col("m") > FREQUENT
+    salt = F.when(hot, F.pmod(F.xxhash64("start.id", "start.first"), F.ceil(F.col("m") / FREQUENT))).otherwise(0).cast("int")
+    mixed = earliest.join(several, "name").select(F.col("start.id").alias("id"), F.col("start.first").alias("first"), "last", "name", salt.alias("salt"), hot.alias("hot"))
+    listed = work.table(mixed.groupBy("id").agg(F.collect_list(F.struct("first", "last", "name", "salt", "hot")).alias("spans")), "listed")
+    bodies = single.join(listed, "id").select("id", "text", "spans").mapInArrow(_contexts(length), "id long, first int, name long, salt int, hot boolean, body binary")
+    compared = bodies.repartition("name", "salt").sortWithinPartitions("name", "salt").mapInArrow(_later(length), "id long, first int, last int, window long")
+    compared = work.table(compared, "compared")
+    # Each group of a frequent name has put forward its first of each window: the least of these is the first of all.
+    windows = compared.where("window is not null")
+    known = windows.groupBy("window").agg(F.min(place).alias("start"), F.count("*").alias("n")).where("n > 1")
+    many = windows.join(known, "window").where((F.col("id") != F.col("start.id")) | (F.col("first") != F.col("start.first")))
+    found = late.unionByName(compared.where("window is null").drop("window")).unionByName(many.select("id", "first", "last"))
     runs = work.table(found.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
-    work.drop("shared", "earliest", "listed")
+    work.drop("shared", "earliest", "listed", "compared")
     marks = runs.withColumn("copy", F.lit(False)).unionByName(copies.distinct().select("id", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"), F.lit(True).alias("copy")))
     return docs.join(marks, "id", "left").select("id", "text", "copy", "runs").mapInArrow(_cut(length), "doc_id long, kept binary, n_bytes long, removed array<struct<first:long,last:long>>")
