@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from mediaspan.operators import cluster, dedup, dynamic, facets, library, vectors  # noqa: F401
+from mediaspan.operators import cluster, dedup, dynamic, facets, library, scalars, vectors  # noqa: F401
 from mediaspan.plans import rules
 from mediaspan.plans.catalog import Library
 from mediaspan.plans.components import connected_components
