@@ -36,6 +36,25 @@ def count_tokens(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", t
     return counted.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), "tokens")
 
 
+#: Bits of the map of hashed ids: 8 MB, however many ids there are.
+ID_BITS = 1 << 26
+
+
+def may_be_among(documents: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The documents whose hashed id is marked by one of ids (doc_id), found without a shuffle of texts.
+
+    Documents of other ids with an equal hash come along; an exact join on the
+    slim rows that are made of them has to follow. The bitmaps are at most
+    2048 rows of 4 KB, so they are broadcast at any size. Null ids go.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(ID_BITS)) + 1
+    marks = ids.where("doc_id is not null").select(place("doc_id").alias("_at"))
+    maps = marks.groupBy(F.bitmap_bucket_number("_at").alias("_map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    placed = documents.where(F.col(doc_id).isNotNull()).withColumn("_at", place(doc_id)).withColumn("_map", F.bitmap_bucket_number("_at"))
+    marked = F.expr("getbit(cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(_at) % 8 as int)) = 1")
+    return placed.join(F.broadcast(maps), "_map").where(marked).select(*documents.columns)
+
+
 class TokenLedger:
     """Additive totals by source, language and tokenizer version."""
 

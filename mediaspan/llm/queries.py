@@ -80,8 +80,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
     ledger = counts.TokenLedger(spark, Workspace(spark, "ledger").root)
     ledger.apply("0-load", inserts=counts.count_tokens(docs, TOKENIZER))
-    toxic = docs.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", "[0-9]", ""))
-    changes = {"deletes": labels.where("quality = 0"), "revised": counts.count_tokens(toxic, TOKENIZER)}
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    changed = counts.may_be_among(docs, toxic).withColumn("text", F.regexp_replace("text", "[0-9]", ""))
+    changes = {"deletes": labels.where("quality = 0"), "revised": counts.count_tokens(changed, TOKENIZER).join(toxic, "doc_id", "left_semi")}
     for _ in range(2):
         ledger.apply("1-review", **changes)
     return ledger.totals()

@@ -262,6 +262,15 @@ def test_token_counts(spark, tmp_path, docs):
     assert got == {(s, la): (n, want[s, la, "tokens"]) for (s, la, k), n in want.items() if k == "docs"}
 
 
+def test_marked_ids_hold_all_that_are_asked_for(spark, real):
+    ids = real.where("doc_id % 7 = 3").select("doc_id")
+    want = {r.doc_id for r in ids.collect()}
+    got = {r.doc_id for r in counts.may_be_among(real, ids.union(ids).union(spark.createDataFrame([(None,)], "doc_id long"))).collect()}
+    assert want <= got and len(got) < len(want) + 10
+    assert counts.may_be_among(real, ids.limit(0)).count() == 0
+    assert counts.may_be_among(real.limit(0), ids).columns == real.columns
+
+
 def test_url_rules_and_verdicts(spark):
     cases = {
         "http://A.B.net/x": ("a.b.net", "/x", "net/", "block"),
