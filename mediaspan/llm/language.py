@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from mediaspan.llm import textbytes as tb
 
 BUCKETS = 1 << 16
-SLICE = 1 << 22
+#: Bytes of text that are scored at a time; about 60 bytes of memory for each.
+SLICE = 1 << 20
 #: Bytes of words: ASCII letters and all of non-ASCII.
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = True
@@ -46,7 +47,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lang, rows in batch.groupby("lang"):
             total = counts.setdefault(lang, np.zeros(BUCKETS + SCRIPTS, dtype=np.int64))
-            for _, _, data, at in tb.slices(pa.array(rows["text"], pa.string())):
+            for _, _, data, at in tb.slices(pa.array(rows["text"], pa.string()), SLICE):
                 w = tb.words(data, at, _LETTERS)
                 total[:BUCKETS] += np.bincount(_codes(w, data)[_LETTERS[data]], minlength=BUCKETS)
                 seen = _SCRIPT[data]
