@@ -40,7 +40,15 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.drop_repeated_units(spark, _table(spark, sf_dir, "documents"))
+    return _with_spans(lines.drop_repeated_units(spark, _table(spark, sf_dir, "documents")))
+
+
+def op4_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op4_lines, but every line that is not blank counts, however short."""
+    return _with_spans(lines.drop_repeated_units(spark, _table(spark, sf_dir, "documents"), min_words=1))
+
+
+def _with_spans(found: DataFrame) -> DataFrame:
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["first"].cast("string"), s["last"].cast("string"))), ",")
     return found.select("doc_id", "text", "n_units", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"))
 
@@ -63,6 +71,24 @@ from documents d left join docs using (doc_id)
 """
 
 
+_OP4_ALL_SQL = """
+with units as (
+    select doc_id, pos, unit, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as norm
+    from (select doc_id, unnest(string_split(text, chr(10))) as unit, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)
+), placed as (
+    select *, cast(coalesce(sum(length(unit) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as bigint) as start,
+        length(norm) > 0 and row_number() over (partition by norm order by doc_id, pos) > 1 as gone
+    from units
+), docs as (
+    select doc_id, coalesce(string_agg(unit, chr(10) order by pos) filter (where not gone), '') as text, count(*) as n_units, count(*) filter (where gone) as n_removed,
+        coalesce(string_agg(start || '-' || (start + length(unit)), ',' order by pos) filter (where gone), '') as removed_spans
+    from placed group by doc_id
+)
+select d.doc_id, docs.text, cast(coalesce(docs.n_units, 0) as bigint) as n_units, cast(coalesce(docs.n_removed, 0) as bigint) as n_removed, coalesce(docs.removed_spans, '') as removed_spans
+from documents d left join docs using (doc_id)
+"""
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.drop_repeated_substrings(spark, _table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
@@ -110,4 +136,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lines": _OP4_SQL}
+    return {"op4_lines": _OP4_SQL, "op4_all_lines": _OP4_ALL_SQL}

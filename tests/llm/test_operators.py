@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediaspan.llm import counts, decontaminate, embeddings, language, lines, minhash, packing, pii, substrings, urls
-from mediaspan.llm.queries import RULES, TOKENIZER
+from mediaspan.llm.queries import RULES, TOKENIZER, oracle_sql, queries
 from mediaspan.llm.tokens import encoder
 
 FOLDER = "/root/testdata/sf0.001"
@@ -179,6 +179,23 @@ def test_lines(spark, table):
         assert [t[s.first : s.last] for s in got[i].removed] == [units[s.unit] for s in got[i].removed]
 
 
+def test_all_lines_takes_short_lines_and_lines_without_blanks(spark):
+    rows = [(1, "les.\n你好世界这是一行没有空格的文字\n\nhttps://a.net/x/y"), (2, "Les.\n你好世界这是一行没有空格的文字\n\nnew"), (3, "https://a.net/x/y\n les. \n"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert texts(lines.drop_repeated_units(spark, df, min_words=1)) == {1: rows[0][1], 2: "\nnew", 3: "", 4: None}
+
+
+def test_all_lines_equals_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{FOLDER}/documents.parquet'")
+    got = sorted(tuple(r) for r in queries()["op4_all_lines"](spark, FOLDER).collect())
+    want = sorted(con.sql(oracle_sql()["op4_all_lines"]).fetchall())
+    assert got == want
+    assert sum(r[3] for r in got) > sum(r.n_removed for r in queries()["op4_lines"](spark, FOLDER).collect())
+
+
 def test_substrings(spark, table):
     got = {r.doc_id: r for r in substrings.drop_repeated_substrings(spark, table).collect()}
     seen = set()
