@@ -25,6 +25,17 @@ FEMALE_NAMES = ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "
 
 _TOKEN = r"\p{Lu}[\p{L}'-]+"
 _ANY_TITLE = "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
+# 13 to 19 digits: the issuers' first digits where nothing else tells a card from a count of milliseconds or an ISBN.
+CARD = r"(?:[2-6]\d{12,18}|1\d{14}|\d{16}|(?:\d{4}(?<gap>[ -])\d{4}\k<gap>\d{4}\k<gap>\d{4}(?:\k<gap>\d{1,3}(?![\d-]|\.\d))?|[3-6]\d{3}(?<gap2>[ -])(?:\d{4}\k<gap2>\d{4}\k<gap2>\d{1,3}|\d{6}\k<gap2>\d{4,5})))"
+# National numbers: three, three and four digits; the Russian form; a trunk 0 and nine digits or more, but no date; any number after a word for telephone.
+NATIONAL = "|".join(
+    [
+        r"(?<![\w.+-])(?:1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])",
+        r"(?<![\w.+-])8[ -]?\(?\d{3}\)?[ -]?\d{3}-\d{2}-\d{2}(?![\w-])",
+        r"(?<![\w.,+-])(?=\(?0(?:[ ./()-]{0,3}\d){8})(?!\d{1,2}(?<sep>[./-])\d{1,2}\k<sep>\d{4}(?!\d))(?:0\d{8,13}|\(?0\d{1,5}\)?(?:[ ./-]{1,3}\d{2,8}){1,5})(?![\w-])",
+        r"(?=[(\d])(?<=\b(?:[Tt]el|[Tt]elefon|[Pp]hone|[Mm]obile|[Tt]eléfono|[Tt]éléphone|тел)[.:]{0,2} {0,2})\(?\d[\d ./()-]{4,16}\d(?![\w-])",
+    ]
+)
 MENTION = "|".join(
     [
         r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -32,9 +43,11 @@ MENTION = "|".join(
         r"\b(?:password|passwd|secret|token|api_key)\s{0,2}[=:]\s{0,2}[\"']?[^\s\"',;]{8,}",
         r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d)(?!\.\d)",
         r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)",
-        r"(?<![\d-])\d{4}(?<gap>[ -]?)\d{4}\k<gap>\d{4}\k<gap>\d{4}(?![\d-])",
+        rf"(?<![\d-]){CARD}(?![\d-])",
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-        r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}\b",
+        r"\b(?:MU|SC)\d{2}(?: ?[A-Z0-9]{4}){6} ?[A-Z0-9]{2,3}\b",
+        r"\b[A-Z]{2}\d{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?:[A-Z0-9]{1,3}| (?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})\b",
+        NATIONAL,
         rf"(?<!\p{{L}})(?:{_ANY_TITLE})\.? {_TOKEN}(?: {_TOKEN}){{0,2}}",
         rf"(?<!\p{{L}})(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)}) {_TOKEN}",
     ]
@@ -55,11 +68,12 @@ def kind_of(m: Column) -> Column:
         F.when(m.contains("@"), "email")
         .when(m.rlike(_SECRET_HEAD), "secret")
         .when(m.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$"), "key")
-        .when(m.rlike(r"^\d+\.\d+\."), "ip")
+        .when(m.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
         .when(m.startswith("+"), "phone")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(r"^[A-Z]{2}\d{2}"), "iban")
-        .when(m.rlike(r"^\d"), "card")
+        .when(m.rlike(f"^{CARD}$"), "card")
+        .when(m.rlike(r"^[(\d]"), "phone")
         .otherwise("name")
     )
 
@@ -102,11 +116,14 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     pick = lambda alphabet, i: F.substring(F.lit(alphabet), F.pmod(byte(i), F.lit(len(alphabet))) + 1, F.lit(1))
     digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     hexed = value.rlike("^[0-9a-f]+$")
-    by_class = lambda c, i: F.when(c.rlike("[0-9]") | ((c <= "f") & (c >= "a") & hexed), F.when(hexed & (kind == "secret"), pick("0123456789abcdef", i)).otherwise(pick(digits, i))).when(c.rlike("[a-z]"), pick(lower, i)).when(c.rlike("[A-Z]"), pick(upper, i)).otherwise(c)
+    # A secret without a letter or digit, or with too few to be told apart, is drawn anew throughout.
+    anew = (kind == "secret") & (~value.rlike(r"[\p{L}\p{N}]") | (attempt >= 4))
+    by_class = lambda c, i: F.when(anew | ((kind == "secret") & c.rlike(r"[\p{L}\p{N}&&[^0-9A-Za-z]]")), pick(lower, i)).when(c.rlike("[0-9]") | ((c <= "f") & (c >= "a") & hexed), F.when(hexed & (kind == "secret"), pick("0123456789abcdef", i)).otherwise(pick(digits, i))).when(c.rlike("[a-z]"), pick(lower, i)).when(c.rlike("[A-Z]"), pick(upper, i)).otherwise(c)
     shaped = lambda text: F.array_join(F.transform(F.split(text, ""), by_class), "")
     ip = F.concat_ws(".", (byte(F.lit(0)) % 223 + 1).cast("string"), byte(F.lit(1)).cast("string"), byte(F.lit(2)).cast("string"), (byte(F.lit(3)) % 254 + 1).cast("string"))
     top = F.concat(F.lit("."), F.substring_index(value, ".", -1))
-    email = F.concat(shaped(F.substring(value, F.lit(1), F.length(value) - F.length(top))), top)
+    more = F.when(attempt >= 4, F.array_join(F.transform(F.sequence(F.lit(4), F.greatest(attempt, F.lit(4))), lambda i: pick(lower, i)), "")).otherwise("")
+    email = F.concat(more, shaped(F.substring(value, F.lit(1), F.length(value) - F.length(top))), top)
     keep = lambda n: F.concat(F.substring(value, 1, n), F.substring(shaped(value), F.lit(n + 1), F.length(value)))
     body = F.substring(keep(1), F.lit(1), F.length(value) - 1)
     luhn = F.aggregate(

@@ -158,6 +158,31 @@ def test_surrogates(spark, docs):
     assert texts(pii.pseudonymise(spark, docs, "k")) == {i: t for i, t, *_ in ROWS}
 
 
+IBANS = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "NO9386011117947", "DE89 3704 0044 0532 0130 00", "MU17 BOMM 0101 1010 3030 0200 000M UR"]
+PHONES = ["(269) 555-3296", "269-555-3296", "1-269-555-3296", "269.555.3296", "030 12345678", "0171/1234567", "01 23 45 67 89", "020 7946 0958", "01711234567", "8 (495) 123-45-67", "612 345 678"]
+CARDS = ["378282246310005", "3782 822463 10005", "30569309025904", "4222222222222", "6304000000000000000", "4524 1322 6465 2876", "6304 0000 0000 0000 123"]
+
+
+def test_surrogates_of_ibans_national_phones_and_cards_of_all_lengths(spark):
+    whole = [(i, m, f"Tel: {m}, and on") for i, m in enumerate(IBANS + PHONES + CARDS)]
+    plain = [(100, "On 01.02.2020 12:30 or 01/02/2020, ISBN 9783161484100, 1700000000000 ms, 1990 1991 1992 12, 3.14159265 and 1,000,000."), (101, "4524 1322 6465 2876 10.20.30.40")]
+    got = texts(pii.pseudonymise(spark, spark.createDataFrame([(i, t) for i, _, t in whole] + plain, "doc_id long, text string"), "k"))
+    shape = lambda t: re.sub("[A-Z]", "A", re.sub("[0-9]", "0", t))
+    for i, m, t in whole:
+        new = got[i].removeprefix("Tel: ").removesuffix(", and on")
+        assert shape(new) == shape(m) and new[-2:] != m[-2:] or m.startswith("MU"), (m, got[i])
+        assert new[2:] != m[2:] and sum(a == b for a, b in zip(new, m, strict=True) if a.isalnum()) < 0.7 * len(m), (m, new)
+    assert got[100] == plain[0][1]
+    assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{4} \d+\.\d+\.\d+\.\d+", got[101]) and "10.20.30.40" not in got[101]
+
+
+def test_secrets_without_letters_or_digits_come_to_an_end(spark):
+    rows = ["password: ********", "token = ########", "password: парольпароль", "_@-.co"] + [f"secret: *******{i}" for i in range(10)]
+    got = texts(pii.pseudonymise(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "k"))
+    assert len(set(got.values())) == len(rows) and not set(got.values()) & set(rows)
+    assert re.fullmatch("password: [a-z]{8}", got[0]) and "пароль" not in got[2]
+
+
 def test_surrogates_stay_distinct(spark):
     names = [f"Mr. {chr(65 + i % 26)}{'abcdefghij'[i // 26 % 10]}{'klmnopqrst'[i // 260]}x" for i in range(2000)]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "doc_id long, text string")
