@@ -1,78 +1,135 @@
-"""Substring dedup by hashing lines or paragraphs.
-
-Units are normalised (A-Z lower-cased, white space collapsed, ends trimmed) and
-their digests grouped over the whole table; of each group the earliest unit by
-(document, place) stays and the others are removed, with their offsets in the
-original text. Digests combine before the shuffle, so a line in a third of all
-documents costs no more than any other; its occurrences are then found by a
-plain equi-join that adaptive execution can split.
+"""Substring dedup by hashing lines, sentences or paragraphs.
+
+A text is cut into units at its separators. Units are normalised (A-Z
+lower-cased, white space collapsed, ends trimmed) and the digests of all that
+are not blank grouped over the whole table; the earliest unit of a digest by
+(document, place) is its first. Later ones are removed where successive ones
+come to at least `min_run_words` words, so a passage that was set into another
+line goes and a short phrase that many texts share stays. Offsets count
+characters of the original text.
+
+Digests combine before the shuffle. Occurrences of hot digests, at most a
+thousand, meet a broadcast of their first places, all others a sort-merge join.
+Texts of which nothing goes are not shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mediaspan.llm.keyed import by_marks, join_counted, key_marks
 from mediaspan.plans.workspace import Workspace
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A unit ends at a newline, or at one of these, whose blank counts as the separator.
+LINES = ("\n",)
+SENTENCES = ("\n", ". ", "! ", "? ")
+#: Characters of scripts written without blanks; each counts as a word.
+UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿]")
+#: A word of more characters counts once for each so many.
+LONG_WORD = 20
+MIN_RUN_WORDS = 20
+_ROWS = 50_000
+_SPANS = "array<struct<first:long,last:long,unit:long>>"
+_UNIT = pa.schema([("doc_id", pa.int64()), ("body", pa.int64()), ("at", pa.int32()), ("unit", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("words", pa.int32()), ("digest", pa.binary())])
 
 
-def normalised(unit: Column) -> Column:
-    """Lower-cased in ASCII, runs of ASCII white space one blank, no blank at the ends."""
-    return F.trim(F.regexp_replace(F.translate(unit, UPPER, LOWER), r"[ \t\n\x0B\f\r]+", " "))
+def _parted(text: str, ends: tuple[str, ...]) -> list[str]:
+    """The units of a text; each but the last is followed by one character of separator."""
+    for end in ends:
+        text = text.replace(end, end[:-1] + "\n")
+    return text.split("\n")
 
 
-def _cut(separator: str):
+def _weight(unit: str, parts: list[bytes], norm: bytes) -> int:
+    """Words of a unit: those between blanks, characters of unspaced scripts, or twentieths of a long word."""
+    if unit.isascii():
+        return max(len(parts), len(norm) // LONG_WORD)
+    return max(len(parts), len(UNSPACED.findall(unit)), len(norm.decode()) // LONG_WORD)
+
+
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _UNIT, strict=True)]
+
+
+def _units(ends: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The kept text and the removed spans (first character, last + 1, unit number)."""
+        """A row for each unit that is not blank: its number among these and among all, its characters, words and digest."""
+        rows: list[tuple] = []
         for batch in batches:
-            texts, removed = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            kept, spans, totals = [], [], []
-            for text, gone in zip(texts, removed, strict=True):
-                units = [] if text is None else text.split(separator)
-                drop, at, stay, cut = set(gone or ()), 0, [], []
-                for i, unit in enumerate(units):
-                    if i in drop:
-                        cut.append({"first": at, "last": at + len(unit), "unit": i})
-                    else:
-                        stay.append(unit)
-                    at += len(unit) + len(separator)
-                kept.append(None if text is None else separator.join(stay))
-                spans.append(cut)
-                totals.append(len(units))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(kept, pa.string()), pa.array(totals, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("unit", pa.int64())])))],
-                ["doc_id", "text", "n_units", "removed"],
-            )
+            ids, bodies, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            for r in range(batch.num_rows):
+                at = start = 0
+                for number, unit in enumerate(_parted(texts[r].as_py(), ends)):
+                    parts = unit.encode().lower().split()
+                    if parts:
+                        norm = b" ".join(parts)
+                        rows.append((ids[r], bodies[r], at, number, start, start + len(unit), _weight(unit, parts, norm), hashlib.md5(norm).digest()))
+                        at += 1
+                        if len(rows) >= _ROWS:
+                            yield pa.RecordBatch.from_arrays(_columns(rows), schema=_UNIT)
+                            rows = []
+                    start += len(unit) + 1
+        if rows:
+            yield pa.RecordBatch.from_arrays(_columns(rows), schema=_UNIT)
 
     return run
 
 
-def drop_repeated_units(spark: SparkSession, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: str = "\n", min_words: int = 5) -> DataFrame:
+def _without(text: str, spans: list[dict]) -> str:
+    """The units that stay, each but the first after its separator."""
+    out, at = [], 0
+    for s in spans:
+        if at < s["first"]:
+            out.append(text[at : s["first"] - 1])
+        at = s["last"]
+    whole = "".join(out) + text[at:]
+    return whole[1:] if spans[0]["first"] == 0 else whole
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = [_without(text, spans) if spans else text for text, spans in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), batch.column(2), batch.column(3)], ["doc_id", "text", "n_units", "removed"])
+
+
+def drop_repeated_units(spark: SparkSession, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", ends: tuple[str, ...] = SENTENCES, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
     """(doc_id, text, n_units, removed) for every row with an id.
 
-    Units are split at the separator (a newline for lines, two for paragraphs).
-    Those of fewer than min_words words are never removed. Removed units leave
-    with their separator; offsets count characters of the original text. Null
-    text has no units and stays null. Rows that share an id count as one
-    document and lose the same units. Other columns are ignored.
+    Later units go where a run of them, blank units aside, comes to
+    min_run_words words (0: all of them go). A unit that goes takes the separator
+    before it along, or the one after it if nothing is left before; blank units
+    stay. removed lists (first, last + 1, unit) in characters and units of the
+    original text. Null text has no units and stays null; an empty one has one
+    blank unit. Of rows that share an id and differ in text the order is that of
+    a hash of the text; rows alike in both count as one and lose the same units.
+    Other columns are ignored.
     """
     work = Workspace(spark, "lines")
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    norm = normalised(F.col("unit"))
-    split = docs.select("doc_id", F.posexplode(F.split("text", _literal(separator), -1)).alias("at", "unit"))
-    long = split.withColumn("norm", norm).where((F.length("norm") > 0) & (F.length("norm") - F.length(F.translate("norm", " ", "")) >= min_words - 1))
-    units = work.table(long.select("doc_id", "at", F.unhex(F.md5("norm")).alias("digest")), "units")
-    first = units.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    late = units.join(first, "digest").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
-    gone = work.table(late.groupBy("doc_id").agg(F.collect_set("at").alias("gone")), "gone")
-    work.drop("units")
-    return docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_cut(separator), "doc_id long, text string, n_units long, removed array<struct<first:long,last:long,unit:long>>")
-
-
-def _literal(separator: str) -> str:
-    return "\\Q" + separator + "\\E"
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text")).where("doc_id is not null")
+    units = work.table(docs.where("text is not null").mapInArrow(_units(ends), "doc_id long, body long, at int, unit int, first int, last int, words int, digest binary"), "units")
+    rank = F.struct("doc_id", "body", "at")
+    repeated = work.table(units.groupBy("digest").agg(F.min(rank).alias("start"), F.count("*").alias("n")).where("n > 1"), "repeated")
+    late = join_counted(units, repeated, ["digest"]).where(F.col("start") != rank).select("doc_id", "body", "at", "unit", "first", "last", "words")
+    # Everything of a document lies in one partition from here on.
+    once = late.repartition("doc_id", "body").dropDuplicates(["doc_id", "body", "at"])
+    runs = once.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("doc_id", "body").orderBy("at")))
+    spans = runs.groupBy("doc_id", "body", "run").agg(F.sum("words").alias("words"), F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("first", "last", "unit")])).alias("spans"))
+    gone = spans.where(F.col("words") >= min_run_words).groupBy("doc_id", "body").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("removed"))
+    gone = work.table(gone, "gone")
+    work.drop("units", "repeated")
+
+    parted = F.col("text")
+    for end in ends:
+        parted = F.replace(parted, F.lit(end), F.lit(end[:-1] + "\n"))
+    n_units = F.coalesce(F.length(parted) - F.length(F.translate(parted, "\n", "")) + 1, F.lit(0)).cast("long").alias("n_units")
+    changed, same = by_marks(docs, F.col("doc_id"), key_marks(gone, "doc_id", work, "marks"))
+    none = F.array().cast(_SPANS)
+    joined = changed.join(gone.hint("merge"), ["doc_id", "body"], "left").select("doc_id", "text", n_units, F.coalesce("removed", none).alias("removed"))
+    cut = joined.mapInArrow(_cut, f"doc_id long, text string, n_units long, removed {_SPANS}")
+    return cut.unionByName(same.select("doc_id", "text", n_units, none.alias("removed")))

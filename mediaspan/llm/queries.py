@@ -44,8 +44,8 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op4_lines, but every line that is not blank counts, however short."""
-    return _with_spans(lines.drop_repeated_units(spark, _table(spark, sf_dir, "documents"), min_words=1))
+    """Lines only, and every later one goes, however short."""
+    return _with_spans(lines.drop_repeated_units(spark, _table(spark, sf_dir, "documents"), ends=lines.LINES, min_run_words=0))
 
 
 def _with_spans(found: DataFrame) -> DataFrame:
@@ -54,15 +54,25 @@ def _with_spans(found: DataFrame) -> DataFrame:
 
 
 _OP4_SQL = """
-with units as (
-    select doc_id, pos, unit, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as norm
-    from (select doc_id, unnest(string_split(text, chr(10))) as unit, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)
-), placed as (
-    select *, cast(coalesce(sum(length(unit) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as bigint) as start,
-        length(norm) > 0 and length(norm) - length(replace(norm, ' ', '')) >= 4 and row_number() over (partition by norm order by doc_id, pos) > 1 as gone
+with parted as (
+    select doc_id, text, string_split(replace(replace(replace(text, '. ', '.' || chr(10)), '! ', '!' || chr(10)), '? ', '?' || chr(10)), chr(10)) as parts from documents
+), units as (
+    select doc_id, text, unnest(parts) as unit, generate_subscripts(parts, 1) as pos from parted
+), normed as (
+    select *, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as norm,
+        cast(coalesce(sum(length(unit) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as bigint) as start
     from units
+), ranked as (
+    select doc_id, pos, greatest(length(norm) - length(replace(norm, ' ', '')) + 1, length(norm) - length(regexp_replace(norm, '[\\x{0E00}-\\x{0EFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}]', '', 'g')), length(norm) // 20) as words,
+        row_number() over (partition by norm order by doc_id, pos) > 1 as late, row_number() over (partition by doc_id order by pos) as ord
+    from normed where length(norm) > 0
+), runs as (
+    select doc_id, pos, sum(words) over (partition by doc_id, run) as run_words
+    from (select *, ord - row_number() over (partition by doc_id order by pos) as run from ranked where late)
+), placed as (
+    select n.*, coalesce(r.run_words >= 20, false) as gone from normed n left join runs r using (doc_id, pos)
 ), docs as (
-    select doc_id, coalesce(string_agg(unit, chr(10) order by pos) filter (where not gone), '') as text, count(*) as n_units, count(*) filter (where gone) as n_removed,
+    select doc_id, substr(coalesce(string_agg(case when pos = 1 then ' ' else substr(text, start, 1) end || unit, '' order by pos) filter (where not gone), ''), 2) as text, count(*) as n_units, count(*) filter (where gone) as n_removed,
         coalesce(string_agg(start || '-' || (start + length(unit)), ',' order by pos) filter (where gone), '') as removed_spans
     from placed group by doc_id
 )
