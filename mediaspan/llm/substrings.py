@@ -8,12 +8,15 @@ sampled, so equal windows sample the same place, at one sample in about 40
 bytes. A sampled suffix is named by its k-gram; equal names are told apart by
 the name of the context that all windows of the sample cover; windows of
 contexts that share only the k-gram are merged by comparing every window of
-the context. Nothing but hashes of 64 bits is compared.
-
-Copies of whole texts are set aside first. No name's group meets in one task
-unless it is small: minima combine before the shuffle, joins are plain equi-joins,
-and the contexts of a frequent name are dealt to salted groups, each of which
-puts forward only its first occurrence of a window.
+the context. Strings count as equal if two hashes of 64 bits are: that of their
+k-gram and that of the context or window.
+
+Copies of whole texts are set aside first. Long texts are sampled in pieces
+that overlap, so length has no bound. No name's group meets in one task unless
+it is small: minima combine before the shuffle, hot names and contexts (a
+thousand at most) meet broadcasts, and the contexts of a frequent name are
+dealt to salted groups, each of which puts forward only its first occurrence of
+a window.
 """
 
 from __future__ import annotations
@@ -26,11 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaspan.llm import textbytes as tb
+from mediaspan.llm.keyed import by_marks, join_counted, key_marks
 from mediaspan.plans.workspace import Workspace
 
 GRAM = 24
 #: Names with more contexts than this are dealt to groups of about this many.
 FREQUENT = 64
+#: Windows of a text that are sampled at a time.
+PIECE = 1 << 20
+_SPANS = "array<struct<first:long,last:long>>"
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -44,9 +51,7 @@ def _sampled(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     place = np.arange(len(data) - GRAM + 1)
     grams = tb.range_hash(sums, place, place + GRAM, tb.BASES[0])
     # The least hash of each window, the leftmost of equal ones: place fills the low bits.
-    least = (grams & ~_LOW) | (place.astype(np.uint64) & _LOW)
-    if len(data) > int(_LOW):
-        raise ValueError("a text is longer than 16 MB")
+    least = (grams & ~_LOW) | place.astype(np.uint64)
     done = 1
     while done * 2 <= span:
         least = np.minimum(least[: len(least) - done], least[done:])
@@ -67,14 +72,29 @@ def _sampled(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     return row[first], s, first, last, grams[s].view(np.int64), context.view(np.int64)
 
 
+def pieces(data: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bytes before, bytes, offsets) of a slice; a single long row comes in pieces that overlap by all but one byte of a window.
+
+    Every window lies in one piece. One whose sample reaches over the cut has
+    two contexts there, which are then compared window by window.
+    """
+    if len(at) > 2 or len(data) <= PIECE + length:
+        yield 0, data, at
+        return
+    for start in range(0, len(data) - length + 1, PIECE):
+        part = data[start : start + PIECE + length - 1]
+        yield start, part, np.array([0, len(part)])
+
+
 def _samples(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for low, _, data, at in tb.slices(batch.column(1)):
-                row, _, first, last, name, context = _sampled(data, at, length)
-                base = at[row]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[low + row]), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), pa.array(name), pa.array(context)], ["id", "first", "last", "name", "context"])
+                for before, part, offsets in pieces(data, at, length):
+                    row, _, first, last, name, context = _sampled(part, offsets, length)
+                    base = offsets[row] - before
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[low + row]), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), pa.array(name), pa.array(context)], ["id", "first", "last", "name", "context"])
 
     return run
 
@@ -108,12 +128,12 @@ def _later(length: int):
         inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         start = (np.cumsum(sizes) - sizes)[row] + inner
         window = tb.range_hash(sums, start, start + length, tb.BASES[0])
-        doc, place, hot = ids[row], first[row] + inner, rows.column("hot").to_numpy()[row]
-        order = np.lexsort((place, doc, window))
-        window, doc, place, hot = window[order], doc[order], place[order], hot[order]
-        again = np.concatenate([[False], window[1:] == window[:-1]])
+        doc, place, hot, name = ids[row], first[row] + inner, rows.column("hot").to_numpy()[row], rows.column("name").to_numpy()[row]
+        order = np.lexsort((place, doc, window, name))
+        window, doc, place, hot, name = window[order], doc[order], place[order], hot[order], name[order]
+        again = np.concatenate([[False], (window[1:] == window[:-1]) & (name[1:] == name[:-1])])
         open_ = ~again & hot
-        open_doc, open_place, open_window = doc[open_], place[open_], window[open_].view(np.int64)
+        open_doc, open_place, open_window, open_name = doc[open_], place[open_], window[open_].view(np.int64), name[open_]
         doc, place = doc[again], place[again]
         order = np.lexsort((place, doc))
         doc, place = doc[order], place[order]
@@ -124,8 +144,9 @@ def _later(length: int):
             pa.array(np.concatenate([place[cut], open_place]).astype(np.int32)),
             pa.array(np.concatenate([place[tail], open_place]).astype(np.int32)),
             pa.concat_arrays([pa.nulls(len(cut), pa.int64()), pa.array(open_window)]),
+            pa.concat_arrays([pa.nulls(len(cut), pa.int64()), pa.array(open_name)]),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["id", "first", "last", "window"])
+        return pa.RecordBatch.from_arrays(columns, ["id", "first", "last", "window", "name"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -181,34 +202,42 @@ def drop_repeated_substrings(spark: SparkSession, documents: DataFrame, doc_id:
     work = Workspace(spark, "substrings")
     docs = documents.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("id is not null")
     digests = work.table(docs.select("id", F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
-    firsts = digests.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    copies = work.table(digests.join(firsts, "digest").where("id <> first_id").select("id"), "copies")
-    single = docs.join(copies, "id", "left_anti")
+    firsts = work.table(digests.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    copies = work.table(join_counted(digests, firsts, ["digest"]).where("id <> first_id").select("id"), "copies")
+    # Texts are not shuffled to leave the copies out: the few rows that share a hashed id with one are joined.
+    marked, unmarked = by_marks(docs, F.col("id"), key_marks(copies, "id", work, "copy-marks"))
+    single = unmarked.unionByName(marked.join(copies.hint("merge"), "id", "left_anti"))
 
     samples = work.table(single.mapInArrow(_samples(length), "id long, first int, last int, name long, context long"), "samples")
-    repeated = samples.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    shared = work.table(samples.join(repeated, "name"), "shared")
-    work.drop("samples", "digests")
+    names = work.table(samples.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "names")
+    shared = work.table(join_counted(samples, names, ["name"]).drop("n"), "shared")
+    work.drop("samples", "digests", "names")
     place = F.struct("id", "first")
-    earliest = shared.groupBy("context").agg(F.min(place).alias("start"), F.count("*").alias("n"), F.min_by("name", place).alias("name"), F.min_by("last", place).alias("last"))
+    earliest = shared.groupBy("name", "context").agg(F.min(place).alias("start"), F.count("*").alias("n"), F.min_by("last", place).alias("last"))
     earliest = work.table(earliest, "earliest")
-    late = shared.join(earliest.where("n > 1").select("context", "start"), "context").where((F.col("id") != F.col("start.id")) | (F.col("first") != F.col("start.first"))).select("id", "first", "last")
+    repeated = work.table(earliest.where("n > 1").select("name", "context", "start", "n"), "contexts")
+    late = join_counted(shared, repeated, ["name", "context"]).where((F.col("id") != F.col("start.id")) | (F.col("first") != F.col("start.first"))).select("id", "first", "last")
+    late = work.table(late, "late")
 
     # Names with several contexts: windows of different contexts may still be equal.
-    several = work.table(earliest.groupBy("name").agg(F.count("*").alias("m")).where("m > 1"), "several")
-    hot = F.col("m") > FREQUENT
-    salt = F.when(hot, F.pmod(F.xxhash64("start.id", "start.first"), F.ceil(F.col("m") / FREQUENT))).otherwise(0).cast("int")
-    mixed = earliest.join(several, "name").select(F.col("start.id").alias("id"), F.col("start.first").alias("first"), "last", "name", salt.alias("salt"), hot.alias("hot"))
+    several = work.table(earliest.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    hot = F.col("n") > FREQUENT
+    salt = F.when(hot, F.pmod(F.xxhash64("start.id", "start.first"), F.ceil(F.col("n") / FREQUENT))).otherwise(0).cast("int")
+    mixed = join_counted(earliest.drop("n"), several, ["name"]).select(F.col("start.id").alias("id"), F.col("start.first").alias("first"), "last", "name", salt.alias("salt"), hot.alias("hot"))
     listed = work.table(mixed.groupBy("id").agg(F.collect_list(F.struct("first", "last", "name", "salt", "hot")).alias("spans")), "listed")
-    bodies = single.join(listed, "id").select("id", "text", "spans").mapInArrow(_contexts(length), "id long, first int, name long, salt int, hot boolean, body binary")
-    compared = bodies.repartition("name", "salt").sortWithinPartitions("name", "salt").mapInArrow(_later(length), "id long, first int, last int, window long")
+    marked, _ = by_marks(docs, F.col("id"), key_marks(listed, "id", work, "listed-marks"))
+    bodies = marked.join(listed.hint("merge"), "id").select("id", "text", "spans").mapInArrow(_contexts(length), "id long, first int, name long, salt int, hot boolean, body binary")
+    compared = bodies.repartition("name", "salt").sortWithinPartitions("name", "salt").mapInArrow(_later(length), "id long, first int, last int, window long, name long")
     compared = work.table(compared, "compared")
     # Each group of a frequent name has put forward its first of each window: the least of these is the first of all.
     windows = compared.where("window is not null")
-    known = windows.groupBy("window").agg(F.min(place).alias("start"), F.count("*").alias("n")).where("n > 1")
-    many = windows.join(known, "window").where((F.col("id") != F.col("start.id")) | (F.col("first") != F.col("start.first")))
-    found = late.unionByName(compared.where("window is null").drop("window")).unionByName(many.select("id", "first", "last"))
-    runs = work.table(found.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
-    work.drop("shared", "earliest", "listed", "compared")
-    marks = runs.withColumn("copy", F.lit(False)).unionByName(copies.distinct().select("id", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"), F.lit(True).alias("copy")))
-    return docs.join(marks, "id", "left").select("id", "text", "copy", "runs").mapInArrow(_cut(length), "doc_id long, kept binary, n_bytes long, removed array<struct<first:long,last:long>>")
+    known = work.table(windows.groupBy("name", "window").agg(F.min(place).alias("start"), F.count("*").alias("n")).where("n > 1"), "known")
+    many = join_counted(windows, known, ["name", "window"]).where((F.col("id") != F.col("start.id")) | (F.col("first") != F.col("start.first")))
+    found = late.unionByName(compared.where("window is null").drop("window", "name")).unionByName(many.select("id", "first", "last"))
+    marks = found.withColumn("copy", F.lit(False)).unionByName(copies.select("id", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), F.lit(True).alias("copy")))
+    spans = F.collect_list(F.when(~F.col("copy"), F.struct("first", "last")))
+    marks = work.table(marks.groupBy("id").agg(F.max("copy").alias("copy"), spans.alias("runs")), "runs")
+    work.drop("shared", "earliest", "listed", "compared", "late", "contexts", "known", "several")
+    changed, same = by_marks(docs, F.col("id"), key_marks(marks, "id", work, "marks"))
+    cut = changed.join(marks.hint("merge"), "id", "left").select("id", "text", "copy", "runs").mapInArrow(_cut(length), f"doc_id long, kept binary, n_bytes long, removed {_SPANS}")
+    return cut.unionByName(same.select(F.col("id").alias("doc_id"), F.encode("text", "UTF-8").alias("kept"), F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast(_SPANS).alias("removed")))
