@@ -1,29 +1,39 @@
 """Personal data: detection and keyed surrogates, in DataFrame expressions only.
 
-One pattern finds the mentions. Each mention has units (a name has one for each
-of its tokens) with a kind and a canonical value, so "Mr. Smith" and "John
-Smith" share the unit of the family name, and a number is one unit however it is
-spaced. A unit's surrogate is a function of a secret key, its kind, its value
-and an attempt number. All distinct units of the corpus are checked: of those
-with one surrogate all but the smallest try again, as does a surrogate that is a
-real value; so distinct stays distinct, and equal stays equal.
+One pattern finds the mentions, in one pass over a text. Each mention has units
+(a name has one for each of its tokens) with a kind and a canonical value, so
+"Mr. Smith" and "John Smith" share the unit of the family name, and a number is
+one unit however it is spaced. A unit's surrogate is a function of a secret key
+(HMAC-SHA256), its kind, its value and an attempt number. All distinct units of
+the corpus are checked: of those with one surrogate all but the smallest try
+again, as does a surrogate that is a real value of its class (all names are one
+class); so distinct stays distinct, and equal stays equal. Later attempts may
+be longer than their values, so retries end.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediaspan.llm.keyed import by_marks, fresh, join_counted, key_marks
 from mediaspan.plans.workspace import Workspace
 
-# Forms of address and given names that tell a name and its gender.
-MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "Κύριος"]
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "Κυρία"]
+# Forms of address, given names and Chinese family names that tell a name and its gender.
+MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "Κύριος", "السيد", "מר"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "Κυρία", "السيدة", "גברת"]
 OTHER_TITLES = ["Dr", "Prof"]
+MALE_SUFFIXES = ["先生"]
+FEMALE_SUFFIXES = ["女士", "小姐", "太太"]
+HAN_FAMILIES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林罗高"
 MALE_NAMES = ["James", "John", "Robert", "Michael", "William", "David", "Thomas", "Hans", "Peter", "Klaus", "Pierre", "Jean", "Juan", "Carlos", "José", "Иван", "Дмитрий", "Γιώργος"]
 FEMALE_NAMES = ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Anna", "Ursula", "Marie", "Claire", "María", "Carmen", "Lucía", "Ольга", "Мария", "Ελένη"]
 
-_TOKEN = r"\p{Lu}[\p{L}'-]+"
+#: A token of a name: with a capital first, or of a script without capitals.
+_TOKEN = r"(?:\p{Lu}[\p{L}'-]+|[\u05D0-\u05EA]{2,}|[\u0621-\u064A]{2,})"
 _ANY_TITLE = "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
 # 13 to 19 digits: the issuers' first digits where nothing else tells a card from a count of milliseconds or an ISBN.
 CARD = r"(?:[2-6]\d{12,18}|1\d{14}|\d{16}|(?:\d{4}(?<gap>[ -])\d{4}\k<gap>\d{4}\k<gap>\d{4}(?:\k<gap>\d{1,3}(?![\d-]|\.\d))?|[3-6]\d{3}(?<gap2>[ -])(?:\d{4}\k<gap2>\d{4}\k<gap2>\d{1,3}|\d{6}\k<gap2>\d{4,5})))"
@@ -36,30 +46,47 @@ NATIONAL = "|".join(
         r"(?=[(\d])(?<=\b(?:[Tt]el|[Tt]elefon|[Pp]hone|[Mm]obile|[Tt]eléfono|[Tt]éléphone|тел)[.:]{0,2} {0,2})\(?\d[\d ./()-]{4,16}\d(?![\w-])",
     ]
 )
-MENTION = "|".join(
+_SUFFIX = "|".join(MALE_SUFFIXES + FEMALE_SUFFIXES)
+# What begins with a letter never begins within an ASCII word; this test comes first as it fails at most places.
+_LETTERED = "|".join(
     [
         r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
         r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-        r"\b(?:password|passwd|secret|token|api_key)\s{0,2}[=:]\s{0,2}[\"']?[^\s\"',;]{8,}",
+        r"\b(?=[psta])(?:password|passwd|secret|token|api_key)\s{0,2}[=:]\s{0,2}[\"']?[^\s\"',;]{8,}",
+        r"\b(?:MU|SC)\d{2}(?: ?[A-Z0-9]{4}){6} ?[A-Z0-9]{2,3}\b",
+        r"\b[A-Z]{2}\d{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?:[A-Z0-9]{1,3}| (?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})\b",
+        rf"(?=[\p{{Lu}}г\u05D0-\u05EA\u0621-\u064A])(?<!\p{{L}})(?:(?:{_ANY_TITLE})\.? {_TOKEN}(?: {_TOKEN}){{0,2}}|(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)}) {_TOKEN})",
+        rf"[{HAN_FAMILIES}][\u4E00-\u9FFF]{{0,2}}?(?:{_SUFFIX})",
+    ]
+)
+_NUMBERED = "|".join(
+    [
         r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d)(?!\.\d)",
         r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)",
         rf"(?<![\d-]){CARD}(?![\d-])",
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-        r"\b(?:MU|SC)\d{2}(?: ?[A-Z0-9]{4}){6} ?[A-Z0-9]{2,3}\b",
-        r"\b[A-Z]{2}\d{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?:[A-Z0-9]{1,3}| (?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})\b",
         NATIONAL,
-        rf"(?<!\p{{L}})(?:{_ANY_TITLE})\.? {_TOKEN}(?: {_TOKEN}){{0,2}}",
-        rf"(?<!\p{{L}})(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)}) {_TOKEN}",
     ]
 )
+MENTION = rf"(?<![A-Za-z])(?:{_LETTERED})|(?=[\d(+])(?:{_NUMBERED})"
 _SECRET_HEAD = r"^(?:password|passwd|secret|token|api_key)\s{0,2}[=:]\s{0,2}[\"']?"
 _TITLE = rf"^(?:{_ANY_TITLE})\.? "
+_AFTER = rf"(?:{_SUFFIX})$"
+_HAN = rf"^[{HAN_FAMILIES}]"
+#: Stands around mentions while a text is cut; a text that holds it is cut by two more passes of the pattern.
+_CUT = "\u0001"
+#: Attempts from here on may be longer than the value.
+LONGER = 8
+ROUNDS = 64
 #: Parts of surrogate names by script: first letters, vowels, endings of female, male and other names.
 _SYLLABLES = {
     "latin": ("bdfgklmnprstv", "aeiou", ("a", "o", "sen")),
     "cyrillic": ("бвгдзклмнпрст", "аеиоу", ("а", "", "ов")),
     "greek": ("βγδζκλμνπρστφ", "αειου", ("α", "ος", "ου")),
+    "arabic": ("بتجدرسكلمن", "اوي", ("ة", "", "ي")),
+    "hebrew": ("בגדזחטלמנרש", "אוי", ("ה", "", "י")),
 }
+_HAN_GIVEN = "明华伟芳娜静丽强磊军洋勇艳杰涛超"
 
 
 def kind_of(m: Column) -> Column:
@@ -78,140 +105,215 @@ def kind_of(m: Column) -> Column:
     )
 
 
-def _title_in(m: Column, titles: list[str]) -> Column:
-    return m.rlike(rf"^(?:{'|'.join(titles)})\.? ")
+def _card(body: Column) -> Column:
+    """The digits and their check digit."""
+    luhn = F.aggregate(
+        F.transform(F.split(body, ""), lambda c, i: F.when((F.length(body) - i) % 2 == 1, c.cast("int") * 2 - F.when(c > "4", 9).otherwise(0)).otherwise(c.cast("int"))),
+        F.lit(0),
+        lambda a, x: a + x,
+    )
+    return F.concat(body, F.pmod(-luhn, F.lit(10)).cast("string"))
+
+
+def _title_in(m: Column, titles: list[str], suffixes: list[str]) -> Column:
+    return m.rlike(rf"^(?:{'|'.join(titles)})\.? |(?:{'|'.join(suffixes)})$")
 
 
 def units_of(m: Column) -> Column:
     """array<struct<kind, value>> of a mention."""
-    kind = kind_of(m)
-    value = (
+    return _let(kind_of(m), lambda kind: F.when(kind == "name", _name_units(m)).otherwise(F.array(F.struct(kind.alias("kind"), _value(m, kind).alias("value")))))
+
+
+def _value(m: Column, kind: Column) -> Column:
+    return (
         F.when(kind == "email", F.lower(m))
         .when(kind == "secret", F.regexp_replace(m, _SECRET_HEAD, ""))
         .when(kind.isin("phone", "card", "ssn"), F.regexp_replace(m, r"\D", ""))
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
         .otherwise(m)
     )
-    bare = F.regexp_replace(m, _TITLE, "")
-    tokens = F.split(bare, " ")
-    first = F.element_at(tokens, 1)
-    gender = (
-        F.when(_title_in(m, FEMALE_TITLES) | first.isin(FEMALE_NAMES), "female").when(_title_in(m, MALE_TITLES) | first.isin(MALE_NAMES), "male").otherwise("other")
+
+
+def _name_units(m: Column) -> Column:
+    han = m.rlike(_HAN)
+    bare = F.regexp_replace(F.regexp_replace(m, _TITLE, ""), _AFTER, "")
+    # A Chinese name is its family name and the rest, others are cut at blanks; the family name comes last there.
+    tokens = F.when(han, F.filter(F.array(F.substring(bare, 1, 1), F.substring(bare, 2, 9)), lambda t: t != "")).otherwise(F.split(bare, " "))
+    script = lambda t: (
+        F.when(t.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(t.rlike(r"^\p{IsGreek}"), "greek").when(t.rlike(r"^\p{IsArabic}"), "arabic").when(t.rlike(r"^\p{IsHebrew}"), "hebrew").when(t.rlike(r"^\p{IsHan}"), "han").otherwise("latin")
     )
-    script = lambda t: F.when(t.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(t.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
-    named = F.transform(tokens, lambda t, i: F.struct(F.concat_ws(":", F.lit("name"), F.when(i == F.size(tokens) - 1, "family").otherwise(gender), script(t)).alias("kind"), t.alias("value")))
-    return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), value.alias("value"))))
+
+    def units(tokens: Column) -> Column:
+        first = F.element_at(tokens, 1)
+        gender = (
+            F.when(_title_in(m, FEMALE_TITLES, FEMALE_SUFFIXES) | first.isin(FEMALE_NAMES), "female")
+            .when(_title_in(m, MALE_TITLES, MALE_SUFFIXES) | first.isin(MALE_NAMES), "male")
+            .otherwise("other")
+        )
+        family = lambda i: F.when(han, i == 0).otherwise(i == F.size(tokens) - 1)
+        return F.transform(tokens, lambda t, i: F.struct(F.concat_ws(":", F.lit("name"), F.when(family(i), "family").otherwise(gender), script(t)).alias("kind"), t.alias("value")))
+
+    return _let(tokens, units)
 
 
 def _keyed(key: str, kind: Column, value: Column, attempt: Column) -> Column:
-    """64 hex digits, as in a nested keyed hash."""
-    inner = F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), value), 256)
-    return F.sha2(F.concat(F.lit(key), inner), 256)
+    """64 hex digits: HMAC-SHA256 of kind, attempt and value."""
+    secret = key.encode()
+    secret = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(x ^ pad for x in secret)) for pad in (0x36, 0x5C))
+    message = F.encode(F.concat_ws("|", kind, attempt.cast("string"), value), "UTF-8")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
+
+
+def _iban(plain: Column) -> Column:
+    """An IBAN with the check digits that its country and account number ask for."""
+    country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+    digits = F.split(F.concat(account, country, F.lit("00")), "")
+    rest = F.aggregate(digits, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), account)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once, also within a lambda, where Spark shares no subexpressions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The replacement of a unit: same kind, length, character classes, script and gender."""
-    h = _keyed(key, kind, value, attempt)
+    return _let(_keyed(key, kind, value, attempt), lambda h: _drawn(h, kind, value, attempt))
+
+
+def _drawn(h: Column, kind: Column, value: Column, attempt: Column) -> Column:
     byte = lambda i: F.conv(F.substring(h, F.pmod(2 * i, F.lit(62)) + 1, F.lit(2)), 16, 10).cast("int")
     pick = lambda alphabet, i: F.substring(F.lit(alphabet), F.pmod(byte(i), F.lit(len(alphabet))) + 1, F.lit(1))
-    digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    hexed = value.rlike("^[0-9a-f]+$")
+    several = lambda alphabet, low, high: F.when(high >= low, F.array_join(F.transform(F.sequence(F.lit(low), F.greatest(high, F.lit(low))), lambda i: pick(alphabet, i)), "")).otherwise("")
+    hexed = value.rlike("^[0-9a-f]+$") & (kind == "secret")
     # A secret without a letter or digit, or with too few to be told apart, is drawn anew throughout.
     anew = (kind == "secret") & (~value.rlike(r"[\p{L}\p{N}]") | (attempt >= 4))
-    by_class = lambda c, i: F.when(anew | ((kind == "secret") & c.rlike(r"[\p{L}\p{N}&&[^0-9A-Za-z]]")), pick(lower, i)).when(c.rlike("[0-9]") | ((c <= "f") & (c >= "a") & hexed), F.when(hexed & (kind == "secret"), pick("0123456789abcdef", i)).otherwise(pick(digits, i))).when(c.rlike("[a-z]"), pick(lower, i)).when(c.rlike("[A-Z]"), pick(upper, i)).otherwise(c)
-    shaped = lambda text: F.array_join(F.transform(F.split(text, ""), by_class), "")
-    ip = F.concat_ws(".", (byte(F.lit(0)) % 223 + 1).cast("string"), byte(F.lit(1)).cast("string"), byte(F.lit(2)).cast("string"), (byte(F.lit(3)) % 254 + 1).cast("string"))
-    top = F.concat(F.lit("."), F.substring_index(value, ".", -1))
-    more = F.when(attempt >= 4, F.array_join(F.transform(F.sequence(F.lit(4), F.greatest(attempt, F.lit(4))), lambda i: pick(lower, i)), "")).otherwise("")
-    email = F.concat(more, shaped(F.substring(value, F.lit(1), F.length(value) - F.length(top))), top)
-    keep = lambda n: F.concat(F.substring(value, 1, n), F.substring(shaped(value), F.lit(n + 1), F.length(value)))
-    body = F.substring(keep(1), F.lit(1), F.length(value) - 1)
-    luhn = F.aggregate(
-        F.transform(F.split(body, ""), lambda c, i: F.when((F.length(body) - i) % 2 == 1, c.cast("int") * 2 - F.when(c > "4", 9).otherwise(0)).otherwise(c.cast("int"))),
-        F.lit(0),
-        lambda a, x: a + x,
+    foreign = lambda c: (kind == "secret") & c.rlike(r"[\p{L}\p{N}&&[^0-9A-Za-z]]")
+    by_class = lambda c, i: (
+        F.when(anew | foreign(c), pick(_LOWER, i))
+        .when(hexed, pick("0123456789abcdef", i))
+        .when(c.rlike("[0-9]"), pick(_DIGITS, i))
+        .when(c.rlike("[a-z]"), pick(_LOWER, i))
+        .when(c.rlike("[A-Z]"), pick(_UPPER, i))
+        .otherwise(c)
     )
-    card = F.concat(body, F.pmod(-luhn, F.lit(10)).cast("string"))
-    stem_of = lambda consonants, vowels: F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: F.concat(pick(consonants, 2 * i), pick(vowels, 2 * i + 1))), ""))
-    name = value
+    shaped = F.array_join(F.transform(F.split(value, ""), by_class), "")
+    # A private address stays in its private range, any other gets a first number from 11 to 110, where none is private.
+    octets = [F.concat(F.lit("."), byte(F.lit(i)).cast("string")) for i in (1, 2)] + [F.concat(F.lit("."), (byte(F.lit(3)) % 254 + 1).cast("string"))]
+    within = F.regexp_extract(value, r"^(?:10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))(?=\.)", 0)
+    ip = F.when(within.contains("."), F.concat(within, *octets[1:])).when(within != "", F.concat(within, *octets)).otherwise(F.concat((byte(F.lit(0)) % 100 + 11).cast("string"), *octets))
+    top = F.concat(F.lit("."), F.substring_index(value, ".", -1))
+    longer = several(_DIGITS, LONGER, attempt)
+
+    def numbered(whole: Column) -> Column:
+        keep = lambda n: F.concat(F.substring(value, 1, n), F.substring(whole, F.lit(n + 1), F.length(value)))
+        return (
+            F.when(kind == "email", F.concat(several(_LOWER, 4, attempt), F.substring(whole, F.lit(1), F.length(value) - F.length(top)), top))
+            .when(kind == "card", _card(F.substring(keep(1), F.lit(1), F.length(value) - 1)))
+            .when(kind == "phone", F.concat(keep(1), longer))
+            .when(kind == "ssn", F.concat(whole, longer))
+            .when(kind == "iban", _iban(keep(2)))
+            .when(kind == "key", keep(4))
+            .otherwise(whole)
+        )
+
+    in_family = kind.contains(":family:")
+    han = F.concat(F.when(in_family, pick(HAN_FAMILIES, F.lit(0))).otherwise(pick(_HAN_GIVEN, F.lit(0))), several(_HAN_GIVEN, 1, attempt + F.when(in_family, 0).otherwise(1)))
+    name = F.when(kind.endswith("han"), han)
+    stem = lambda c, v: F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: F.concat(pick(c, 2 * i), pick(v, 2 * i + 1))), ""))
     for script, (consonants, vowels, (female, male, other)) in _SYLLABLES.items():
-        stem = stem_of(consonants, vowels)
-        ending = F.when(kind.contains(":female:"), female).when(kind.contains(":male:"), male).otherwise(other)
-        name = F.when(kind.endswith(script), F.concat(stem, ending)).otherwise(name)
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "ip", ip)
-        .when(kind == "card", card)
-        .when(kind == "phone", keep(1))
-        .when(kind == "iban", keep(2))
-        .when(kind == "key", keep(4))
-        .when(kind.startswith("name:"), name)
-        .otherwise(shaped(value))
-    )
+        name = name.when(kind.endswith(script), F.concat(stem(consonants, vowels), F.when(kind.contains(":female:"), female).when(kind.contains(":male:"), male).otherwise(other)))
+    return F.when(kind.startswith("name:"), name).when(kind == "ip", ip).otherwise(_let(shaped, numbered))
 
 
 def _laid_out(m: Column, kind: Column, new: Column) -> Column:
-    """The surrogate of a mention in the mention's spacing and frame."""
+    """The surrogate of a mention in the mention's spacing and frame; what is longer follows at the end."""
     start = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
     step = lambda a, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct((a["n"] + 1).alias("n"), F.concat(a["out"], F.substring(new, a["n"] + 1, F.lit(1))).alias("out"))).otherwise(F.struct(a["n"].alias("n"), F.concat(a["out"], c).alias("out")))
-    spaced = F.aggregate(F.split(m, ""), start, step, lambda a: a["out"])
+    spaced = F.aggregate(F.split(m, ""), start, step, lambda a: F.concat(a["out"], F.substring(new, a["n"] + 1, F.length(new))))
     return (
         F.when(kind == "secret", F.concat(F.regexp_extract(m, _SECRET_HEAD, 0), new))
-        .when(kind == "name", F.concat(F.regexp_extract(m, _TITLE, 0), new))
+        .when(kind == "name", F.concat(F.regexp_extract(m, _TITLE, 0), new, F.regexp_extract(m, _AFTER, 0)))
         .when(kind.isin("phone", "card", "ssn", "iban"), spaced)
         .otherwise(new)
     )
 
 
-def _replaced(key: str, text: Column, attempts: Column | None) -> Column:
-    """The text with every mention replaced; attempts: map of kind|value to attempt, else all 0."""
+def parts_of(text: Column) -> Column:
+    """The text cut at its mentions: plain parts at even places, mentions at odd ones."""
+    quick = F.split(F.regexp_replace(text, MENTION, f"{_CUT}$0{_CUT}"), _CUT, -1)
+    found = F.concat(F.regexp_extract_all(text, F.lit(MENTION), F.lit(0)), F.array(F.lit("")))
+    slow = F.flatten(F.zip_with(F.split(text, MENTION, -1), found, lambda p, m: F.array(p, m)))
+    return F.when(text.contains(_CUT), F.slice(slow, F.lit(1), F.size(slow) - 1)).otherwise(quick)
+
+
+def _replaced(key: str, parts: Column, attempts: Column | None) -> Column:
+    """The parts joined with every mention replaced; attempts: map of kind|value to attempt, else all 0."""
     of = lambda u: F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, F.concat_ws("|", u["kind"], u["value"])), F.lit(0))
-    new = lambda m: F.array_join(F.transform(units_of(m), lambda u: surrogate(key, u["kind"], u["value"], of(u))), " ")
-    found = F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))
-    out = F.transform(found, lambda m: _laid_out(m, kind_of(m), new(m)))
-    parts = F.split(text, MENTION, -1)
-    whole = F.array_join(F.flatten(F.zip_with(parts, F.concat(out, F.array(F.lit(""))), lambda p, s: F.array(p, s))), "")
-    return F.when(F.size(found) > 0, whole).otherwise(text)
-
-
-def entities(documents: DataFrame, text: str = "text") -> DataFrame:
-    """The distinct units (kind, value) of a table."""
-    found = F.regexp_extract_all(F.col(text), F.lit(MENTION), F.lit(0))
-    units = documents.select(F.explode(F.array_distinct(F.flatten(F.transform(found, units_of)))).alias("u"))
-    return units.select("u.kind", "u.value").distinct()
-
-
-def retries(spark: SparkSession, documents: DataFrame, key: str, text: str, work: Workspace) -> DataFrame:
-    """(kind, value, attempt) of the units that need more than the first attempt."""
-    units = work.table(entities(documents, text).withColumn("attempt", F.lit(0)), "units-0")
-    real = units.select("kind", F.col("value").alias("new"))
-    now, n = units, 0
+    each = lambda m: F.transform(units_of(m), lambda u: surrogate(key, u["kind"], u["value"], of(u)))
+    joined = lambda m: _let(each(m), lambda x: F.when(m.rlike(_HAN), F.array_join(x, "")).otherwise(F.array_join(x, " ")))
+    laid_out = lambda m: _let(F.struct(kind_of(m).alias("kind"), joined(m).alias("new")), lambda x: _laid_out(m, x["kind"], x["new"]))
+    return F.array_join(F.transform(parts, lambda m, i: F.when(i % 2 == 1, laid_out(m)).otherwise(m)), "")
+
+
+def mentioned(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(body, kind, value): the units of every text that has any; body is a digest of the text."""
+    cut = documents.select(F.unhex(F.md5(text)).alias("body"), parts_of(F.col(text)).alias("parts")).where(F.size("parts") > 1)
+    units = F.flatten(F.transform(F.filter("parts", lambda _, i: i % 2 == 1), units_of))
+    return cut.select("body", F.explode(F.array_distinct(units)).alias("u")).select("body", "u.kind", "u.value")
+
+
+def retries(units: DataFrame, key: str, work: Workspace) -> DataFrame:
+    """(kind, value, attempt, n) of the units (kind, value, n) that need more than the first attempt."""
+    family = F.substring_index("kind", ":", 1).alias("class")
+    real = units.select(family, F.col("value").alias("new")).distinct()
+    now, n = units.withColumn("attempt", F.lit(0)), 0
     while True:
-        named = work.table(now.withColumn("new", surrogate(key, F.col("kind"), F.col("value"), F.col("attempt"))), f"named-{n}")
-        twice = named.groupBy("kind", "new").agg(F.min("value").alias("first"), F.count("*").alias("m")).where("m > 1")
-        clash = named.join(twice, ["kind", "new"]).where("value <> first").select("kind", "value")
-        taken = named.join(real, ["kind", "new"], "left_semi").select("kind", "value")
+        named = work.table(now.withColumns({"class": family, "new": surrogate(key, F.col("kind"), F.col("value"), F.col("attempt"))}), f"named-{n}")
+        unit = F.struct("kind", "value")
+        twice = named.groupBy("class", "new").agg(F.min(unit).alias("first"), F.count("*").alias("m")).where("m > 1")
+        clash = named.join(twice, ["class", "new"]).where(unit != F.col("first")).select("kind", "value")
+        taken = named.join(real, ["class", "new"], "left_semi").select("kind", "value")
         again = work.table(clash.union(taken).distinct().withColumn("more", F.lit(1)), f"again-{n}")
-        if not again.count():
-            return named.where("attempt > 0").select("kind", "value", "attempt")
+        left = again.groupBy("kind").count().collect()
+        if not left:
+            return named.where("attempt > 0").select("kind", "value", "attempt", "n")
+        if n >= ROUNDS:
+            raise ValueError(f"too few values of their form to tell units apart: {sorted((r[0], r[1]) for r in left)}")
         n += 1
-        now = named.drop("new").join(again, ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
+        now = named.drop("new", "class").join(again, ["kind", "value"], "left").select("kind", "value", "n", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
 
 
 def pseudonymise(spark: SparkSession, documents: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with every mention in the text replaced; all columns and rows stay.
+    """The documents with every mention in the text replaced; all columns and rows stay, whatever their names.
 
     Null and empty texts stay as they are, as do texts without a mention.
-    Repeated rows are replaced alike. The key decides all surrogates; the same
-    corpus and key give the same result.
+    Repeated rows are replaced alike, and rows without an id like any other.
+    The key decides all surrogates; the same corpus and key give the same
+    result. If a form has too few values to tell its units apart (every IPv4
+    address is in use, say) it ends with an error that names the kind.
     """
     work = Workspace(spark, "pii")
-    more = work.table(retries(spark, documents, key, text, work), "retries")
+    found = work.table(mentioned(documents, text), "mentioned")
+    units = work.table(found.groupBy("kind", "value").agg(F.count("*").alias("n")), "units")
+    more = work.table(retries(units, key, work), "retries")
+    names = documents.columns
+    cut, body, tries = (fresh(names, x) for x in ("parts", "body", "attempts"))
+
+    def with_surrogates(rows: DataFrame, attempts: Column | None) -> DataFrame:
+        whole = F.when(F.size(cut) > 1, _replaced(key, F.col(cut), attempts)).otherwise(F.col(text))
+        return rows.withColumn(cut, parts_of(F.col(text))).withColumn(text, whole).select(*names)
+
     if not more.limit(1).count():
-        return documents.withColumn(text, _replaced(key, F.col(text), None))
-    found = F.flatten(F.transform(F.regexp_extract_all(F.col(text), F.lit(MENTION), F.lit(0)), units_of))
-    used = documents.select(F.col(doc_id).alias("_id"), F.explode(F.array_distinct(found)).alias("u")).select("_id", "u.kind", "u.value").join(more, ["kind", "value"]).distinct()
-    maps = used.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("_attempts"))
-    maps = work.table(maps, "maps")
-    joined = documents.join(maps, documents[doc_id].eqNullSafe(maps["_id"]), "left")
-    return joined.withColumn(text, F.when(F.col("_attempts").isNull(), _replaced(key, F.col(text), None)).otherwise(_replaced(key, F.col(text), F.col("_attempts")))).select(*documents.columns)
+        return with_surrogates(documents, None)
+    used = join_counted(found, more, ["kind", "value"]).select("body", F.concat_ws("|", "kind", "value").alias("unit"), "attempt").distinct()
+    maps = work.table(used.groupBy(F.col("body").alias(body)).agg(F.map_from_entries(F.collect_list(F.struct("unit", "attempt"))).alias(tries)), "maps")
+    digest = F.unhex(F.md5(text))
+    marked, others = by_marks(documents, digest, key_marks(maps, body, work, "marks"))
+    joined = marked.withColumn(body, digest).join(maps.hint("merge"), body, "left").withColumn(tries, F.coalesce(tries, F.create_map().cast("map<string,int>")))
+    return with_surrogates(joined, F.col(tries)).unionByName(with_surrogates(others, None))
