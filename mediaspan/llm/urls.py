@@ -1,14 +1,19 @@
 """URL verdicts: host and path rules, else gradient-boosted trees on lexical features.
 
 Everything is DataFrame expressions. The trees are trained on the URLs that a
-rule decides: each level of a tree takes one aggregation over (feature, bin),
-whose result is bounded by features times bins, and scoring is one generated
-expression.
+rule decides. Statistics of suffixes and path heads are taken out of fold there:
+a URL meets only the counts of hosts of other folds, so no URL's label stands in
+its own features. Each tree sees a part of the features, or the suffix, which
+the rules name, would be all that is learned. Each level of a tree takes one
+aggregation over (node, feature, bin), whose result is bounded, and scoring is
+one generated expression.
 """
 
 from __future__ import annotations
 
 import math
+import random
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +22,9 @@ from pyspark.sql import functions as F
 from mediaspan.plans.workspace import Workspace
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BINS = 16
-FEATURES = ("f_length", "f_host_length", "f_host_labels", "f_hyphens", "f_depth", "f_digit_ratio", "f_entropy", "f_parameters", "f_suffix_rate", "f_suffix_count")
+BINS, FOLDS = 16, 5
+TREES, DEPTH, RATE, COLUMNS = 24, 3, 0.3, 0.6
+FEATURES = ("f_length", "f_host_length", "f_host_labels", "f_hyphens", "f_depth", "f_digit_ratio", "f_entropy", "f_parameters", "f_suffix_rate", "f_suffix_count", "f_head_rate")
 
 
 def host_of(url: Column) -> Column:
@@ -59,88 +65,160 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
             "f_entropy": F.round(entropy, 6),
             "f_parameters": F.when(text.contains("?"), 1 + count(F.substring_index(text, "?", -1), "&")).otherwise(0).cast("double"),
             "suffix": F.substring_index("host", ".", -1),
+            "head": F.regexp_extract("path", "^/([^/]*)", 1),
+            "fold": F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"),
         }
     )
 
 
-def _bins(cuts: dict[str, list[float]]) -> list[Column]:
-    return [reduce(lambda a, c: a + (F.col(f) > c).cast("int"), cuts[f], F.lit(0)) for f in FEATURES]
+def _bins(cuts: dict[str, list[float]]) -> Column:
+    return F.array(*[reduce(lambda a, c: a + (F.col(f) > c).cast("int"), cuts[f], F.lit(0)) for f in FEATURES])
 
 
-def _tree(node: tuple) -> Column:
-    """A tree as an expression over the array of bins; a node is (value,) or (feature, bin, left, right)."""
-    if len(node) == 1:
-        return F.lit(node[0])
-    return F.when(F.col("bins")[node[0]] <= node[1], _tree(node[2])).otherwise(_tree(node[3]))
+@dataclass
+class Tree:
+    """Nodes are numbered as in a heap from 1; splits: node to (feature, bin), leaves: node to value."""
 
+    splits: dict[int, tuple[int, int]]
+    leaves: dict[int, float]
 
-def _leaf(g: float, h: float, rate: float) -> tuple:
-    return (-rate * g / (h + 1.0),)
+    def _at(self, node: int, leaf) -> Column:
+        if node not in self.splits:
+            return leaf(node)
+        f, b = self.splits[node]
+        return F.when(F.col("bins")[f] <= b, self._at(2 * node, leaf)).otherwise(self._at(2 * node + 1, leaf))
 
+    def node(self) -> Column:
+        return self._at(1, F.lit)
 
-def _splits(rows: list, rate: float) -> tuple[tuple, float]:
-    """The best split of a node by its (feature, bin) sums, and its gain."""
-    total_g, total_h = (sum(r[k] for r in rows if r["f"] == 0) for k in ("g", "h"))
-    best, gain = _leaf(total_g, total_h, rate), 1e-6
-    for f in range(len(FEATURES)):
+    def value(self) -> Column:
+        return self._at(1, lambda n: F.lit(self.leaves[n]))
+
+
+def _best_split(sums: dict[tuple[int, int], tuple[float, float]], features: list[int]) -> tuple | None:
+    """(feature, bin, left g and h, right g and h) of the greatest gain, from sums of (g, h) by (feature, bin)."""
+    all_g, all_h = (sum(v[k] for (f, _), v in sums.items() if f == features[0]) for k in (0, 1))
+    best, most = None, 1e-6
+    for f in features:
         g = h = 0.0
-        for r in sorted((r for r in rows if r["f"] == f), key=lambda r: r["b"]):
-            g, h = g + r["g"], h + r["h"]
-            won = g * g / (h + 1) + (total_g - g) ** 2 / (total_h - h + 1) - total_g**2 / (total_h + 1)
-            if won > gain and h > 1e-9 and total_h - h > 1e-9:
-                best, gain = (f, r["b"], _leaf(g, h, rate), _leaf(total_g - g, total_h - h, rate)), won
-    return best, gain
-
-
-def boost(rows: DataFrame, trees: int = 8, rate: float = 0.4) -> tuple[float, list[tuple]]:
-    """(first score, trees of depth two) for logistic loss; rows: y (0 or 1), bins."""
-    n, positive = rows.agg(F.count("*"), F.sum("y")).first()
-    share = min(max((positive or 0) / max(n, 1), 1e-3), 1 - 1e-3)
+        for b in sorted(b for x, b in sums if x == f):
+            g, h = g + sums[f, b][0], h + sums[f, b][1]
+            gain = g * g / (h + 1) + (all_g - g) ** 2 / (all_h - h + 1) - all_g**2 / (all_h + 1)
+            if gain > most and h > 1e-6 and all_h - h > 1e-6:
+                best, most = (f, b, (g, h), (all_g - g, all_h - h)), gain
+    return best
+
+
+def boost(rows: DataFrame, work: Workspace, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, columns: float = COLUMNS) -> tuple[float, list[Tree]]:
+    """(first score, trees) for logistic loss; rows: distinct bins with n rows, y of which are positive.
+
+    Tree number t looks at a share of the features, drawn by random.Random(t).
+    The rows' scores are written after every tree, so no plan grows.
+    """
+    n, positive = rows.agg(F.sum("n"), F.sum("y")).first()
+    share = min(max((positive or 0) / max(n or 0, 1), 1e-3), 1 - 1e-3)
     start, found = math.log(share / (1 - share)), []
-    for _ in range(trees):
-        p = 1 / (1 + F.exp(-_score(start, found)))
-        graded = rows.select("bins", (p - F.col("y")).alias("g"), (p * (1 - p)).alias("h"))
-        sums = lambda df, *by: df.select(*by, F.posexplode("bins").alias("f", "b"), "g", "h").groupBy(*by, "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-        root, _ = _splits(sums(graded), rate)
-        if len(root) == 1:
-            found.append(root)
-            break
-        f, b = root[:2]
-        parts = sums(graded.withColumn("right", F.col("bins")[f] > b), "right")
-        found.append((f, b, *(_splits([r for r in parts if r["right"] == side], rate)[0] for side in (False, True))))
+    scored = work.table(rows.select("bins", "n", "y", F.lit(start).alias("s")), "scores-0")
+    for t in range(trees if n else 0):
+        seen = sorted(random.Random(t).sample(range(len(FEATURES)), max(1, round(columns * len(FEATURES)))))
+        p = 1 / (1 + F.exp(-F.col("s")))
+        graded = scored.select("bins", (F.col("n") * p - F.col("y")).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
+        tree, open_nodes = Tree({}, {}), [1]
+        for _ in range(depth):
+            # One job a level: every row goes to its node, and the sums are at most nodes x features x bins.
+            level = graded.select(tree.node().alias("node"), F.posexplode("bins").alias("f", "b"), "g", "h").where(F.col("node").isin(open_nodes) & F.col("f").isin(seen))
+            sums: dict[int, dict] = {}
+            for r in level.groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+                sums.setdefault(r["node"], {})[r["f"], r["b"]] = (r["g"], r["h"])
+            if 1 in sums:
+                tree.leaves[1] = -rate * sum(v[0] for (f, _), v in sums[1].items() if f == seen[0]) / (sum(v[1] for (f, _), v in sums[1].items() if f == seen[0]) + 1)
+            parents, open_nodes = open_nodes, []
+            for node in parents:
+                if best := _best_split(sums.get(node, {}), seen):
+                    tree.splits[node] = best[:2]
+                    for child, (g, h) in ((2 * node, best[2]), (2 * node + 1, best[3])):
+                        tree.leaves[child] = -rate * g / (h + 1)
+                        open_nodes.append(child)
+            if not open_nodes:
+                break
+        found.append(tree)
+        scored = work.table(scored.withColumn("s", F.col("s") + tree.value()), f"scores-{t + 1}")
+        work.drop(f"scores-{t}")
     return start, found
 
 
-def _score(start: float, trees: list[tuple]) -> Column:
-    return reduce(lambda a, t: a + _tree(t), trees, F.lit(start))
+def _score(start: float, trees: list[Tree]) -> Column:
+    return reduce(lambda a, t: a + t.value(), trees, F.lit(start))
 
 
-def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", train_rows: int = 20_000, trees: int = 8) -> DataFrame:
-    """The pages with host, path, rule, verdict (allow or block) and block_score.
+@dataclass
+class UrlModel:
+    """Cut points, trees, and the written statistics of suffixes and heads; None of them if nothing was labelled."""
+
+    cuts: dict[str, list[float]]
+    start: float
+    trees: list[Tree]
+    stats: dict[str, DataFrame]
+
+    def scored(self, rows: DataFrame, url: str) -> DataFrame:
+        """rows with host and path, and block_score by the statistics of all folds."""
+        filled = _filled(lexical(rows, url), self.stats, None)
+        return filled.withColumn("bins", _bins(self.cuts)).withColumn("block_score", 1 / (1 + F.exp(-_score(self.start, self.trees))))
 
-    Trees are fitted on at most about train_rows URLs that a rule decides, a
-    share taken by the hash of the URL; suffix statistics count all of them. With
-    no decided URL the verdict is allow. A null URL or one without :// has empty
-    host and path, so no rule; repeated rows and other columns stay as they are
-    (columns named host, path, rule, verdict or block_score are replaced).
+
+def _filled(rows: DataFrame, stats: dict[str, DataFrame], fold: str | None) -> DataFrame:
+    """rows with the rates of their suffix and head and the count of the suffix, without the counts of the row's fold if one is named."""
+    for key, table in stats.items():
+        one = table.select(key, "bad", "n", "by_fold")
+        mine = F.try_element_at("by_fold", F.col(fold)) if fold else F.lit(None).cast("struct<bad:long,n:long>")
+        bad = F.coalesce(F.col("bad") - F.coalesce(mine["bad"], F.lit(0)), F.lit(0))
+        n = F.coalesce(F.col("n") - F.coalesce(mine["n"], F.lit(0)), F.lit(0))
+        rows = rows.join(one, key, "left").withColumns({f"f_{key}_rate": (bad + 1) / (n + 2), f"f_{key}_count": F.log1p(n)}).drop("bad", "n", "by_fold")
+    return rows
+
+
+def learn(spark: SparkSession, known: DataFrame, train_rows: int = 20_000, trees: int = TREES) -> UrlModel | None:
+    """A model of labelled URLs (url, host, path, y); None if there are none.
+
+    Statistics count all of them; trees are fitted on at most about train_rows,
+    a share taken by the hash of the URL.
     """
     work = Workspace(spark, "urls")
-    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "block_score")]
-    ruled = pages.select(*names).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    ruled = ruled.withColumn("_best", best_rule(F.col("host"), F.col("path"), rules))
-    known = ruled.where("_best is not null").select(F.col(url).alias("url"), "host", "path", (F.col("_best.verdict") == "block").cast("int").alias("y"))
-    # A third of all URLs may share a suffix: counts combine before the shuffle, and the join may be split.
-    by_suffix = known.groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
-    suffixes = work.table(by_suffix.select("suffix", ((F.col("bad") + 1) / (F.col("n") + 2)).alias("f_suffix_rate"), F.log1p("n").alias("f_suffix_count")), "suffixes")
-    n = known.count()
+    slim = work.table(lexical(known.select("url", "host", "path", "y")).drop("host", "path"), "known")
+    n = slim.count()
+    if not n:
+        return None
+    stats = {}
+    for key in ("suffix", "head"):
+        # A third of all URLs may share a key: counts combine before the shuffle.
+        folds = slim.groupBy(key, "fold").agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
+        each = F.map_from_entries(F.collect_list(F.struct("fold", F.struct("bad", "n"))))
+        stats[key] = work.table(folds.groupBy(key).agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), each.alias("by_fold")), key)
     share = max(1, -(-n // train_rows))
-    filled = lambda df: df.join(suffixes, "suffix", "left").fillna({"f_suffix_rate": 0.5, "f_suffix_count": 0.0})
-    train = work.table(filled(lexical(known.where(F.pmod(F.xxhash64("url"), F.lit(share)) == 0))).select("y", *FEATURES), "train")
+    sample = slim.where(F.pmod(F.xxhash64("url"), F.lit(share)) == 0)
+    train = work.table(_filled(sample, stats, "fold").select("y", *FEATURES), "train")
     steps = [i / BINS for i in range(1, BINS)]
     cuts = {f: sorted(set(q)) for f, q in zip(FEATURES, train.approxQuantile(list(FEATURES), steps, 0.001), strict=True)}
-    rows = work.table(train.select("y", F.array(*_bins(cuts)).alias("bins")), "bins")
-    start, found = boost(rows, trees)
-    scored = filled(lexical(ruled, url)).withColumn("bins", F.array(*_bins(cuts)))
-    score = 1 / (1 + F.exp(-_score(start, found))) if n else F.lit(0.0)
-    verdict = F.coalesce(F.col("_best.verdict"), F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
-    return scored.withColumn("block_score", score).select(*names, "host", "path", F.col("_best.rule").alias("rule"), verdict.alias("verdict"), "block_score")
+    rows = train.select("y", _bins(cuts).alias("bins")).groupBy("bins").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    start, found = boost(rows.coalesce(2), work, trees)
+    return UrlModel(cuts, start, found, stats)
+
+
+def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", train_rows: int = 20_000, trees: int = TREES) -> DataFrame:
+    """The pages with host, path, rule, verdict (allow or block) and block_score.
+
+    With no URL that a rule decides the verdict is allow and the score 0. A null
+    or empty URL or one without :// has empty host and path, so no rule;
+    repeated rows and long URLs count like any other. All other columns stay as
+    they are, whatever their names; columns named host, path, rule, verdict or
+    block_score are replaced.
+    """
+    names = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "block_score")]
+    # The input's columns travel in one struct, so that none can meet a feature of its name.
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(url).alias("url"))
+    ruled = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
+    known = ruled.where("best is not null").select("url", "host", "path", (F.col("best.verdict") == "block").cast("int").alias("y"))
+    model = learn(spark, known, train_rows, trees)
+    scored = ruled.withColumn("block_score", F.lit(0.0)) if model is None else model.scored(ruled, "url")
+    verdict = F.coalesce(F.col("best.verdict"), F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
+    return scored.select("row.*", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "block_score")

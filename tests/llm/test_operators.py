@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mediaspan.llm import counts, decontaminate, embeddings, language, lines, minhash, packing, pii, substrings, urls
 from mediaspan.llm.queries import RULES, TOKENIZER, oracle_sql, queries
 from mediaspan.llm.tokens import encoder
+from mediaspan.plans.workspace import Workspace
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, id long, key string"
@@ -473,6 +474,80 @@ def test_url_rules_and_verdicts(spark):
     assert urls.judge(spark, df.limit(0), RULES).count() == 0
 
 
+def test_url_columns_repeats_and_long_urls(spark):
+    schema = "page_id long, url string, suffix string, bins int, best int, f_depth double, head string, y int, n int, fold int, row string"
+    rows = [(1, "http://a.net/x", "mine", 1, 2, 7.0, "h", 3, 4, 5, "r")] * 3 + [(2, "http://b.org/fr/" + "a/" * 200_000, "mine", 1, 2, 7.0, "h", 3, 4, 5, "r"), (3, None, None, None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    out = urls.judge(spark, df, RULES)
+    assert out.columns == [*df.columns, "host", "path", "rule", "verdict", "block_score"]
+    assert sorted(tuple(r)[:11] for r in out.where("page_id < 3").collect()) == sorted(rows[:4]) and out.count() == 5
+    assert [r.verdict for r in out.where("page_id = 2").collect()] == ["allow"]
+
+
+def boost_brute(bins, n, y, trees, depth, rate, columns):
+    """Scores of the rows, node by node over masks."""
+    import random
+
+    share = min(max(y.sum() / n.sum(), 1e-3), 1 - 1e-3)
+    score = np.full(len(n), np.log(share / (1 - share)))
+    for t in range(trees):
+        seen = sorted(random.Random(t).sample(range(bins.shape[1]), max(1, round(columns * bins.shape[1]))))
+        p = 1 / (1 + np.exp(-score))
+        g, h = n * p - y, n * p * (1 - p)
+
+        def grow(mask, level, g=g, h=h, seen=seen):
+            score[mask] += 0
+            best = (1e-6, None)
+            for f in seen if level < depth else ():
+                for b in range(int(bins[:, f].max())):
+                    left, right = mask & (bins[:, f] <= b), mask & (bins[:, f] > b)
+                    if left.any() and right.any():
+                        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+                        best = max(best, (part(left) + part(right) - part(mask), (f, b)), key=lambda x: x[0])
+            if best[1] is None:
+                added[mask] = -rate * g[mask].sum() / (h[mask].sum() + 1)
+            else:
+                f, b = best[1]
+                grow(mask & (bins[:, f] <= b), level + 1)
+                grow(mask & (bins[:, f] > b), level + 1)
+
+        added = np.zeros(len(n))
+        grow(np.ones(len(n), dtype=bool), 0)
+        score += added
+    return score
+
+
+def test_boosting_equals_brute_force(spark):
+    rng = np.random.default_rng(11)
+    bins = np.unique(rng.integers(0, 6, size=(150, len(urls.FEATURES))), axis=0)
+    n = rng.integers(1, 9, len(bins))
+    y = rng.binomial(n, 1 / (1 + np.exp(-(bins[:, 0] + bins[:, 8] - bins[:, 3] - 2.5))))
+    rows = spark.createDataFrame([(b.tolist(), int(c), int(k)) for b, c, k in zip(bins, n, y, strict=True)], "bins array<int>, n long, y long").coalesce(1)
+    start, trees = urls.boost(rows, Workspace(spark, "boost"), trees=5, depth=3, rate=0.3, columns=0.6)
+    got = {tuple(r.bins): r.s for r in rows.select("bins", urls._score(start, trees).alias("s")).collect()}
+    want = boost_brute(bins, n, y, 5, 3, 0.3, 0.6)
+    assert np.allclose([got[tuple(b)] for b in bins.tolist()], want, atol=1e-9)
+
+
+def test_url_trees_rank_held_out_urls_and_look_beyond_the_suffix(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    ruled = pages.withColumns({"host": urls.host_of(F.col("url")), "path": urls.path_of(F.col("url"))})
+    ruled = ruled.withColumn("best", urls.best_rule(F.col("host"), F.col("path"), RULES))
+    known = ruled.where("best is not null").select("url", "host", "path", (F.col("best.verdict") == "block").cast("int").alias("y"))
+    held = F.pmod(F.xxhash64("url"), F.lit(4)) == 0
+    model = urls.learn(spark, known.where(~held))
+    rows = model.scored(known.where(held), "url").select("y", "block_score").collect()
+    good, bad = ([r.block_score for r in rows if r.y == k] for k in (0, 1))
+    auc = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
+    loss = -np.mean([np.log(r.block_score if r.y else 1 - r.block_score) for r in rows])
+    base = np.mean([r.y for r in rows])
+    assert auc > 0.9 and loss < 0.8 * -(base * np.log(base) + (1 - base) * np.log(1 - base))
+    unruled = urls.learn(spark, known).scored(ruled.where("best is null"), "url").select(F.substring_index("host", ".", -1).alias("s"), "block_score").collect()
+    com, org = ([r.block_score for r in unruled if r.s == suffix] for suffix in ("com", "org"))
+    # Every labelled .com is blocked and every .org allowed; still the scores are not the suffix's alone.
+    assert 0 < np.mean([x >= 0.5 for x in com]) < 1 and max(org) - min(org) > 0.1
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 16))
