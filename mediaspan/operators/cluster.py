@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,23 +12,65 @@ from mediaspan.plans.catalog import Library
 from mediaspan.plans.registry import query
 from mediaspan.plans.workspace import Workspace
 
-DISTANCE, NEIGHBOURS, TILE = 0.65, 80, 256
+DISTANCE, NEIGHBOURS, TILE = 0.65, 80, 1024
+#: Below so many faces the graph is exact by default.
+EXACT_BELOW = 8000
+
+
+def graph_strategy(n: int, mode: str = "auto") -> str:
+    """exact or fast: as asked for, else by the number of faces."""
+    if mode not in ("auto", "exact", "fast"):
+        raise ValueError(f"unknown graph mode {mode}")
+    return mode if mode != "auto" else "exact" if n < EXACT_BELOW else "fast"
+
+
+def _tile_pair(distance: float, k: int):
+    def near(tiles: pd.DataFrame) -> pd.DataFrame:
+        """Of each vector of two tiles (or one) its k nearest in the other, by one matrix product."""
+        left, right = (tiles[tiles.tile == t] for t in (tiles.p.iloc[0], tiles.q.iloc[0]))
+        a, b = (t.node.to_numpy() for t in (left, right))
+        x, y = (np.stack(t.embedding.to_numpy()).astype(np.float64) for t in (left, right))
+        d = 1 - np.clip(x @ y.T, -1, 1)
+        d[left.owner.to_numpy()[:, None] == right.owner.to_numpy()[None, :]] = np.inf
+        found = []
+        for here, there, far in ((a, b, d),) if tiles.p.iloc[0] == tiles.q.iloc[0] else ((a, b, d), (b, a, d.T)):
+            order = np.argsort(there, kind="stable")
+            far, there = far[:, order], there[order]
+            best = np.argsort(far, axis=1, kind="stable")[:, :k]
+            row = np.repeat(np.arange(len(here)), best.shape[1])
+            one = pd.DataFrame({"a": here[row], "b": there[best.ravel()], "d": far[row, best.ravel()]})
+            found.append(one[one.d < distance])
+        return pd.concat(found)
+
+    return near
+
+
+def neighbours(vectors: DataFrame, work: Workspace, distance: float = DISTANCE, k: int = NEIGHBOURS) -> DataFrame:
+    """(a, b, weight) of the k nearest within the distance; weight (1 - d) squared. vectors: node, owner, embedding.
+
+    Nodes of one owner (faces of one file) are never neighbours. Vectors are
+    dealt to tiles and every two tiles meet in one group of at most about
+    2 x TILE vectors, which puts forward k a vector; no pairs beyond are made.
+    Null vectors are left out. Vectors are taken to be of one length.
+    """
+    known = vectors.where("embedding is not null and size(embedding) > 0")
+    tiles = max(1, -(-known.count() // TILE))
+    dealt = known.select("node", "owner", "embedding", F.pmod(F.xxhash64("node"), F.lit(tiles)).cast("int").alias("tile"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other")
+    paired = dealt.select("*", others).select("node", "owner", "embedding", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
+    near = paired.groupBy("p", "q").applyInPandas(_tile_pair(distance, k), "a long, b long, d double")
+    best = Window.partitionBy("a").orderBy("d", "b")
+    kept = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    return work.table(kept.select("a", "b", F.pow(1 - F.col("d"), F.lit(2)).alias("weight")), "neighbours")
 
 
-def neighbours(lib: Library, distance: float = DISTANCE, k: int = NEIGHBOURS) -> DataFrame:
-    """(a, b, weight) of the k nearest within the distance; weight (1 - d) squared, both ways.
+def faces(lib: Library, per_file: int = 1) -> DataFrame:
+    """The library's vectors as faces, so many a file."""
+    return lib.embeds.select(F.col("file_id").alias("node"), F.floor(F.col("file_id") / per_file).alias("owner"), "embedding")
 
-    Rows are dealt into tiles; each row meets every tile once, so a task holds
-    one tile of one side and streams the other.
-    """
-    v = lib.embeds.select("file_id", "embedding")
-    x = v.select(F.col("file_id").alias("a"), F.col("embedding").alias("va"))
-    y = v.select(F.col("file_id").alias("b"), F.col("embedding").alias("vb"))
-    d = 1 - F.greatest(F.least(dot(F.col("va"), F.col("vb")), F.lit(1.0)), F.lit(-1.0))
-    near = x.join(y, F.col("a") < F.col("b")).withColumn("d", d).where(F.col("d") < distance)
-    both = near.select("a", "b", "d").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    best = Window.partitionBy("a").orderBy("d", "b")
-    return both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("a", "b", F.pow(1 - F.col("d"), F.lit(2)).alias("weight"))
+
+def _graph_of(lib: Library, per_file: int = 1) -> DataFrame:
+    return neighbours(faces(lib, per_file), Workspace(lib.spark, "graph"))
 
 
 _GRAPH = f""", d as (select x.file_id a, y.file_id b, 1 - greatest(least({_COS.format('x.embedding', 'y.embedding')}, 1), -1) d from v_embeds x join v_embeds y on x.file_id <> y.file_id),
@@ -35,7 +79,13 @@ g as (select a, b, (1 - d) * (1 - d) weight from (select *, row_number() over (p
 
 @query("C2_J13_W4_knn_graph", _GRAPH + "select a, b, round(weight, 6) weight from g")
 def graph(lib: Library) -> DataFrame:
-    return neighbours(lib).select("a", "b", F.round("weight", 6).alias("weight"))
+    return _graph_of(lib).select("a", "b", F.round("weight", 6).alias("weight"))
+
+
+@query("J14_same_file_ban", _GRAPH.replace("on x.file_id <> y.file_id", "on x.file_id // 3 <> y.file_id // 3") + "select a, b, round(weight, 6) weight from g")
+def banned_graph(lib: Library) -> DataFrame:
+    """Three faces a file, which never meet each other."""
+    return _graph_of(lib, 3).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
 def propagate(edges: DataFrame, work: Workspace, rounds: int = 20, seed_labels: DataFrame | None = None) -> DataFrame:
@@ -64,16 +114,48 @@ def propagate(edges: DataFrame, work: Workspace, rounds: int = 20, seed_labels:
     return labels.select("node", "label")
 
 
-@query("C4_C5_clusters")
+@query("C4_clusters")
 def clusters(lib: Library) -> DataFrame:
-    labels = propagate(neighbours(lib), Workspace(lib.spark, "clusters"))
+    labels = propagate(_graph_of(lib), Workspace(lib.spark, "clusters"))
     return labels.groupBy("label").agg(F.count("*").alias("n"), F.min("node").alias("first_file"))
 
 
+def assignments(labels: DataFrame, known: DataFrame, next_number: int, work: Workspace, min_size: int = 2) -> DataFrame:
+    """(node, person_id, person_name) of the nodes that have no person yet, in clusters of min_size nodes or more.
+
+    labels: node, label; known: node, person_id. A cluster with known persons
+    gives the least of them; a new one gets the next free "Person N", in the
+    order of labels. Known assignments are never overwritten.
+    """
+    rows = labels.join(known, "node", "left")
+    groups = work.table(rows.groupBy("label").agg(F.count("*").alias("n"), F.min("person_id").alias("person_id")).where(F.col("n") >= min_size), "groups")
+    # Numbers of new clusters: the count of a range partition's rows before, then the place inside it.
+    fresh = groups.where("person_id is null").select("label").repartitionByRange("label").select("label", F.spark_partition_id().alias("part"))
+    fresh = work.table(fresh, "fresh")
+    sizes = fresh.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("label")) - 1
+    named = fresh.join(F.broadcast(before), "part").select("label", F.concat(F.lit("Person "), (F.lit(next_number) + F.col("before") + place).cast("string")).alias("person_name"))
+    open_nodes = rows.where("person_id is null").select("node", "label")
+    return open_nodes.join(groups.select("label", "person_id"), "label").join(named, "label", "left").select("node", "person_id", "person_name")
+
+
+@query("C3_C5_assignment")
+def assigned(lib: Library) -> DataFrame:
+    """Every tenth face has a person already; the others follow their clusters."""
+    work = Workspace(lib.spark, "persons")
+    known = lib.embeds.where("file_id % 10 = 0").select(F.col("file_id").alias("node"), (F.col("label") + 1).cast("long").alias("person_id"))
+    # Labels of persons lie below those of nodes, which are not negative.
+    seeds = known.select("node", (-F.col("person_id")).alias("label"))
+    labels = propagate(_graph_of(lib), work, seed_labels=seeds)
+    number = lib.persons.agg(F.max(F.regexp_extract("name", "([0-9]+)$", 1).try_cast("long"))).first()[0] or 0
+    return assignments(work.table(labels, "labels"), known, number + 1, work)
+
+
 @query("A28_A29_U6_graph_overlap", _GRAPH + ", t as (select a, list_sort(list(b)) f from (select *, row_number() over (partition by a order by weight desc, b) r from g) where r <= 5 group by a), u as (select a, list_sort(list(b)) f from g group by a) select t.a, round(len(list_intersect(t.f, u.f)) / cast(len(list_distinct(list_concat(t.f, u.f))) as double), 6) jaccard from t join u using (a)")
 def overlap(lib: Library) -> DataFrame:
     """Jaccard of each node's five best neighbours with all its neighbours."""
-    n = neighbours(lib)
+    n = _graph_of(lib)
     best = n.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), "b"))).where("r <= 5").groupBy("a").agg(F.collect_set("b").alias("t"))
     every = n.groupBy("a").agg(F.collect_set("b").alias("u"))
     return best.join(every, "a").select("a", F.round(F.size(F.array_intersect("t", "u")) / F.size(F.array_union("t", "u")), 6).alias("jaccard"))

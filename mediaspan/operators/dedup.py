@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaspan.plans.catalog import Library
@@ -37,30 +37,81 @@ def keepers(lib: Library) -> DataFrame:
     return m.select("hash", "file_id", (F.count("*").over(Window.partitionBy("hash")) - place + 1).cast("long").alias("score"), (place == 1).alias("is_keep"))
 
 
-register("D9_delete_candidates", lambda lib: keepers(lib).where("not is_keep").select("file_id").distinct(), f", g as ({_GROUPS}), m as (select h.hash, h.file_id, row_number() over (partition by h.hash order by coalesce(taken_date, 0) > 0 desc, created_at nulls first, h.file_id) r from v_hashes h join g using (hash, file_size) left join v_files a on a.id = h.file_id) select file_id from m where r > 1")
+def delete_candidates(lib: Library) -> DataFrame:
+    """Members of exact groups but for each one's first. Firsts combine before the shuffle, so a large group is no burden."""
+    m = lib.hashes.join(exact_groups(lib).select("hash", "file_size"), ["hash", "file_size"]).join(lib.files.select(F.col("id").alias("file_id"), "taken_date", "created_at"), "file_id", "left")
+    undated, age = (F.coalesce("taken_date", F.lit(0)) <= 0).alias("undated"), F.coalesce("created_at", F.lit(-(2**63))).alias("age")
+    first = m.groupBy("hash").agg(F.min(F.struct(undated, age, "file_id"))["file_id"].alias("first"))
+    return m.join(first, "hash").where("file_id <> first").select("file_id").distinct()
+
+
+register("D9_delete_candidates", delete_candidates, f", g as ({_GROUPS}), m as (select h.hash, h.file_id, row_number() over (partition by h.hash order by coalesce(taken_date, 0) > 0 desc, created_at nulls first, h.file_id) r from v_hashes h join g using (hash, file_size) left join v_files a on a.id = h.file_id) select file_id from m where r > 1")
+
+
+@query("O7_group_items", f", g as ({_GROUPS}), m as (select h.hash, h.file_id, row_number() over (partition by h.hash order by coalesce(taken_date, 0) > 0 desc, created_at nulls first, h.file_id) r, count(*) over (partition by h.hash) n from v_hashes h join g using (hash, file_size) left join v_files a on a.id = h.file_id) select hash, file_id, n - r + 1 score, r = 1 is_keep from m order by hash, is_keep desc, score desc")
+def group_items(lib: Library) -> DataFrame:
+    """The members of every group: the kept one first, then by falling score."""
+    return keepers(lib).orderBy("hash", F.desc("is_keep"), F.desc("score"))
+
+
+@query("U5_group_ids", f", g as ({_GROUPS}) select distinct hash from v_hashes join g using (hash, file_size) where file_id in (select id from v_visible)")
+def touched_groups(lib: Library) -> DataFrame:
+    """The groups with a member in scope, each once: a scoped rebuild replaces these."""
+    scope = lib.visible(lib.base).select(F.col("id").alias("file_id"))
+    return lib.hashes.join(exact_groups(lib).select("hash", "file_size"), ["hash", "file_size"]).join(scope, "file_id", "left_semi").select("hash").distinct()
+
+
+CELLS = 72
+#: Bits that perceptual hashes may differ in, by strictness.
+STRICTNESS = (6, 8, 12)
 
 
 def phashes(lib: Library) -> DataFrame:
-    """A 64-bit difference hash of a 9 by 8 grid of the text's first code points: bit (y*8+x) is left > right."""
-    grid = F.transform(F.split(F.rpad(F.coalesce("text", F.lit("")), 72, " "), ""), lambda c: F.ascii(c))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(i.alias("i"), (F.floor(i / 8) * 9 + i % 8 + 1).cast("int").alias("p")))
-    value = F.aggregate(bits, F.lit(0).cast("long"), lambda h, b: h.bitwiseOR(F.when(F.element_at(grid, b["p"]) > F.element_at(grid, b["p"] + 1), F.call_function("shiftleft", F.lit(1).cast("long"), b["i"])).otherwise(F.lit(0).cast("long"))))
-    return lib.table("documents").select((F.col("doc_id") + 1).alias("file_id"), value.alias("phash"), F.col("n_chars").alias("size"))
+    """A 64-bit difference hash of the whole text, resized to 9 by 8: bit (y*8+x) is left > right.
+
+    A cell is the mean code point of one of 72 equal stretches, rounded down; shorter texts are padded with blanks.
+    """
+    text = F.coalesce("text", F.lit(""))
+    codes = F.transform(F.split(F.rpad(text, F.greatest(F.length(text), F.lit(CELLS)), F.lit(" ")), ""), lambda c: F.ascii(c).cast("long"))
+
+    def cells(a: Column) -> Column:
+        edge = lambda c: F.floor(c * F.size(a) / CELLS).cast("int")
+        mean = lambda low, high: F.floor(F.aggregate(F.slice(a, low + 1, high - low), F.lit(0).cast("long"), lambda x, y: x + y) / (high - low))
+        return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: mean(edge(c), edge(c + 1)))
+
+    def hashed(grid: Column) -> Column:
+        set_bit = lambda i: F.when(F.element_at(grid, (F.floor(i / 8) * 9 + i % 8 + 1).cast("int")) > F.element_at(grid, (F.floor(i / 8) * 9 + i % 8 + 2).cast("int")), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda h, i: h.bitwiseOR(set_bit(i)))
 
+    # Arrays of one element bind a value, so that it is made once and not once a cell.
+    bound = F.transform(F.transform(F.array(codes), cells), hashed)
+    return lib.table("documents").select((F.col("doc_id") + 1).alias("file_id"), F.element_at(bound, 1).alias("phash"), F.col("n_chars").alias("size"))
 
-_PHASH = """, t as (select doc_id + 1 file_id, rpad(coalesce(text, ''), 72, ' ') t, n_chars size from documents),
-p as (select file_id, size, list_transform(range(64), lambda i: case when unicode(substr(t, cast(i // 8 * 9 + i % 8 + 1 as bigint), 1)) > unicode(substr(t, cast(i // 8 * 9 + i % 8 + 2 as bigint), 1)) then 1 else 0 end) bits from t) """
+
+_PHASH = """, t as (select doc_id + 1 file_id, list_transform(string_split(rpad(coalesce(text, ''), cast(greatest(72, length(coalesce(text, ''))) as int), ' '), ''), lambda c: unicode(c)) codes, n_chars size from documents),
+c as (select file_id, size, list_transform(range(72), lambda c: list_sum(codes[c * len(codes) // 72 + 1 : (c + 1) * len(codes) // 72]) // ((c + 1) * len(codes) // 72 - c * len(codes) // 72)) cells from t),
+p as (select file_id, size, list_transform(range(64), lambda i: case when cells[i // 8 * 9 + i % 8 + 1] > cells[i // 8 * 9 + i % 8 + 2] then 1 else 0 end) bits from c) """
 
 
 def near_pairs(hashes: DataFrame, distance: int) -> DataFrame:
-    """Pairs within a Hamming distance d: 64 bits in at least d + 1 bands, of which any such pair shares one.
+    """Pairs within a Hamming distance: of distance // 3 + 1 bands, some one differs in two bits at most.
 
+    Both sides put forward each band as it is and with any one bit turned; two
+    values of a band that differ by two bits meet halfway. Bands of 20 bits and
+    more keep buckets small, and rows grow with the hashes, not with pairs.
     Equal hashes collapse first, so a hash that many files share is compared once.
     """
-    width = 64 // (distance + 1)
+    bands = distance // 3 + 1
+    width = -(-64 // bands)
     distinct = hashes.groupBy("phash").agg(F.min("file_id").alias("file_id"))
-    bands = [F.struct(F.lit(n).alias("n"), F.call_function("shiftrightunsigned", F.col("phash"), F.lit(n * width)).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for n in range(-(-64 // width))]
-    banded = distinct.select("file_id", "phash", F.explode(F.array(*bands)).alias("band"))
+    one = F.lit(1).cast("long")
+
+    def met(n: int) -> Column:
+        value = F.call_function("shiftrightunsigned", F.col("phash"), F.lit(n * width)).bitwiseAND(F.lit((1 << width) - 1))
+        turned = F.transform(F.sequence(F.lit(0), F.lit(min(width, 64 - n * width) - 1)), lambda b: value.bitwiseXOR(F.call_function("shiftleft", one, b)))
+        return F.transform(F.concat(F.array(value), turned), lambda v: v + F.lit(n << width))
+
+    banded = distinct.select("file_id", "phash", F.explode(F.concat(*[met(n) for n in range(bands)])).alias("band"))
     x = banded.select("band", F.col("file_id").alias("a"), F.col("phash").alias("pa"))
     y = banded.select("band", F.col("file_id").alias("b"), F.col("phash").alias("pb"))
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= distance)
@@ -73,7 +124,9 @@ def similar_groups(lib: Library, distance: int = 8) -> DataFrame:
     """(group_id, file_id): files that differ by few bits, transitively; those of exact groups are left out."""
     exact = lib.hashes.join(exact_groups(lib).select("hash", "file_size"), ["hash", "file_size"]).select("file_id")
     rest = phashes(lib).join(exact, "file_id", "left_anti")
-    labels = connected_components(near_pairs(rest.select("file_id", "phash"), distance), "a", "b", Workspace(lib.spark, "similar"))
+    work = Workspace(lib.spark, "similar")
+    rest = work.table(rest, "phashes")
+    labels = connected_components(near_pairs(rest.select("file_id", "phash"), distance), "a", "b", work)
     return labels.select(F.col("component").alias("group_id"), F.col("node").alias("file_id"))
 
 
@@ -90,12 +143,45 @@ def _reached(lib: Library) -> DataFrame:
     return pairs.select(F.col("a").alias("file_id")).union(pairs.select("b")).distinct()
 
 
-@query("D4_D5_A20_similar_groups")
-def similar_stats(lib: Library) -> DataFrame:
-    members = similar_groups(lib).join(phashes(lib).select("file_id", "size"), "file_id")
+_NEAR_AT = _NEAR.replace("<= 8", "<= {0}")
+_STATS = _REST + f""", e as materialized (select a, b from {_NEAR_AT} union all select b, a from {_NEAR_AT}),
+w as (with recursive reach(x, y) as (select a, a from e union select r.x, e.b from reach r join e on r.y = e.a) select x, min(y) g from reach group by x)
+select g group_id, count(*) n, max(size) largest, cast(sum(size) as bigint) total_size from w join p on p.file_id = w.x group by g"""
+
+
+def similar_stats(lib: Library, distance: int) -> DataFrame:
+    members = similar_groups(lib, distance).join(lib.table("documents").select((F.col("doc_id") + 1).alias("file_id"), F.col("n_chars").alias("size")), "file_id")
     return members.groupBy("group_id").agg(F.count("*").alias("n"), F.max("size").alias("largest"), F.sum("size").alias("total_size"))
 
 
+for _level, _bits in enumerate(STRICTNESS):
+    register("D4_D5_A20_similar_groups" if _level == 1 else f"D6_similar_groups_strictness{_level}", lambda lib, d=_bits: similar_stats(lib, d), _STATS.format(_bits))
+
+
+@query("D1_hash_refresh", "select doc_id + 1 file_id, case when doc_id % 5 = 0 then 'new' when doc_id % 3 = 0 then 'changed' end state, sha256(coalesce(text, '')) hash from documents where doc_id % 5 = 0 or doc_id % 3 = 0")
+def hash_refresh(lib: Library) -> DataFrame:
+    """Files to hash anew: those without a stored hash, or whose stored time of change is another."""
+    docs = lib.table("documents")
+    stored = docs.where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("stored_mtime"))
+    return changed_rows(docs.withColumn("mtime", F.lit(0)), stored, "doc_id").select((F.col("doc_id") + 1).alias("file_id"), "state", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+
+
+def changed_rows(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """rows (key, mtime, ...) that are not in stored (key, stored_mtime), or there with another time, with their state."""
+    joined = rows.join(stored, key, "left")
+    state = F.when(F.col("stored_mtime").isNull(), "new").when(F.col("stored_mtime") != F.col("mtime"), "changed")
+    return joined.withColumn("state", state).where("state is not null").drop("stored_mtime")
+
+
+@query("D3_phash_refresh", _PHASH + "select file_id, cast(list_sum(bits) as bigint) ones from p where (file_id - 1) % 4 = 0 and file_id in (select id from v_files where file_type in (1, 3))")
+def phash_refresh(lib: Library) -> DataFrame:
+    """Perceptual hashes of images and raw files whose stored hash is missing."""
+    pictures = lib.files.where("file_type in (1, 3)").select(F.col("id").alias("file_id"))
+    stored = lib.table("documents").where("doc_id % 4 <> 0").select((F.col("doc_id") + 1).alias("file_id"))
+    due = phashes(lib).join(pictures, "file_id", "left_semi").join(stored, "file_id", "left_anti")
+    return due.select("file_id", F.bit_count("phash").cast("long").alias("ones"))
+
+
 register("J10_hashes_files", lambda lib: lib.hashes.join(lib.files.select(F.col("id").alias("file_id"), "name"), "file_id").select("file_id", "hash", "name"), "select file_id, hash, name from v_hashes join v_files on id = file_id")
 register("J11_U2_not_exact", lambda lib: lib.hashes.join(exact_groups(lib).select("hash", "file_size"), ["hash", "file_size"], "left_anti").select("file_id"), f", g as ({_GROUPS}) select file_id from v_hashes where (hash, file_size) not in (select (hash, file_size) from g)")
 register("X14_content_hash", lambda lib: lib.table("documents").select("doc_id", F.sha2("text", 256).alias("hash")), "select doc_id, sha256(text) hash from documents")
