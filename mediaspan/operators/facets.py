@@ -43,8 +43,8 @@ register("A7_location_facet", lambda lib: nested(lib.files.withColumn("place", F
 for _code, _order in enumerate(("label", "label desc", "total, label", "total desc, label")):
     register(
         f"A9_facet_sort{_code}",
-        lambda lib, code=_code: nested(lib.files, "e_make", "e_model").orderBy(*([F.col("label").asc()], [F.col("label").desc()], [F.col("total").asc(), F.col("label").asc()], [F.col("total").desc(), F.col("label").asc()])[code]).limit(2).select("label", "total"),
-        f"select label, total from ({_nested_sql('e_make', 'e_model')}) order by {_order} limit 2",
+        lambda lib, code=_code: nested(lib.files, "e_make", "e_model").orderBy(*([F.col("label").asc()], [F.col("label").desc()], [F.col("total").asc(), F.col("label").asc()], [F.col("total").desc(), F.col("label").asc()])[code]).select("label", "total"),
+        f"select label, total from ({_nested_sql('e_make', 'e_model')}) order by {_order}",
     )
 
 
@@ -89,6 +89,6 @@ def collection_counts(lib: Library) -> DataFrame:
     return members.groupBy("collection_id").agg(F.count("*").alias("n"), F.sum("size").alias("total_size"))
 
 
-register("O9_collection_order", lambda lib: lib.collections.where("collection_id = 3").orderBy(F.desc("added_at"), F.desc("file_id")).limit(10).select("file_id"), "select file_id from v_collections where collection_id = 3 order by added_at desc, file_id desc limit 10")
+register("O9_collection_order", lambda lib: lib.collections.orderBy("collection_id", F.desc("added_at"), F.desc("file_id")).select("collection_id", "file_id"), "select collection_id, file_id from v_collections order by collection_id, added_at desc, file_id desc")
 register("A26_next_person", lambda lib: lib.persons.agg((F.max(F.regexp_extract("name", "([0-9]+)$", 1).try_cast("long")) + 1).alias("next_number")), "select max(try_cast(regexp_extract(name, '([0-9]+)$', 1) as bigint)) + 1 next_number from v_persons")
 register("A25_cluster_sizes", lambda lib: lib.faces.where("person_id is not null").groupBy("person_id").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("files")), "select person_id, count(*) n, count(distinct file_id) files from v_faces where person_id is not null group by 1")

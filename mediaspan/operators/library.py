@@ -80,16 +80,47 @@ def folder_counter(lib: Library) -> DataFrame:
     return lib.files.groupBy("folder_id").agg(F.count_if(image).alias("images"), sized(image).alias("image_bytes"), F.count_if(video).alias("videos"), sized(video).alias("video_bytes"))
 
 
-_TYPES = {1: ["jpg", "jpeg", "png", "gif", "bmp", "webp", "heic", "avif", "tif", "tiff", "jxl"], 2: ["mp4", "mov", "mkv", "avi", "webm", "m4v"], 3: ["cr2", "cr3", "nef", "arw", "dng", "raf", "orf", "rw2"]}
+# File name extensions by type (1 image, 2 video, 3 raw).
+_TYPES = {
+    1: "jpg jpeg png gif bmp tif tiff webp avif heic heif hif jxl psd exr hdr rgbe tga dds qoi jp2 j2k j2c jpc jpf jpx dpx".split(),
+    2: "mpg mpeg mp4 mkv avi mov webm flv wmv 3gp m4v hevc asf mts m2ts mod tod ts".split(),
+    3: "cr2 cr3 crw nef nrw arw srf sr2 raf rw2 orf pef dng srw rwl mrw 3fr mos iiq x3f dcr kdc erf mef raw mdc".split(),
+}
 
 
-@query("S8_file_type_classifier", "select id, case lower(regexp_extract(name, '\\.([^.]*)$', 1)) when 'mp4' then 2 when 'cr2' then 3 else 1 end kind from v_files")
-def classify(lib: Library) -> DataFrame:
-    ext = F.lower(F.substring_index("name", ".", -1))
-    kind = F.when(ext.isin(_TYPES[1]), 1).when(ext.isin(_TYPES[2]), 2).when(ext.isin(_TYPES[3]), 3)
-    return lib.files.select("id", kind.alias("kind"))
+def extension(name) -> F.Column:
+    """What follows the last dot, lower-cased; null without one or in a name that only begins with it."""
+    return F.when(name.rlike(r"[^/]\.[^./]+$"), F.lower(F.substring_index(name, ".", -1)))
 
 
+def file_stem(name) -> F.Column:
+    """The name without its extension."""
+    return F.when(name.rlike(r"[^/]\.[^./]*$"), F.regexp_replace(name, r"\.[^./]*$", "")).otherwise(name)
+
+
+def file_type(name) -> F.Column:
+    """1 image, 2 video, 3 raw, null for anything else."""
+    ext = extension(name)
+    return F.when(ext.isin(_TYPES[1]), 1).when(ext.isin(_TYPES[2]), 2).when(ext.isin(_TYPES[3]), 3)
+
+
+#: Names with every extension there is: those of the files, each second one with another.
+_SAMPLE = [*_TYPES[1], *_TYPES[2], *_TYPES[3], "txt", "JPG", "Cr2", ""]
+_NAMED = f"(select id, case when id % 2 = 0 then name else 'a.b_' || id || '.' || [{', '.join(repr(x) for x in _SAMPLE)}][id % {len(_SAMPLE)} + 1] end as name from v_files)"
+
+
+def _named(lib: Library) -> DataFrame:
+    other = F.concat(F.lit("a.b_"), F.col("id").cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, _SAMPLE)), (F.col("id") % len(_SAMPLE) + 1).cast("int")))
+    return lib.files.select("id", F.when(F.col("id") % 2 == 0, F.col("name")).otherwise(other).alias("name"))
+
+
+def _in(kind: int) -> str:
+    return "(" + ", ".join(f"'{x}'" for x in _TYPES[kind]) + ")"
+
+
+_EXT = "lower(regexp_extract(name, '[^/]\\.([^./]+)$', 1))"
+register("S8_file_type_classifier", lambda lib: _named(lib).select("id", file_type(F.col("name")).alias("kind")), f"select id, case when {_EXT} in {_in(1)} then 1 when {_EXT} in {_in(2)} then 2 when {_EXT} in {_in(3)} then 3 end kind from {_NAMED}")
+register("X16_name_parts", lambda lib: _named(lib).select("id", file_stem(F.col("name")).alias("stem"), F.coalesce(extension(F.col("name")), F.lit("")).alias("ext")), f"select id, regexp_replace(name, '\\.[^./]*$', '') stem, {_EXT} ext from {_NAMED}")
 register("S7_hidden_entries", lambda lib: lib.files.where(~F.col("name").startswith(".")).agg(F.count("*").alias("n")), "select count(*) n from v_files where not starts_with(name, '.')")
 register("S11_folders_for_search", lambda lib: lib.folders.select("album_id", "path", "id").orderBy("album_id", "path"), "select album_id, path, id from v_folders")
 register("S12_album_list", lambda lib: lib.albums.orderBy("display_order_id"), "select * from v_albums")
@@ -106,16 +137,18 @@ register("P5_taken_fallback", lambda lib: lib.files.select("id", F.coalesce("tak
 
 
 def storage_size(c) -> F.Column:
-    """Bytes as text in units of 1024."""
+    """Bytes as text in units of 1024: whole bytes and kilobytes, two places beyond; empty for null or less than nothing."""
     c = c.cast("double")
-    units = [(1024.0**3, "GB"), (1024.0**2, "MB"), (1024.0, "KB")]
-    out = F.concat(c.cast("long").cast("string"), F.lit(" B"))
-    for size, unit in reversed(units):
-        out = F.when(c >= size, F.concat(F.round(c / size * 100).cast("long").cast("string"), F.lit("e-2 " + unit))).otherwise(out)
-    return out
+    shown = F.format_string("%.0f B", F.round(c))
+    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        places = 2 if power > 1 else 0
+        shown = F.when(c >= 1024.0**power, F.format_string(f"%.{places}f {unit}", F.round(c / 1024.0**power, places))).otherwise(shown)
+    return F.when(c.isNull() | (c < 0), "").otherwise(shown)
 
 
-register("P9_storage_size", lambda lib: lib.files.select("id", storage_size(F.col("size")).alias("shown")), "select id, case when size >= 1073741824 then cast(round(size / 1073741824.0::double * 100) as bigint) || 'e-2 GB' when size >= 1048576 then cast(round(size / 1048576.0::double * 100) as bigint) || 'e-2 MB' when size >= 1024 then cast(round(size / 1024.0::double * 100) as bigint) || 'e-2 KB' else size || ' B' end shown from v_files")
+_BYTES = "(select id, case id % 5 when 0 then size % 1024 when 1 then size when 2 then size * 1000 when 3 then size * 1000000 else size // 100 end as b from v_files)"
+_SHOWN = "case when b >= 1099511627776 then format('{:.2f} TB', round(b / 1099511627776.0::double, 2)) when b >= 1073741824 then format('{:.2f} GB', round(b / 1073741824.0::double, 2)) when b >= 1048576 then format('{:.2f} MB', round(b / 1048576.0::double, 2)) when b >= 1024 then format('{:.0f} KB', round(b / 1024.0::double)) else b || ' B' end"
+register("P9_storage_size", lambda lib: lib.files.select("id", storage_size(F.expr("case id % 5 when 0 then size % 1024 when 1 then size when 2 then size * 1000 when 3 then size * 1000000 else size div 100 end")).alias("shown")), f"select id, {_SHOWN} shown from {_BYTES}")
 
 
 @query(
@@ -144,7 +177,7 @@ def natural_key(c) -> F.Column:
 def ordering(code: int, descending: bool = False) -> list[F.Column]:
     """Sort columns of a code, the id last in the same direction; 8 is a seeded shuffle, 9 and others the id or the taken date."""
     if code == 8:
-        return [F.xxhash64("id", F.lit(42)), F.col("id")]
+        return [F.md5(F.concat(F.col("id").cast("string"), F.lit(":42"))), F.col("id")]
     if code == 9:
         return [F.col("id").asc()]
     columns = [*(SORTS[code] if code < len(SORTS) else SORTS[0]), "id"]
@@ -159,10 +192,10 @@ for _code, _cols in enumerate(SORTS):
         lambda lib, code=_code: search(lib, Params()).withColumn("name_key", natural_key(F.col("name"))).orderBy(*ordering(code, True)).offset(20).limit(50).select("id"),
         f"select id from (select *, {_NATURAL} name_key from v_visible) order by {_sorted} limit 50 offset 20",
     )
-register("O1_sort8_shuffle", lambda lib: search(lib, Params()).orderBy(*ordering(8)).limit(50).select("id"))
+register("O1_sort8_shuffle", lambda lib: search(lib, Params()).orderBy(*ordering(8)).limit(50).select("id"), "select id from v_visible order by md5(id || ':42'), id limit 50")
 register("O10_natural_key", lambda lib: lib.files.select("id", natural_key(F.col("name")).alias("name_key")), f"select id, {_NATURAL} name_key from v_files")
 register("O12_auto_cover", lambda lib: lib.visible(lib.base).where("has_thumbnail = 1 and taken_date is not null").groupBy("album_id").agg(F.min_by("id", F.struct("taken_date", "id")).alias("cover")), "select album_id, arg_min(id, (taken_date, id)) cover from v_visible where has_thumbnail = 1 and taken_date is not null group by album_id")
-register("O11_best_face", lambda lib: lib.faces.groupBy("person_id").agg(F.max(F.col("w") * F.col("h")).alias("area")).where("person_id is not null"), "select person_id, max(w * h) area from v_faces where person_id is not null group by 1")
+register("O11_best_face", lambda lib: lib.faces.where("person_id is not null").groupBy("person_id").agg(F.max(F.struct((F.col("w") * F.col("h")).alias("area"), (-F.col("file_id")).alias("less"))).alias("best")).select("person_id", F.col("best.area").alias("area"), (-F.col("best.less")).alias("face_file")), "select person_id, max(w * h) area, arg_max(file_id, (w * h, -file_id)) face_file from v_faces where person_id is not null group by 1")
 
 
 @query("W1_file_position", "select pos from (select id, row_number() over (order by taken_date desc nulls last, id desc) - 1 pos from v_visible) where id = 101")
@@ -171,7 +204,8 @@ def file_position(lib: Library, file_id: int = 101) -> DataFrame:
     rows = search(lib, Params()).select("id", "taken_date")
     me = rows.where(F.col("id") == file_id).select(F.col("id").alias("i"), F.col("taken_date").alias("t"))
     before = (F.col("taken_date") > F.col("t")) | (F.col("taken_date").isNotNull() & F.col("t").isNull()) | (F.col("taken_date").eqNullSafe(F.col("t")) & (F.col("id") > F.col("i")))
-    return me.join(rows, before | (F.col("id") == F.col("i"))).groupBy("i").agg((F.count("*") - 1).alias("pos")).select("pos")
+    # The one row is broadcast; ids are unique, so the limit drops none.
+    return rows.join(F.broadcast(me.limit(1)), before | (F.col("id") == F.col("i"))).groupBy("i").agg((F.count("*") - 1).alias("pos")).select("pos")
 
 
 @query(
@@ -224,20 +258,33 @@ register("J8_pair_by_content", content_pairs, _CONTENT)
 register("W5_first_wins", lambda lib: _first_wins(content_pairs(lib)), f", p as ({_CONTENT}) {_WINS}")
 
 
-@query("J9_pair_by_stem", f", s as (select id, folder_id, file_type, cast(split_part(split_part(name, '.', 1), '_', 2) as bigint) // 4 stem from v_files), p as (select i.id image, v.id video from s i join s v on i.folder_id = v.folder_id and i.stem = v.stem and i.file_type in (1, 3) and v.file_type = 2) {_WINS}")
+_STEMS = ", s as (select id, folder_id, file_type, case when file_type = 2 then 'IMG_' || ((id - 1) // 8 * 8) || '.mp4' else name end as name from v_files), t as (select *, regexp_replace(name, '\\.[^./]*$', '') stem from s), p as (select i.id image, v.id video from t i join t v on i.folder_id = v.folder_id and i.stem = v.stem and i.file_type in (1, 3) and v.file_type = 2) "
+
+
+@query("J9_pair_by_stem", _STEMS + _WINS)
 def stem_pairs(lib: Library) -> DataFrame:
-    """Pairing by folder and stem; the number of a name, without its last two bits, stands for the stem."""
-    stem = F.floor(F.substring_index(F.substring_index("name", ".", 1), "_", -1).cast("long") / 4)
-    s = lib.files.select("id", "folder_id", "file_type", stem.alias("stem"))
+    """Pairing by folder and stem. The videos are renamed here to the stem of an image of their eight, as a camera names both."""
+    renamed = F.when(F.col("file_type") == 2, F.concat(F.lit("IMG_"), (F.floor((F.col("id") - 1) / 8) * 8).cast("string"), F.lit(".mp4"))).otherwise(F.col("name"))
+    s = lib.files.select("id", "folder_id", "file_type", file_stem(renamed).alias("stem"))
     i = s.where("file_type in (1, 3)").select("folder_id", "stem", F.col("id").alias("image"))
     v = s.where("file_type = 2").select("folder_id", "stem", F.col("id").alias("video"))
     return _first_wins(i.join(v, ["folder_id", "stem"]).select("image", "video"))
 
 
 register("J17_face_names", lambda lib: lib.faces.join(lib.persons.withColumnRenamed("id", "person_id"), "person_id", "left").groupBy("name").agg(F.count("*").alias("n")), "select name, count(*) n from v_faces left join v_persons on person_id = id group by 1")
-register("J22_tags_of_file", lambda lib: lib.file_tags.where("file_id between 1 and 40").join(lib.tags, F.col("tag_id") == F.col("id")).select("file_id", "name").orderBy("file_id", "name"), "select file_id, name from v_file_tags join v_tags on tag_id = id where file_id between 1 and 40")
+register("J22_tags_of_file", lambda lib: lib.file_tags.join(lib.tags, F.col("tag_id") == F.col("id")).select("file_id", "name").orderBy("file_id", "name"), "select file_id, name from v_file_tags join v_tags on tag_id = id order by file_id, name")
 register("J19_id_set", lambda lib: lib.file_tags.join(lib.files.where("rating = 4").select(F.col("id").alias("file_id")), "file_id", "left_semi").groupBy("tag_id").agg(F.count("*").alias("n")), "select tag_id, count(*) n from v_file_tags where file_id in (select id from v_files where rating = 4) group by 1")
-register("J21_remap_losers", lambda lib: lib.files.select("id", F.max("id").over(Window.partitionBy("folder_id", "rating")).alias("winner")), "select id, max(id) over (partition by folder_id, rating) winner from v_files")
+
+
+@query("J21_remap_losers", ", d as (select folder_id, rating, max(id) new_id from v_files group by 1, 2 having count(*) > 1) select id old_id, new_id from v_files a join d on a.folder_id = d.folder_id and a.rating is not distinct from d.rating where id <> new_id")
+def remapped(lib: Library) -> DataFrame:
+    """Of rows with one key (folder and rating stand for folder and name) the greatest id wins; the losers map to it."""
+    key = ["folder_id", "rating"]
+    winners = lib.files.groupBy(*key).agg(F.max("id").alias("new_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    same = [lib.files[k].eqNullSafe(winners[k]) for k in key]
+    return lib.files.join(winners, same).where("id <> new_id").select(F.col("id").alias("old_id"), "new_id")
+
+
 register("U1_scope_intersection", lambda lib: lib.hashes.join(lib.visible(lib.base).select(F.col("id").alias("file_id")), "file_id", "left_semi").select("file_id", "hash"), "select file_id, hash from v_hashes where file_id in (select id from v_visible)")
 register("U4_deleted_rows", lambda lib: lib.files.join(lib.thumbs.select(F.col("file_id").alias("id")), "id", "left_anti").select("id"), "select id from v_files where id not in (select file_id from v_thumbs)")
 register("U3_distinct_first", lambda lib: lib.faces.where("person_id is not null").groupBy("person_id").agg(F.min("file_id").alias("first_file")), "select person_id, min(file_id) first_file from v_faces where person_id is not null group by 1")
