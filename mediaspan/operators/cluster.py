@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mediaspan.operators.vectors import _COS, dot
 from mediaspan.plans.catalog import Library
+from mediaspan.plans.numbering import numbered
 from mediaspan.plans.registry import query
 from mediaspan.plans.workspace import Workspace
 
@@ -129,13 +130,8 @@ def assignments(labels: DataFrame, known: DataFrame, next_number: int, work: Wor
     """
     rows = labels.join(known, "node", "left")
     groups = work.table(rows.groupBy("label").agg(F.count("*").alias("n"), F.min("person_id").alias("person_id")).where(F.col("n") >= min_size), "groups")
-    # Numbers of new clusters: the count of a range partition's rows before, then the place inside it.
-    fresh = groups.where("person_id is null").select("label").repartitionByRange("label").select("label", F.spark_partition_id().alias("part"))
-    fresh = work.table(fresh, "fresh")
-    sizes = fresh.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("label")) - 1
-    named = fresh.join(F.broadcast(before), "part").select("label", F.concat(F.lit("Person "), (F.lit(next_number) + F.col("before") + place).cast("string")).alias("person_name"))
+    fresh = numbered(groups.where("person_id is null").select("label"), ["label"], next_number, "number", work)
+    named = fresh.select("label", F.concat(F.lit("Person "), F.col("number").cast("string")).alias("person_name"))
     open_nodes = rows.where("person_id is null").select("node", "label")
     return open_nodes.join(groups.select("label", "person_id"), "label").join(named, "label", "left").select("node", "person_id", "person_name")
 
