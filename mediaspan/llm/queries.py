@@ -99,6 +99,53 @@ from documents d left join docs using (doc_id)
 """
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP2_SQL = f"""
+with d as (
+    select doc_id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents
+), i as (
+    select cast(item_id as varchar) as item, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark
+), windows as (
+    select distinct item, 10 as size, array_to_string(w[p : p + 9], ' ') as k from i, unnest(range(1, len(w) - 8)) t(p) where len(w) >= 10
+    union all select distinct item, len(w), array_to_string(w, ' ') from i where len(w) between 1 and 9
+), sizes as (select distinct size from windows), found as (
+    select o.doc_id, o.p, o.size, windows.item
+    from (select doc_id, size, p, array_to_string(w[p : p + size - 1], ' ') as k from d, sizes, unnest(range(1, len(w) - size + 2)) t(p)) o join windows on windows.k = o.k and windows.size = o.size
+), hit as (
+    select doc_id, count(distinct q) as n_hit from (select distinct doc_id, p, size from found), unnest(range(p, p + size)) t(q) group by doc_id
+), items as (
+    select doc_id, count(distinct item) as n_items, sha256(array_to_string(list_sort(list(distinct item)), ',')) as sha from found group by doc_id
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(sha, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join items using (doc_id)
+"""
+#: Components of a view `linked` (a, b), which holds each link once.
+_REACH = "both_ways as (select a, b from linked union all select b, a from linked), reach(x, y) as (select a, a from both_ways union select r.x, e.b from reach r join both_ways e on r.y = e.a), least_of as (select x, min(y) as least from reach group by x)"
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: cast(p[1] as double) * cast(p[2] as double)))"
+_OP9_SQL = f"""
+with recursive v as (
+    select vec_id, label, embedding as e, sqrt({_DOT.format('embedding', 'embedding')}) as norm from embeddings
+    where label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), linked as (
+    select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id < b.vec_id and len(a.e) = len(b.e)
+    where a.norm > 0 and b.norm > 0 and {_DOT.format('a.e', 'b.e')} / (a.norm * b.norm) >= 0.98
+), {_REACH}, n as (select a, count(*) as n_links from both_ways group by a)
+select vec_id, coalesce(n_links, 0) as n_links, coalesce(least, vec_id) as component_id, coalesce(least, vec_id) = vec_id as kept from embeddings left join n on a = vec_id left join least_of on x = vec_id
+"""
+_OP10_SQL = f"""
+with recursive d as (
+    select doc_id, regexp_extract_all({_LOWERED}, '[^\\x20\\x09-\\x0D]+') as w from documents
+), s as (
+    select distinct doc_id, array_to_string(w[p : p + 1], ' ') as k from d, unnest(range(1, len(w))) t(p) where len(w) >= 2
+    union all select doc_id, w[1] from d where len(w) = 1
+), n as (select doc_id, count(*) as n from s group by doc_id), c as (select s.*, n.n from s join n using (doc_id)), linked as (
+    select a.doc_id as a, b.doc_id as b from c a join c b on a.k = b.k and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), {_REACH}
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(least, d.doc_id) as component_id, coalesce(least, d.doc_id) = d.doc_id as kept from d left join n using (doc_id) left join least_of on x = d.doc_id
+"""
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.drop_repeated_substrings(spark, _table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
@@ -146,4 +193,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lines": _OP4_SQL, "op4_all_lines": _OP4_ALL_SQL}
+    return {"op2_decontamination": _OP2_SQL, "op4_lines": _OP4_SQL, "op4_all_lines": _OP4_ALL_SQL, "op9_embeddings": _OP9_SQL, "op10_minhash": _OP10_SQL}
