@@ -24,23 +24,35 @@ from mediaspan.plans.workspace import Workspace
 
 #: Vectors that centroids are fitted on at most, vectors aimed at in a cell, vectors of a block.
 SAMPLE, CELL, BLOCK = 20_000, 4096, 1024
+#: Centroids at most, so that neither the driver nor a task holds more; larger tables have larger cells of more blocks.
+MOST_CELLS = 4096
+#: Products of vectors and centroids held at a time.
+PRODUCTS = 1 << 22
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def _chunks(rows: int, centers: int) -> Iterator[slice]:
+    step = max(1, PRODUCTS // max(centers, 1))
+    for low in range(0, rows, step):
+        yield slice(low, low + step)
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Unit centroids of unit rows; an empty cell takes the row that fits its own worst."""
     rng = np.random.default_rng(seed)
     centers = x[rng.choice(len(x), size=min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        sims = x @ centers.T
-        cell = sims.argmax(axis=1)
+        cell, best = np.empty(len(x), dtype=np.int64), np.empty(len(x))
+        for part in _chunks(len(x), len(centers)):
+            sims = x[part] @ centers.T
+            cell[part], best[part] = sims.argmax(axis=1), sims.max(axis=1)
         total = np.zeros_like(centers)
         np.add.at(total, cell, x)
         empty = np.flatnonzero(np.einsum("ij,ij->i", total, total) < 1e-12)
-        total[empty] = x[np.argsort(sims.max(axis=1))[: len(empty)]]
+        total[empty] = x[np.argsort(best)[: len(empty)]]
         centers = _unit(total)
     return centers
 
@@ -58,21 +70,23 @@ def _assign(centers_of, cosine: float) -> Callable:
         for batch in batches:
             rows = batch.to_pandas()
             for dim, part in rows.groupby("dim"):
-                x = _unit(_matrix(part["v"]))
                 centers = centers_of.value.get(int(dim))
                 if centers is None:
                     centers = np.eye(1, int(dim))
-                sims = x @ centers.T
-                home = sims.argmax(axis=1)
-                own = sims[np.arange(len(x)), home]
-                apart = np.sqrt(np.maximum(2 - 2 * centers @ centers.T, 0))[home]
-                near = (own[:, None] - sims <= reach * apart + 1e-9) & (np.arange(len(centers)) > home[:, None])
-                row, cell = np.nonzero(near)
-                at = np.concatenate([np.arange(len(x)), row])
-                out = part.iloc[at][["label", "dim", "vec_id", "copies", "v"]].copy()
-                out.insert(2, "cell", np.concatenate([home, cell]))
-                out.insert(3, "visit", np.repeat([False, True], [len(x), len(row)]))
-                yield pa.RecordBatch.from_pandas(out, preserve_index=False, schema=_CELLS)
+                for chunk in _chunks(len(part), len(centers)):
+                    some = part.iloc[chunk]
+                    x = _unit(_matrix(some["v"]))
+                    sims = x @ centers.T
+                    home = sims.argmax(axis=1)
+                    own = sims[np.arange(len(x)), home]
+                    apart = np.sqrt(np.maximum(2 - 2 * (centers[home] @ centers.T), 0))
+                    near = (own[:, None] - sims <= reach * apart + 1e-9) & (np.arange(len(centers)) > home[:, None])
+                    row, cell = np.nonzero(near)
+                    at = np.concatenate([np.arange(len(x)), row])
+                    out = some.iloc[at][["label", "dim", "vec_id", "copies", "v"]].copy()
+                    out.insert(2, "cell", np.concatenate([home, cell]))
+                    out.insert(3, "visit", np.repeat([False, True], [len(x), len(row)]))
+                    yield pa.RecordBatch.from_pandas(out, preserve_index=False, schema=_CELLS)
 
     return run
 
@@ -148,7 +162,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, vec_id: str = "vec_id"
     n = distinct.count()
     share = max(1, -(-n // SAMPLE))
     sample = distinct.where(F.pmod(F.xxhash64("vec_id"), F.lit(share)) == 0).select("dim", "v").toPandas()
-    centers = {int(d): spherical_kmeans(_unit(_matrix(part["v"])), max(1, -(-n // CELL))) for d, part in sample.groupby("dim")}
+    centers = {int(d): spherical_kmeans(_unit(_matrix(part["v"])), min(max(1, -(-n // CELL)), MOST_CELLS)) for d, part in sample.groupby("dim")}
     cells = work.table(distinct.mapInArrow(_assign(spark.sparkContext.broadcast(centers), cosine), "label string, dim int, cell int, visit boolean, vec_id long, copies long, v binary"), "cells")
 
     size = cells.groupBy("label", "dim", "cell").agg(F.count_if(~F.col("visit")).alias("m"), F.count_if(F.col("visit")).alias("q"))
