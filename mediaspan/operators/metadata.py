@@ -148,7 +148,7 @@ def overlapping(a: Column, b: Column) -> Column:
 
 
 def suppress(found: DataFrame) -> DataFrame:
-    """(file_id, box) of the boxes that no surer kept box of their file overlaps; the smaller number is the surer of equal ones.
+    """(file_id, box) of the boxes that no surer kept box of their file overlaps; the smaller number is the surer of equal ones, then the smaller x, y, w and h.
 
     A file's boxes are one row's array, the surest first, and are taken in that order.
     """
@@ -166,7 +166,7 @@ _CLASH = f"greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * great
 
 @query(
     "C6_suppression",
-    _BOXES + f""", s as ({_SURE}), o as (select *, row_number() over (partition by file_id order by confidence desc, box) r from s),
+    _BOXES + f""", s as ({_SURE}), o as (select *, row_number() over (partition by file_id order by confidence desc, box, x, y, w, h) r from s),
     c as (select a.file_id, a.r, list(b.r) before from o a join o b on a.file_id = b.file_id and b.r < a.r and {_CLASH} > {MAX_OVERLAP} * (a.w * a.h + b.w * b.h - {_CLASH}) group by 1, 2),
     k as (with recursive go(file_id, r, kept) as (select file_id, 0::bigint, []::bigint[] from (select distinct file_id from o)
         union all select go.file_id, go.r + 1, case when coalesce(len(list_intersect(c.before, go.kept)), 0) = 0 then list_append(go.kept, go.r + 1) else go.kept end from go join o on o.file_id = go.file_id and o.r = go.r + 1 left join c on c.file_id = go.file_id and c.r = go.r + 1) select file_id, unnest(arg_max(kept, r)) r from go group by 1)
