@@ -4,9 +4,10 @@ Centroids are fitted on a bounded sample. A vector belongs to the cell of its
 nearest centroid and also visits every higher cell that could hold a vector
 within the wanted cosine: its distance from the bisecting plane is at most that
 of the farthest partner, so no link is lost at any size. Cells are cut into
-blocks of bounded size and blocks are compared two at a time by one matrix
-product in double precision. A block pair returns counts and a spanning star of
-each group it links, never its pairs.
+blocks of bounded size and blocks are compared two at a time by a matrix
+product in double precision; the first visitors of a cell come along where its
+members meet themselves. A block pair returns counts and a spanning star of each
+group it links, never its pairs. Vectors travel in the precision of the input.
 """
 
 from __future__ import annotations
@@ -18,15 +19,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from mediaspan.plans.components import connected_components
 from mediaspan.plans.workspace import Workspace
 
-#: Vectors that centroids are fitted on at most, vectors aimed at in a cell, vectors of a block.
-SAMPLE, CELL, BLOCK = 20_000, 4096, 1024
+#: Vectors that centroids are fitted on at most, vectors of one label aimed at in a cell, vectors of a block.
+SAMPLE, CELL, BLOCK = 20_000, 4096, 4096
 #: Centroids at most, so that neither the driver nor a task holds more; larger tables have larger cells of more blocks.
 MOST_CELLS = 4096
-#: Products of vectors and centroids held at a time.
+#: Products held at a time.
 PRODUCTS = 1 << 22
 
 
@@ -57,9 +59,12 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> n
     return centers
 
 
-def _matrix(values: pd.Series) -> np.ndarray:
+def _matrix(values: pd.Series, dim: int) -> np.ndarray:
+    """Rows of packed components as doubles."""
     raw = values.to_numpy()
-    return np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1) if len(raw) else np.zeros((0, 0))
+    if not len(raw):
+        return np.zeros((0, dim))
+    return np.frombuffer(b"".join(raw), dtype=f"<f{len(raw[0]) // dim}").reshape(len(raw), dim).astype("<f8")
 
 
 def _assign(centers_of, cosine: float) -> Callable:
@@ -75,7 +80,7 @@ def _assign(centers_of, cosine: float) -> Callable:
                     centers = np.eye(1, int(dim))
                 for chunk in _chunks(len(part), len(centers)):
                     some = part.iloc[chunk]
-                    x = _unit(_matrix(some["v"]))
+                    x = _unit(_matrix(some["v"], int(dim)))
                     sims = x @ centers.T
                     home = sims.argmax(axis=1)
                     own = sims[np.arange(len(x)), home]
@@ -94,44 +99,78 @@ def _assign(centers_of, cosine: float) -> Callable:
 _CELLS = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int32()), ("visit", pa.bool_()), ("vec_id", pa.int64()), ("copies", pa.int64()), ("v", pa.binary())])
 
 
-def _compare(cosine: float) -> Callable:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links between the two sides of a block pair; the sides are one if the second is empty."""
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        alone = not len(b)
-        if not len(a):
-            return pd.DataFrame({"vec_id": [], "n_links": [], "low": []})
-        raw_a = _matrix(a["v"])
-        raw_b = raw_a if alone else _matrix(b["v"])
-        b = a if alone else b
-        xa, xb = _unit(raw_a), _unit(raw_b)
-        sims = xa @ xb.T
+def _linked(a: pd.DataFrame, b: pd.DataFrame | None, dim: int, cosine: float) -> np.ndarray:
+    """Which rows of a link with which of b, or with the others of a."""
+    raw_a = _matrix(a["v"], dim)
+    raw_b = raw_a if b is None else _matrix(b["v"], dim)
+    xa, xb = _unit(raw_a), _unit(raw_b)
+    link = np.empty((len(xa), len(xb)), dtype=bool)
+    for part in _chunks(len(xa), len(xb)):
+        sims = xa[part] @ xb.T
         for i, j in zip(*np.nonzero(np.abs(sims - cosine) < 1e-9), strict=True):
-            sims[i, j] = raw_a[i] @ raw_b[j] / (np.sqrt(raw_a[i] @ raw_a[i]) * np.sqrt(raw_b[j] @ raw_b[j]))
-        link = sims >= cosine
-        ia, ib, ca, cb = (f[c].to_numpy() for c in ("vec_id", "copies") for f in (a, b))
-        if alone:
-            np.fill_diagonal(link, False)
-        rows, cols = np.flatnonzero(link.any(axis=1)), np.flatnonzero(link.any(axis=0))
-        if not len(rows):
-            return pd.DataFrame({"vec_id": [], "n_links": [], "low": []})
-        part = link[np.ix_(rows, cols)]
-        la, lb = ia[rows].copy(), ib[cols].copy()
-        top = np.iinfo(np.int64).max
-        while True:
-            na = np.minimum(la, np.where(part, lb[None, :], top).min(axis=1))
-            nb = np.minimum(lb, np.where(part, na[:, None], top).min(axis=0))
-            if (na == la).all() and (nb == lb).all():
-                break
-            la, lb = na, nb
-        out = [pd.DataFrame({"vec_id": ia[rows], "n_links": part @ cb[cols], "low": la})]
-        if not alone:
-            out.append(pd.DataFrame({"vec_id": ib[cols], "n_links": part.T @ ca[rows], "low": lb}))
-        return pd.concat(out)
+            p, q = raw_a[part.start + i], raw_b[j]
+            sims[i, j] = p @ q / (np.sqrt(p @ p) * np.sqrt(q @ q))
+        link[part] = sims >= cosine
+    if b is None:
+        np.fill_diagonal(link, False)
+    return link
+
+
+def _compare(a: pd.DataFrame, b: pd.DataFrame | None, dim: int, cosine: float) -> pd.DataFrame:
+    """(vec_id, n_links, low): links of a with b, or within a; low is the smallest id of the group linked here."""
+    link = _linked(a, b, dim, cosine)
+    rows, cols = np.flatnonzero(link.any(axis=1)), np.flatnonzero(link.any(axis=0))
+    link = link[np.ix_(rows, cols)]
+    ia, ca = a["vec_id"].to_numpy()[rows], a["copies"].to_numpy()[rows]
+    ib, cb = ((a if b is None else b)[c].to_numpy()[cols] for c in ("vec_id", "copies"))
+    na, nb = np.zeros(len(rows), dtype=np.int64), np.zeros(len(cols), dtype=np.int64)
+    parts = list(_chunks(len(rows), len(cols)))
+    for part in parts:
+        na[part] = link[part] @ cb
+        nb += link[part].T @ ca[part]
+    la, lb, top = ia.copy(), ib.copy(), np.iinfo(np.int64).max
+    changed = bool(len(rows))
+    while changed:
+        before = la.sum(dtype=object), lb.sum(dtype=object)
+        for part in parts:
+            la[part] = np.minimum(la[part], np.where(link[part], lb[None, :], top).min(axis=1))
+            lb = np.minimum(lb, np.where(link[part], la[part][:, None], top).min(axis=0))
+        changed = before != (la.sum(dtype=object), lb.sum(dtype=object))
+    found = pd.DataFrame({"vec_id": ia, "n_links": na, "low": la})
+    return found if b is None else pd.concat([found, pd.DataFrame({"vec_id": ib, "n_links": nb, "low": lb})])
+
+
+def _meet(cosine: float) -> Callable:
+    """One block with itself and with its cell's first visitors, or two blocks."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, dim = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1], int(key[1])
+        found = [pd.DataFrame({"vec_id": [], "n_links": [], "low": []}, dtype="int64")]
+        if key[3] == key[4]:
+            found.append(_compare(a, None, dim, cosine))
+        if len(a) and len(b):
+            found.append(_compare(a, b, dim, cosine))
+        return pd.concat(found)
 
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components as bytes. Doubles are divided by their largest first, so that no product overflows; floats need not be."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 1000):
+            part = batch.slice(low, 1000)
+            column = part.column("e")
+            size = np.diff(column.offsets.to_numpy())
+            values = column.flatten().to_numpy(zero_copy_only=False)
+            if values.itemsize == 8:
+                values = values / np.repeat(np.maximum.reduceat(np.abs(values), np.cumsum(size) - size), size)
+            values = values + values.dtype.type(0)
+            ends = np.concatenate([[0], np.cumsum(size)]) * values.itemsize
+            v = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(values.tobytes())])
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(size, pa.int32()), part.column("vec_id"), v], ["label", "dim", "vec_id", "v"])
+
+
 def near_vectors(spark: SparkSession, vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
@@ -143,58 +182,42 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, vec_id: str = "vec_id"
     """
     work = Workspace(spark, "vectors")
     v = F.col("e")
-    plain = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("e"))
+    kind = "float" if isinstance(getattr(vectors.schema[embedding].dataType, "elementType", None), FloatType) else "double"
+    plain = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast(f"array<{kind}>").alias("e"))
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
-    kind = "label string, dim int, vec_id long, v binary, u long"
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                raw = [np.array(x, dtype="<f8") / max(map(abs, x)) for x in part.column("e").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([len(x) for x in raw], pa.int32()), part.column("vec_id"), pa.array([x.tobytes() for x in raw], pa.binary()), part.column("u")], ["label", "dim", "vec_id", "v", "u"])
-
-    ready = plain.withColumn("u", F.xxhash64("e")).where(usable).mapInArrow(packed, kind)
-    whole = work.table(ready, "whole")
-    classes = whole.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
-    distinct = work.table(classes, "distinct")
-    n = distinct.count()
+    # Equal vectors are known by a digest of 256 bits, so that ids can be met again without the vectors.
+    ready = plain.where(usable).mapInArrow(_packed, "label string, dim int, vec_id long, v binary").withColumn("digest", F.unhex(F.sha2("v", 256)))
+    same = ["label", "dim", "digest"]
+    distinct = work.table(ready.groupBy(*same).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("v").alias("v")), "distinct")
+    by_label = distinct.groupBy("label", "dim").agg(F.count("*").alias("c"))
+    n, most = by_label.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0))).first()
     share = max(1, -(-n // SAMPLE))
     sample = distinct.where(F.pmod(F.xxhash64("vec_id"), F.lit(share)) == 0).select("dim", "v").toPandas()
-    centers = {int(d): spherical_kmeans(_unit(_matrix(part["v"])), min(max(1, -(-n // CELL)), MOST_CELLS)) for d, part in sample.groupby("dim")}
-    cells = work.table(distinct.mapInArrow(_assign(spark.sparkContext.broadcast(centers), cosine), "label string, dim int, cell int, visit boolean, vec_id long, copies long, v binary"), "cells")
+    k = min(max(1, -(-most // CELL)), MOST_CELLS)
+    centers = {int(d): spherical_kmeans(_unit(_matrix(part["v"], int(d))), k) for d, part in sample.groupby("dim")}
+    cells = work.table(distinct.drop("digest").mapInArrow(_assign(spark.sparkContext.broadcast(centers), cosine), "label string, dim int, cell int, visit boolean, vec_id long, copies long, v binary"), "cells")
 
     size = cells.groupBy("label", "dim", "cell").agg(F.count_if(~F.col("visit")).alias("m"), F.count_if(F.col("visit")).alias("q"))
     blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
     dealt = cells.join(size, ["label", "dim", "cell"]).withColumns({"nm": blocks("m"), "nq": blocks("q")})
     mine = F.pmod(F.xxhash64("vec_id"), F.when(F.col("visit"), F.col("nq")).otherwise(F.col("nm"))).cast("int")
     dealt = dealt.withColumn("k", mine)
-    # Members meet members of every block; visitors (numbered after them) meet every member block.
+    # Members meet the members of every block; visitors (numbered after them, but for the first block of them) meet every member block.
     every = F.sequence(F.lit(0), F.col("nm") - 1)
-    among = F.transform(every, lambda j: F.struct(F.least(j, F.col("k")).alias("i"), F.greatest(j, F.col("k")).alias("j"), (j < F.col("k")).cast("int").alias("side")))
-    guests = F.when(F.col("q") > 0, F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda j: F.struct(F.col("k").alias("i"), (F.col("nm") + j).alias("j"), F.lit(0).alias("side")))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
-    visits = F.transform(every, lambda i: F.struct(i.alias("i"), (F.col("nm") + F.col("k")).alias("j"), F.lit(1).alias("side")))
+    place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
+    among = F.transform(every, lambda j: place(F.least(j, F.col("k")), F.greatest(j, F.col("k")), (j < F.col("k")).cast("int")))
+    guests = F.when(F.col("nq") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.col("nq") - 1, F.lit(1))), lambda j: place(F.col("k"), F.col("nm") + j, F.lit(0)))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    visits = F.transform(every, lambda i: place(i, F.when(F.col("k") == 0, i).otherwise(F.col("nm") + F.col("k")), F.lit(1)))
     met = dealt.withColumn("p", F.explode(F.when(F.col("visit"), visits).otherwise(F.concat(among, guests))))
     pairs = met.select("label", "dim", "cell", "p.i", "p.j", "p.side", "vec_id", "copies", "v")
-    found = work.table(pairs.groupBy("label", "dim", "cell", "i", "j").applyInPandas(_whole_pairs(cosine), "vec_id long, n_links long, low long"), "found")
+    found = work.table(pairs.groupBy("label", "dim", "cell", "i", "j").applyInPandas(_meet(cosine), "vec_id long, n_links long, low long"), "found")
     links = found.groupBy("vec_id").agg(F.sum("n_links").alias("n"))
     components = connected_components(found, "vec_id", "low", work)
     work.drop("cells")
 
     known = distinct.join(links, "vec_id", "left").join(components.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    rows = known.select("label", "dim", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    good = whole.select("label", "dim", "v", "vec_id").join(rows, ["label", "dim", "v"]).select("vec_id", "n_links", "component_id")
+    rows = known.select(*same, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    good = ready.select(*same, "vec_id").join(rows, same).select("vec_id", "n_links", "component_id")
     bad = plain.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
-
-
-def _whole_pairs(cosine: float) -> Callable:
-    compare = _compare(cosine)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if key[3] != key[4] and not (pdf["side"] == 1).any():
-            return pd.DataFrame({"vec_id": [], "n_links": [], "low": []})
-        return compare(pdf)
-
-    return run
