@@ -35,6 +35,8 @@ BROADCAST_IDS = 1_000_000
 
 #: Components of this many sets are compared in blocks of so many.
 BIG, BLOCK = 16, 256
+#: Rows of one key that meet in one task are about so many on each side.
+KEY_BLOCK = 1024
 
 _rng = np.random.default_rng(20240901)
 _XOR = _rng.integers(0, 2**63, N_HASHES, dtype=np.uint64)
@@ -212,7 +214,7 @@ def minhash_groups(spark: SparkSession, documents: DataFrame, doc_id: str = "doc
     # What is left: pairs that share a key and lie in different components.
     full = keyed.join(labels.withColumnRenamed("node", "id"), "id", "left").join(sigs, "id").select("key", "id", "n", "bits", F.coalesce("component", "id").alias("c"))
     full = work.table(full, "labelled")
-    open_keys = full.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    open_keys = full.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("sharers")).where("c0 <> c1").select("key", "sharers")
     open_rows = work.table(full.join(open_keys, "key"), "open")
     work.drop("labelled")
     sizes = labels.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") >= BIG)
@@ -223,10 +225,14 @@ def minhash_groups(spark: SparkSession, documents: DataFrame, doc_id: str = "doc
     met = marked.join(inside, "key").where((F.col("c") != F.col("group")) & (F.col("members").isNull() | (F.col("c") < F.col("group"))))
     guests = work.table(met.groupBy("group", "id").agg(F.max("m").alias("m")), "guests")
     small = marked.join(inside.select("key").distinct(), "key", "left_anti")
-    x = small.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("c").alias("ca"))
-    y = small.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("c").alias("cb"))
+    # A key that many sets share is dealt to block pairs, so that no task holds it whole.
+    n_blocks = F.ceil(F.col("sharers") / KEY_BLOCK).cast("int")
+    small = small.select("key", "id", "n", "bits", "c", F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
+    x = small.select("key", F.col("own").alias("i"), F.col("other").alias("j"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("c").alias("ca"))
+    y = small.select("key", F.col("other").alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("c").alias("cb"))
     may = (F.col("ca") < F.col("cb")) & _near("na", "nb", "ba", "bb", percent)
-    rest = work.table(x.join(y, [x["key"] == y["key"], may]).groupBy("a", "b").agg(F.count("*").alias("tables")).select("a", "b"), "rest")
+    met = x.join(y, [x["key"] == y["key"], x["i"] == y["i"], x["j"] == y["j"], may])
+    rest = work.table(met.groupBy("a", "b").agg(F.count("*").alias("tables")).select("a", "b"), "rest")
     invited = guests.groupBy("group").agg(F.count("*").alias("q"), (F.max("m") + F.count("*")).alias("m"))
     hosts = labels.join(invited, F.col("component") == F.col("group")).select("group", F.col("node").alias("id"), "m", "q")
     hosts = work.table(hosts.union(guests.select("group", "id").join(invited, "group").select("group", "id", "m", "q")), "hosts")

@@ -425,6 +425,10 @@ def test_minhash_large_components_meet_outsiders(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(minhash, "BIG", 3)
     test_minhash(spark, df, 2)
+    # The same by pairs of sets that share a key, in blocks of three.
+    monkeypatch.setattr(minhash, "BIG", 1000)
+    monkeypatch.setattr(minhash, "KEY_BLOCK", 3)
+    test_minhash(spark, df, 2)
 
 
 def test_token_counts(spark, tmp_path, docs):
