@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaspan.plans.catalog import Library
 from mediaspan.plans.components import connected_components
+from mediaspan.plans.numbering import numbered
 from mediaspan.plans.registry import query, register
 from mediaspan.plans.workspace import Workspace
 
@@ -30,11 +31,16 @@ register("O6_D7_group_page", lambda lib: exact_groups(lib).orderBy(F.desc("total
     select hash, file_id, count(*) over (partition by hash) - row_number() over w + 1 score, row_number() over w = 1 is_keep from m window w as (partition by hash order by coalesce(taken_date, 0) > 0 desc, created_at nulls first, file_id)""",
 )
 def keepers(lib: Library) -> DataFrame:
-    """Members of exact groups ranked: with a taken date first, then oldest, then lowest id; the first is kept."""
+    """Members of exact groups ranked: with a taken date first, then oldest, then lowest id; the first is kept.
+
+    Members are numbered in one order over all groups, so a group of any size is spread over tasks.
+    """
     m = lib.hashes.join(exact_groups(lib).select("hash", "file_size"), ["hash", "file_size"]).join(lib.files.select(F.col("id").alias("file_id"), "taken_date", "created_at"), "file_id", "left")
-    w = Window.partitionBy("hash").orderBy((F.coalesce("taken_date", F.lit(0)) > 0).desc(), F.col("created_at").asc_nulls_first(), "file_id")
-    place = F.row_number().over(w)
-    return m.select("hash", "file_id", (F.count("*").over(Window.partitionBy("hash")) - place + 1).cast("long").alias("score"), (place == 1).alias("is_keep"))
+    order = ["hash", "undated", "age", "file_id"]
+    members = m.select("hash", (F.coalesce("taken_date", F.lit(0)) <= 0).alias("undated"), F.coalesce("created_at", F.lit(-(2**63))).alias("age"), "file_id")
+    placed = numbered(members, order, 0, "place", Workspace(lib.spark, "keep"))
+    groups = placed.groupBy("hash").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    return placed.join(groups, "hash").select("hash", "file_id", (F.col("n") - F.col("place") + F.col("first")).cast("long").alias("score"), (F.col("place") == F.col("first")).alias("is_keep"))
 
 
 def delete_candidates(lib: Library) -> DataFrame:

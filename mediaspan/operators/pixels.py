@@ -6,11 +6,14 @@ lines: the channels are the components at three offsets, scaled to 0 to 255.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediaspan.functions import colour
 from mediaspan.plans.catalog import Library
-from mediaspan.plans.registry import query
+from mediaspan.plans.registry import query, register
 
 # Weights of the luma of Rec. 709.
 LUMA = (0.2126, 0.7152, 0.0722)
@@ -87,9 +90,40 @@ def preset_stats(lib: Library) -> DataFrame:
     return means.join(percentile_bins(histogram(px), {"p1": 0.01, "p99": 0.99}), "file_id")
 
 
-@query("X22_gray_world", _PIXELS + ", m as (select file_id, greatest(avg(r), 1) r, greatest(avg(g), 1) g, greatest(avg(b), 1) b from px group by 1) select file_id, round((r + g + b) / 3 / r, 5) scale_r, round((r + g + b) / 3 / g, 5) scale_g, round((r + g + b) / 3 / b, 5) scale_b from m")
+@query("X22_gray_world", _PIXELS + ", m as (select file_id, avg(r) r, avg(g) g, avg(b) b from px group by 1) select file_id, round((r + g + b) / 3 / greatest(r, 1), 5) scale_r, round((r + g + b) / 3 / greatest(g, 1), 5) scale_g, round((r + g + b) / 3 / greatest(b, 1), 5) scale_b from m")
 def gray_world(lib: Library) -> DataFrame:
-    """What makes the means of all channels equal; means count as 1 at least."""
-    means = pixels(lib).groupBy("file_id").agg(*[F.greatest(F.avg(c), F.lit(1.0)).alias(c) for c in "rgb"])
+    """What makes the means of all channels equal; a mean divides as 1 at least."""
+    means = pixels(lib).groupBy("file_id").agg(*[F.avg(c).alias(c) for c in "rgb"])
     gray = (F.col("r") + F.col("g") + F.col("b")) / 3
-    return means.select("file_id", *[F.round(gray / F.col(c), 5).alias(f"scale_{c}") for c in "rgb"])
+    return means.select("file_id", *[F.round(gray / F.greatest(F.col(c), F.lit(1.0)), 5).alias(f"scale_{c}") for c in "rgb"])
+
+
+def recoloured(lib: Library, change: Callable[[colour.Channels], colour.Channels]) -> DataFrame:
+    """(file_id, pos, r, g, b) after a change of colour."""
+    after = change((F.col("r"), F.col("g"), F.col("b")))
+    return pixels(lib).select("file_id", F.col("at").alias("pos"), *[x.alias(c) for c, x in zip("rgb", after, strict=True)])
+
+
+_BYTE = "cast(floor(greatest(0::double, least(255::double, {0})) + 0.5::double) as int)"
+_CHANNELS = ", ".join(_BYTE.format("luma + ({0} - luma) * 1.4::double").replace("{0}", c) + f" {c}" for c in "rgb")
+_SPREAD = f"{colour.contrast_factor(20.0)!r}::double"
+register(
+    "X27_adjust",
+    lambda lib: recoloured(lib, lambda rgb: colour.adjust(rgb, 12, 20.0, 140.0)),
+    _PIXELS + ", c as (select file_id, pos, " + ", ".join(f"{_SPREAD} * ({c} * 1.12::double - 128::double) + 128::double {c}" for c in "rgb") + f" from px), l as (select *, 0.299::double * r + 0.587::double * g + 0.114::double * b luma from c) select file_id, pos, {_CHANNELS} from l",
+)
+register("X27_grayscale", lambda lib: recoloured(lib, colour.grayscale), _PIXELS + "select file_id, pos, l r, l g, l b from (select file_id, pos, cast((2126 * r + 7152 * g + 722 * b) // 10000 as int) l from px)")
+register("X27_invert", lambda lib: recoloured(lib, colour.invert), _PIXELS + "select file_id, pos, 255 - r r, 255 - g g, 255 - b b from px")
+register(
+    "X27_sepia",
+    lambda lib: recoloured(lib, colour.sepia),
+    _PIXELS + "select file_id, pos, " + ", ".join(f"cast(floor(least({x}::double * r + {y}::double * g + {z}::double * b, 255::double)) as int) {c}" for c, (x, y, z) in zip("rgb", colour.SEPIA, strict=True)) + " from px",
+)
+_SHARE = ", ".join(f"cast({c} as double) / 255::double {c}" for c in "rgb")
+_MOVED = ", ".join(_BYTE.format(f"greatest(0::double, least(1::double, {c} + move)) * 255::double") + f" {c}" for c in "rgb")
+register(
+    "X36_highlights_shadows",
+    lambda lib: recoloured(lib, lambda rgb: colour.tones(rgb, -40.0, 60.0)),
+    _PIXELS + f", s as (select file_id, pos, {_SHARE} from px), l as (select *, greatest(0::double, least(1::double, 0.299::double * r + 0.587::double * g + 0.114::double * b)) y from s), d as (select *, 0.6::double * 0.35::double * ((1 - y) * sqrt(1 - y)) + -0.4::double * 0.35::double * (y * sqrt(y)) move from l) select file_id, pos, {_MOVED} from d",
+)
+register("X28_fade", lambda lib: recoloured(lib, lambda rgb: colour.fade(rgb, 40.0)), _PIXELS + "select file_id, pos, " + ", ".join(_BYTE.format(f"{c} * (1::double - 0.4::double * 0.55::double) + 128::double * (0.4::double * 0.55::double)") + f" {c}" for c in "rgb") + " from px")

@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
-from mediaspan.operators import cluster, dedup, library, metadata, mutations, vectors
+from mediaspan.functions import colour
+from mediaspan.operators import cluster, dedup, library, metadata, mutations, pixels, vectors
 from mediaspan.plans.catalog import Library
 from mediaspan.plans.numbering import numbered
 from mediaspan.plans.registry import ORACLES, QUERIES
@@ -179,3 +180,30 @@ def test_searches_of_odd_vectors(spark):
     got = vectors.ranked(df.where("file_id in (1, 21)"), df).collect()
     assert [(r.query_id, r.file_id, r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2, 1), (1, 5, 2)]
     assert math.isclose(got[0].score, 1 / math.hypot(1, 0.1), rel_tol=1e-6) and vectors.ranked(df.limit(0), df).count() == 0
+
+
+def test_changes_of_colour(spark):
+    rgb = tuple(F.col(c) for c in "rgb")
+    rows = spark.createDataFrame([(0, 0, 0), (255, 255, 255), (128, 128, 128), (250, 10, 90)], "r int, g int, b int")
+    look = lambda change: [tuple(r) for r in rows.select(*change).collect()]
+    plain = [tuple(r) for r in rows.collect()]
+    assert look(colour.adjust(rgb)) == plain and look(colour.tones(rgb, 0, 0)) == plain and look(colour.fade(rgb, 0)) == plain
+    assert look(colour.adjust(rgb, brightness=-500)) == [(0, 0, 0)] * 4
+    assert all(r == g == b for r, g, b in look(colour.adjust(rgb, saturation=0)))
+    assert look(colour.invert(colour.invert(rgb))) == plain
+    assert look(colour.sepia(rgb))[:2] == [(0, 0, 0), (255, 255, 238)]
+    assert look(colour.fade(rgb, 100))[0] == (70, 70, 70) and look(colour.tones(rgb, -100, 100))[:2] == [(89, 89, 89), (166, 166, 166)]
+
+
+def test_a_dark_channel_counts_as_one(spark, monkeypatch):
+    dark = spark.createDataFrame([(1, 0, 0, 6, 0), (1, 1, 0, 6, 1)], "file_id long, at int, r int, g int, b int")
+    monkeypatch.setattr(pixels, "pixels", lambda lib: dark)
+    assert [tuple(r) for r in pixels.gray_world(None).collect()] == [(1, 2.16667, 0.36111, 2.16667)]
+
+
+def test_keepers_of_large_groups(spark):
+    lib = Library(spark, FOLDER)
+    want = {}
+    for r in dedup.keepers(lib).collect():
+        want.setdefault(r["hash"], []).append((r.score, r.is_keep))
+    assert want and all(sorted(v) == [(i + 1, i + 1 == len(v)) for i in range(len(v))] for v in want.values())
