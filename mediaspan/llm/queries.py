@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaspan.llm import counts, decontaminate, embeddings, language, lines, minhash, packing, pii, substrings, urls
+from mediaspan.llm import bpe, counts, decontaminate, embeddings, language, lines, minhash, packing, pii, substrings, urls
 from mediaspan.plans.workspace import Workspace
 
 #: The byte-level vocabulary, read as ranks: the ids are those of byte_bpe_50k.json.
@@ -187,6 +187,15 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.minhash_groups(spark, _table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+#: The same vocabulary as its library reads it, with the string of its special token.
+LIBRARY_TOKENIZER = "byte_bpe_50k.json"
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), LIBRARY_TOKENIZER), LIBRARY_TOKENIZER)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
