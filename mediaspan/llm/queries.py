@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaspan.llm import bpe, counts, decontaminate, embeddings, language, lines, minhash, packing, pii, substrings, urls
+from mediaspan.llm import bpe, counts, decontaminate, embeddings, language, lexical, lines, minhash, packing, pii, substrings, urls
 from mediaspan.plans.workspace import Workspace
 
 #: The byte-level vocabulary, read as ranks: the ids are those of byte_bpe_50k.json.
@@ -187,6 +187,31 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.minhash_groups(spark, _table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = f"regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+_OP12_SQL = f"""
+with d as (
+    select row_number() over () as r, doc_id, {_TERMS} as w from documents
+), total as (select count(*) as docs, cast(sum(len(w)) as bigint) as terms from d where len(w) > 0
+), i as (select distinct item_id, unnest({_TERMS}) as term from benchmark
+), tf as (
+    select r, doc_id, len(w) as n, term, count(*) as tf from (select r, doc_id, w, unnest(w) as term from d) where term in (select term from i) group by r, doc_id, len(w), term
+), df as (select term, count(*) as df from tf group by term
+), impact as (
+    select r, doc_id, term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / (2 * df + 1))) as bigint) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))) as impact
+    from tf join df using (term), total
+), scored as (
+    select item_id, r, doc_id, cast(sum(impact) as bigint) as score from impact join i using (term) group by item_id, r, doc_id
+), ranked as (
+    select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from scored where score > 0
+)
+select item_id, cast(rank as int) as rank, doc_id, score from ranked where rank <= 10
+"""
+
+
 #: The same vocabulary as its library reads it, with the string of its special token.
 LIBRARY_TOKENIZER = "byte_bpe_50k.json"
 
@@ -202,4 +227,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _OP2_SQL, "op4_lines": _OP4_SQL, "op4_all_lines": _OP4_ALL_SQL, "op9_embeddings": _OP9_SQL, "op10_minhash": _OP10_SQL}
+    return {"op2_decontamination": _OP2_SQL, "op4_lines": _OP4_SQL, "op4_all_lines": _OP4_ALL_SQL, "op9_embeddings": _OP9_SQL, "op10_minhash": _OP10_SQL, "op12_lexical": _OP12_SQL}
