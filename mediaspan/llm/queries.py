@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaspan.llm import bpe, counts, decontaminate, embeddings, language, lexical, lines, minhash, packing, pii, substrings, urls
+from mediaspan.llm import bpe, counts, decontaminate, embeddings, language, lexical, lines, minhash, packing, pii, substrings, tries, urls
 from mediaspan.plans.workspace import Workspace
 
 #: The byte-level vocabulary, read as ranks: the ids are those of byte_bpe_50k.json.
@@ -187,6 +187,47 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.minhash_groups(spark, _table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def with_shared_heads(convs: DataFrame) -> DataFrame:
+    """Sequences whose first turns, by a hash of the id none to three, are those of the conversation at the next lower multiple of 20."""
+    own = F.col("conv_id")
+    heads = convs.where(own % 20 == 0).select(own.alias("giver"), F.slice("ids", 1, 3).alias("first_ids"), F.slice("words", 1, 3).alias("first_words"))
+    shared = (F.crc32(own.cast("string").cast("binary")) % 4).cast("int")
+    met = convs.withColumn("giver", own - own % 20).join(heads, "giver", "left").withColumn("h", shared)
+    rebuilt = [F.concat(F.coalesce(F.slice(f"first_{c}", F.lit(1), F.col("h")), F.slice(c, 1, 0)), F.slice(c, F.col("h") + 1, F.size(c))).alias(c) for c in ("ids", "words")]
+    return met.select("conv_id", *rebuilt)
+
+
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = with_shared_heads(tries.sequences(tries.turns(_table(spark, sf_dir, "conversations"))))
+    return tries.prefix_trie(spark, convs).drop("turn_id")
+
+
+_OP11_SQL = """
+with t as (
+    select conv_id, list([coalesce(role, ''), coalesce(text, '')] order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as s
+    from conversations where conv_id is not null group by conv_id
+), h as (
+    select *, xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(cast(conv_id as varchar), ''), lambda c: cast(ascii(c) as bigint))),
+        lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 4 as h from t
+), r as (
+    select c.conv_id, list_concat(coalesce(d.s[1 : c.h], []), c.s[c.h + 1 :]) as s from h c left join t d on d.conv_id = c.conv_id - c.conv_id % 20
+), p as (
+    select conv_id, d, len(s) as size, sha256(to_json(s[1 : d])) as k, sha256(to_json(s[1 : d - 1])) as up, case when d > 0 then len(regexp_extract_all(s[d][2], '[^\x20\x09-\x0D]+')) else 0 end as words
+    from r, unnest(range(0, len(s) + 1)) x(d)
+), n as (
+    select k, d, min(conv_id) as rep, count(*) as n, min(up) as up, min(words) as words, coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where size = d), '') as ends from p group by k, d
+), kids as (select up, d - 1 as d, count(*) as kids from n where d > 0 group by up, d
+), m as (
+    select n.*, coalesce(kids, 0) as kids, parent.rep as parent from n left join kids on kids.up = n.k and kids.d = n.d left join n parent on parent.k = n.up and parent.d = n.d - 1 and n.d > 0
+), given as (
+    select p.k, p.d, sum(case when m.rep = p.conv_id then (m.n - 1) * m.words else 0 end) over w as saved, sum(case when m.rep = p.conv_id and m.kids = 0 then 1 else 0 end) over w as leaves
+    from p join m on m.k = p.k and m.d = p.d window w as (partition by p.conv_id order by p.d desc)
+), total as (select k, d, sum(saved) as saved, sum(leaves) as leaves from given group by k, d)
+select rep as conv_id, m.d as depth, parent as parent_conv_id, n as n_convs, kids as n_children, cast(leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, sha256(ends) as ends_sha256
+from m join total on total.k = m.k and total.d = m.d
+"""
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -227,4 +268,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _OP2_SQL, "op4_lines": _OP4_SQL, "op4_all_lines": _OP4_ALL_SQL, "op9_embeddings": _OP9_SQL, "op10_minhash": _OP10_SQL, "op12_lexical": _OP12_SQL}
+    return {"op2_decontamination": _OP2_SQL, "op4_lines": _OP4_SQL, "op4_all_lines": _OP4_ALL_SQL, "op9_embeddings": _OP9_SQL, "op10_minhash": _OP10_SQL, "op11_trie": _OP11_SQL, "op12_lexical": _OP12_SQL}
