@@ -29,10 +29,11 @@ from mediaspan.llm.tokens import vocabulary
 SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}++$|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}++")
 #: A word starts at such a blank, whatever stands around it.
 _CUT = regex.compile(r"(?<=\P{White_Space}) ")
+_LITTLE = array("I", [1]).tobytes() == b"\x01\x00\x00\x00"
 #: Characters that are split at a time, at least.
 SLICE = 1 << 19
 #: Words whose ids a worker remembers, and the longest of them.
-MEMORY, LONGEST = 1 << 17, 64
+MEMORY, LONGEST = 1 << 18, 64
 #: Bytes of ids or texts in one batch of results.
 BATCH = 1 << 23
 
@@ -45,7 +46,10 @@ def byte_letters() -> dict[str, int]:
 
 
 class Vocabulary(dict):
-    """Strings and merges of one vocabulary file; as a dict it remembers the packed ids of words."""
+    """Strings and merges of one vocabulary file; as a dict it remembers the packed ids of words.
+
+    When it holds MEMORY words it starts anew, and words that occur again are taken over.
+    """
 
     def __init__(self, path: str):
         found = json.loads(Path(path).read_text(encoding="utf-8"))
@@ -54,6 +58,7 @@ class Vocabulary(dict):
         self.ranks = {ids[a] << 32 | ids[b]: rank for rank, (a, b) in enumerate(pairs)}
         self.merged = [ids[a + b] for a, b in pairs]
         self.of_byte = [ids[letter] for letter, _ in sorted(letters.items(), key=lambda x: x[1])]
+        self.older: dict[str, bytes] = {}
         self.added = {t["content"]: t["id"] for t in found.get("added_tokens", [])}
         self.bytes = {i: bytes(letters[c] for c in s) if all(c in letters for c in s) else s.encode() for s, i in ids.items()} | {i: s.encode() for s, i in self.added.items()}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
@@ -62,31 +67,37 @@ class Vocabulary(dict):
         """The ids of one word."""
         n = len(word)
         ids = [self.of_byte[b] for b in word]
-        ids.append(-1)  # the end, which merges with nothing
-        before, after = array("q", range(-1, n)), array("q", range(1, n + 2))
-        get, width = self.ranks.get, n.bit_length()
+        get, merged, width = self.ranks.get, self.merged, n.bit_length()
         heap = [rank << width | at for at in range(n - 1) if (rank := get(ids[at] << 32 | ids[at + 1])) is not None]
+        if not heap:
+            return ids
         heapq.heapify(heap)
+        ids.append(-1)  # the end, which merges with nothing
+        before, after, mask = list(range(-1, n)), list(range(1, n + 2)), (1 << width) - 1
         while heap:
             top = heapq.heappop(heap)
-            rank, at = top >> width, top & (1 << width) - 1
-            right = after[at]
-            if ids[at] < 0 or get(ids[at] << 32 | ids[right]) != rank:
+            rank, at = top >> width, top & mask
+            here, right = ids[at], after[at]
+            if here < 0 or get(here << 32 | ids[right]) != rank:
                 continue
-            ids[at], ids[right] = self.merged[rank], -1
+            ids[at], ids[right] = merged[rank], -1
+            here = ids[at]
             after[at] = right = after[right]
             before[right] = at
-            if right < n and (rank := get(ids[at] << 32 | ids[right])) is not None:
+            if (rank := get(here << 32 | ids[right])) is not None:
                 heapq.heappush(heap, rank << width | at)
             left = before[at]
-            if left >= 0 and (rank := get(ids[left] << 32 | ids[at])) is not None:
+            if left >= 0 and (rank := get(ids[left] << 32 | here)) is not None:
                 heapq.heappush(heap, rank << width | left)
         return [i for i in ids if i >= 0]
 
     def __missing__(self, word: str) -> bytes:
-        packed = pack(self.merge(word.encode()))
+        packed = self.older.get(word)
+        if packed is None:
+            packed = pack(self.merge(word.encode()))
         if len(word) <= LONGEST:
             if len(self) >= MEMORY:
+                self.older = dict(self)
                 self.clear()
             self[word] = packed
         return packed
@@ -116,7 +127,7 @@ class Vocabulary(dict):
 
 def pack(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return array("I", ids).tobytes() if _LITTLE else b"".join(i.to_bytes(4, "little") for i in ids)
 
 
 @lru_cache(maxsize=2)
@@ -192,9 +203,6 @@ def unpack(value: bytes) -> list[int]:
     return memoryview(value).cast("I").tolist() if _LITTLE else [int.from_bytes(value[p : p + 4], "little") for p in range(0, len(value), 4)]
 
 
-_LITTLE = array("H", [1]).tobytes() == b"\x01\x00"
-
-
 def ids_array(rows: DataFrame, column: str = "ids") -> DataFrame:
     """rows with packed ids as an array of integers."""
     four = F.regexp_extract_all(F.hex(column), F.lit("(..)(..)(..)(..)"), F.lit(0))
