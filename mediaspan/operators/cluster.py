@@ -13,7 +13,7 @@ from mediaspan.plans.numbering import numbered
 from mediaspan.plans.registry import query
 from mediaspan.plans.workspace import Workspace
 
-DISTANCE, NEIGHBOURS, TILE = 0.65, 80, 1024
+DISTANCE, NEIGHBOURS, TILE, STRIP = 0.65, 80, 4096, 256
 #: Below so many faces the graph is exact by default.
 EXACT_BELOW = 8000
 
@@ -27,20 +27,22 @@ def graph_strategy(n: int, mode: str = "auto") -> str:
 
 def _tile_pair(distance: float, k: int):
     def near(tiles: pd.DataFrame) -> pd.DataFrame:
-        """Of each vector of two tiles (or one) its k nearest in the other, by one matrix product."""
+        """Of each vector of two tiles (or one) its k nearest in the other, a strip of rows at a time."""
         left, right = (tiles[tiles.tile == t] for t in (tiles.p.iloc[0], tiles.q.iloc[0]))
         a, b = (t.node.to_numpy() for t in (left, right))
         x, y = (np.stack(t.embedding.to_numpy()).astype(np.float64) for t in (left, right))
-        d = 1 - np.clip(x @ y.T, -1, 1)
-        d[left.owner.to_numpy()[:, None] == right.owner.to_numpy()[None, :]] = np.inf
-        found = []
-        for here, there, far in ((a, b, d),) if tiles.p.iloc[0] == tiles.q.iloc[0] else ((a, b, d), (b, a, d.T)):
+        owners, found = (left.owner.to_numpy(), right.owner.to_numpy()), []
+        sides = ((a, x, owners[0], b, y, owners[1]),) if tiles.p.iloc[0] == tiles.q.iloc[0] else ((a, x, owners[0], b, y, owners[1]), (b, y, owners[1], a, x, owners[0]))
+        for here, own, mine, there, other, theirs in sides:
             order = np.argsort(there, kind="stable")
-            far, there = far[:, order], there[order]
-            best = np.argsort(far, axis=1, kind="stable")[:, :k]
-            row = np.repeat(np.arange(len(here)), best.shape[1])
-            one = pd.DataFrame({"a": here[row], "b": there[best.ravel()], "d": far[row, best.ravel()]})
-            found.append(one[one.d < distance])
+            there, other, theirs = there[order], other[order], theirs[order]
+            for low in range(0, len(here), STRIP):
+                d = 1 - np.clip(own[low : low + STRIP] @ other.T, -1, 1)
+                d[mine[low : low + STRIP, None] == theirs[None, :]] = np.inf
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                row = np.repeat(np.arange(len(d)), best.shape[1])
+                one = pd.DataFrame({"a": here[low + row], "b": there[best.ravel()], "d": d[row, best.ravel()]})
+                found.append(one[one.d < distance])
         return pd.concat(found)
 
     return near
@@ -51,7 +53,8 @@ def neighbours(vectors: DataFrame, work: Workspace, distance: float = DISTANCE,
 
     Nodes of one owner (faces of one file) are never neighbours. Vectors are
     dealt to tiles and every two tiles meet in one group of at most about
-    2 x TILE vectors, which puts forward k a vector; no pairs beyond are made.
+    2 x TILE vectors, which puts forward k a vector; no pairs beyond are made,
+    and a task keeps k a vector of all its tiles before they are shuffled.
     Null vectors are left out. Vectors are taken to be of one length.
     """
     known = vectors.where("embedding is not null and size(embedding) > 0")
