@@ -29,6 +29,26 @@ def shared_folder(spark: SparkSession) -> str:
 _local: str | None = None
 
 
+def _at(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def written(spark: SparkSession, folder: str, label: str) -> list[int]:
+    """The numbers N of the completely written tables `label=N` in a folder, ascending."""
+    files, place = _at(spark, folder)
+    if not files.exists(place):
+        return []
+    found = [s.getPath() for s in files.listStatus(place) if s.getPath().getName().startswith(f"{label}=")]
+    return sorted(int(p.getName().partition("=")[2]) for p in found if files.exists(_at(spark, f"{p.toString()}/_SUCCESS")[1]))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing will read again; it may be gone already."""
+    files, place = _at(spark, path)
+    files.delete(place, True)
+
+
 class Workspace:
     """A folder of written tables that belong to one run of one operator."""
 
@@ -46,8 +66,5 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing will read again."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            remove(self.spark, self.path(name))

@@ -2,7 +2,7 @@
 
 Each micro-batch is reduced to the latest event of a file and written under its
 batch number, so a batch that is run again replaces itself. The state is the
-latest event over all batches; `compact` folds them into one.
+latest event over all batches; `compact` folds them into the newest one.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mediaspan.plans.catalog import Library
 from mediaspan.plans.registry import query
-from mediaspan.plans.workspace import Workspace
+from mediaspan.plans.workspace import Workspace, remove, written
 
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 _STATE = "file_id long, at timestamp, event_id long, event_type string, value double, n long"
@@ -36,10 +36,31 @@ class ChangeLog:
 
     def state(self) -> DataFrame:
         """Latest over all batches; their counts add up."""
-        rows = self.spark.read.schema(_STATE).option("recursiveFileLookup", "true").parquet(f"{self.root}/changes")
+        folds = written(self.spark, f"{self.root}/folded", "upto")
+        batches = [n for n in written(self.spark, f"{self.root}/changes", "batch") if not folds or n > folds[-1]]
+        paths = [f"{self.root}/changes/batch={n}" for n in batches] + [f"{self.root}/folded/upto={n}" for n in folds[-1:]]
+        rows = self.spark.read.schema(_STATE).parquet(*paths) if paths else self.spark.createDataFrame([], _STATE)
         best = F.max_by(F.struct("at", "event_id", "event_type", "value"), F.struct("at", "event_id")).alias("e")
         return rows.groupBy("file_id").agg(best, F.sum("n").alias("n")).select("file_id", "e.at", "e.event_id", "e.event_type", "e.value", "n")
 
+    def compact(self) -> None:
+        """Fold the complete batches into one table, which counts once its mark is there; then delete what it replaces.
+
+        Called between runs of the stream: a batch that is folded must not come again.
+        """
+        done = written(self.spark, f"{self.root}/changes", "batch")
+        if len(done) > 1:
+            self.state().write.mode("overwrite").parquet(f"{self.root}/folded/upto={done[-1]}")
+            self._clear()
+
+    def _clear(self) -> None:
+        folds = written(self.spark, f"{self.root}/folded", "upto")
+        for upto in folds[:-1]:
+            remove(self.spark, f"{self.root}/folded/upto={upto}")
+        for number in written(self.spark, f"{self.root}/changes", "batch"):
+            if folds and number <= folds[-1]:
+                remove(self.spark, f"{self.root}/changes/batch={number}")
+
     def run(self, stream: DataFrame) -> None:
         """Take in all that the stream holds now; a later run goes on where this one ended."""
         started = stream.writeStream.foreachBatch(self.write).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
