@@ -6,6 +6,7 @@ bounded by the slice or the longest row, and every step is vectorised.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,9 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
 _M = (1 << 64) - 1
+#: Bytes up to which a word is hashed by polynomials modulo 2**64. From some 500 on there are words that
+#: collide under every odd base (Thue-Morse words); well below that there are none of this kind.
+LONG_WORD = 64
 #: Odd multipliers of the two polynomial hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -97,8 +101,13 @@ class Words:
     lowered: np.ndarray
 
     def hashes(self, which: int = 0) -> np.ndarray:
+        """A hash of each word; those of more than LONG_WORD bytes, among which the polynomials are known to meet, by BLAKE2."""
         sums = self.sums if which == 0 else prefix_sums(self.lowered, BASES[which])
-        return range_hash(sums, self.start, self.end, BASES[which])
+        found = range_hash(sums, self.start, self.end, BASES[which])
+        for at in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+            word = self.lowered[self.start[at] : self.end[at]]
+            found[at] = int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=bytes([which])).digest(), "little")
+        return found
 
 
 def words(data: np.ndarray, at: np.ndarray, kind: np.ndarray) -> Words:
