@@ -8,7 +8,9 @@ one unit however it is spaced. A unit's surrogate is a function of a secret key
 the corpus are checked: of those with one surrogate all but the smallest try
 again, as does a surrogate that is a real value of its class (all names are one
 class); so distinct stays distinct, and equal stays equal. Later attempts may
-be longer than their values, so retries end.
+be longer than their values, so retries end. Addresses of computers, whose
+values may all be in use, are mapped one to one by a keyed permutation that
+moves every one of them; there a surrogate may be the value of another.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ _SUFFIX = "|".join(MALE_SUFFIXES + FEMALE_SUFFIXES)
 # What begins with a letter never begins within an ASCII word; this test comes first as it fails at most places.
 _LETTERED = "|".join(
     [
-        r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+        r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
         r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
         r"\b(?=[psta])(?:password|passwd|secret|token|api_key)\s{0,2}[=:]\s{0,2}[\"']?[^\s\"',;]{8,}",
         r"\b(?:MU|SC)\d{2}(?: ?[A-Z0-9]{4}){6} ?[A-Z0-9]{2,3}\b",
@@ -183,7 +185,37 @@ _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHI
 
 def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The replacement of a unit: same kind, length, character classes, script and gender."""
-    return _let(_keyed(key, kind, value, attempt), lambda h: _drawn(h, kind, value, attempt))
+    return F.when(kind == "ip", _address(key, value)).otherwise(_let(_keyed(key, kind, value, attempt), lambda h: _drawn(h, kind, value, attempt)))
+
+
+#: First numbers of addresses that stay, as whole ranges under them are private, local or not of hosts; under the second kind the next number stays too.
+_KEPT, _KEPT_TWO = [0, 10, 127, *range(224, 256)], [100, 169, 172, 192, 198, 203]
+
+
+def _address(key: str, value: Column) -> Column:
+    """A one-to-one map of the strings of four numbers: each number moves by a keyed permutation that depends on those before it.
+
+    Numbers up to 255 stay so, larger ones too, and leading zeros stay. The
+    last number always moves: x to a*x + b with a and b odd.
+    """
+    open_firsts = [n for n in range(256) if n not in _KEPT + _KEPT_TWO]
+    drawn = sorted(open_firsts, key=lambda n: hashlib.sha256(f"{key}|ip|{n}".encode()).digest())
+    moved = dict(zip(open_firsts, drawn, strict=True))
+    firsts = F.array(*[F.lit(moved.get(n, n)) for n in range(256)])
+    text = F.split(value, r"\.")
+    n = [F.element_at(text, i).cast("int") for i in range(1, 5)]
+
+    def permuted(x: Column, before: list[Column]) -> Column:
+        h = _keyed(key, F.lit("ip"), F.concat_ws(".", *before), F.lit(len(before)))
+        a, b = (F.conv(F.substring(h, place, 4), 16, 10).cast("int") for place in (1, 5))
+        a, b = a.bitwiseOR(F.lit(1)), b.bitwiseOR(F.lit(1))
+        larger = F.element_at(F.array(*map(F.lit, (5, 7, 11, 13, 17, 19))), F.pmod(a, F.lit(6)) + 1)
+        return F.when(x < 256, F.pmod(a * x + b, F.lit(256))).otherwise(F.pmod(larger * (x - 256) + b, F.lit(744)) + 256)
+
+    second = F.when(n[0].isin(_KEPT_TWO), n[1]).otherwise(permuted(n[1], n[:1]))
+    new = [F.when(n[0] < 256, F.element_at(firsts, n[0] + 1)).otherwise(n[0]), second, permuted(n[2], n[:2]), permuted(n[3], n[:3])]
+    zeros = [F.regexp_extract(F.element_at(text, i), r"^0*(?=\d)", 0) for i in range(1, 5)]
+    return F.concat_ws(".", *[F.concat(z, x.cast("string")) for z, x in zip(zeros, new, strict=True)])
 
 
 def _drawn(h: Column, kind: Column, value: Column, attempt: Column) -> Column:
@@ -203,10 +235,6 @@ def _drawn(h: Column, kind: Column, value: Column, attempt: Column) -> Column:
         .otherwise(c)
     )
     shaped = F.array_join(F.transform(F.split(value, ""), by_class), "")
-    # A private address stays in its private range, any other gets a first number from 11 to 110, where none is private.
-    octets = [F.concat(F.lit("."), byte(F.lit(i)).cast("string")) for i in (1, 2)] + [F.concat(F.lit("."), (byte(F.lit(3)) % 254 + 1).cast("string"))]
-    within = F.regexp_extract(value, r"^(?:10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))(?=\.)", 0)
-    ip = F.when(within.contains("."), F.concat(within, *octets[1:])).when(within != "", F.concat(within, *octets)).otherwise(F.concat((byte(F.lit(0)) % 100 + 11).cast("string"), *octets))
     top = F.concat(F.lit("."), F.substring_index(value, ".", -1))
     longer = several(_DIGITS, LONGER, attempt)
 
@@ -228,7 +256,7 @@ def _drawn(h: Column, kind: Column, value: Column, attempt: Column) -> Column:
     stem = lambda c, v: F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: F.concat(pick(c, 2 * i), pick(v, 2 * i + 1))), ""))
     for script, (consonants, vowels, (female, male, other)) in _SYLLABLES.items():
         name = name.when(kind.endswith(script), F.concat(stem(consonants, vowels), F.when(kind.contains(":female:"), female).when(kind.contains(":male:"), male).otherwise(other)))
-    return F.when(kind.startswith("name:"), name).when(kind == "ip", ip).otherwise(_let(shaped, numbered))
+    return F.when(kind.startswith("name:"), name).otherwise(_let(shaped, numbered))
 
 
 def _laid_out(m: Column, kind: Column, new: Column) -> Column:
@@ -269,7 +297,8 @@ def mentioned(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def retries(units: DataFrame, key: str, work: Workspace) -> DataFrame:
-    """(kind, value, attempt, n) of the units (kind, value, n) that need more than the first attempt."""
+    """(kind, value, attempt, n) of the units (kind, value, n) that need more than the first attempt; addresses never do."""
+    units = units.where("kind <> 'ip'")
     family = F.substring_index("kind", ":", 1).alias("class")
     real = units.select(family, F.col("value").alias("new")).distinct()
     now, n = units.withColumn("attempt", F.lit(0)), 0
@@ -295,8 +324,9 @@ def pseudonymise(spark: SparkSession, documents: DataFrame, key: str, doc_id: st
     Null and empty texts stay as they are, as do texts without a mention.
     Repeated rows are replaced alike, and rows without an id like any other.
     The key decides all surrogates; the same corpus and key give the same
-    result. If a form has too few values to tell its units apart (every IPv4
-    address is in use, say) it ends with an error that names the kind.
+    result. Texts of any length are searched without recursion. If after ROUNDS
+    attempts units of one kind still can't be told apart it ends with an error
+    that names the kind; addresses, whose form has few values, need no attempts.
     """
     work = Workspace(spark, "pii")
     found = work.table(mentioned(documents, text), "mentioned")
