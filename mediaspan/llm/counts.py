@@ -3,14 +3,17 @@
 A ledger is a folder. A batch writes signed entries (documents and tokens by
 document, source, language and tokenizer version), their rollup, and last a
 commit mark; without the mark neither counts. Applying a committed batch again
-does nothing, and one that broke off is written anew over what it left.
+does nothing, one that broke off is written anew, and of two writers of one
+batch the first to make the mark counts.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,25 +39,6 @@ def count_tokens(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", t
     return counted.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), "tokens")
 
 
-#: Bits of the map of hashed ids: 8 MB, however many ids there are.
-ID_BITS = 1 << 26
-
-
-def may_be_among(documents: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents whose hashed id is marked by one of ids (doc_id), found without a shuffle of texts.
-
-    Documents of other ids with an equal hash come along; an exact join on the
-    slim rows that are made of them has to follow. The bitmaps are at most
-    2048 rows of 4 KB, so they are broadcast at any size. Null ids go.
-    """
-    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(ID_BITS)) + 1
-    marks = ids.where("doc_id is not null").select(place("doc_id").alias("_at"))
-    maps = marks.groupBy(F.bitmap_bucket_number("_at").alias("_map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
-    placed = documents.where(F.col(doc_id).isNotNull()).withColumn("_at", place(doc_id)).withColumn("_map", F.bitmap_bucket_number("_at"))
-    marked = F.expr("getbit(cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(_at) % 8 as int)) = 1")
-    return placed.join(F.broadcast(maps), "_map").where(marked).select(*documents.columns)
-
-
 class TokenLedger:
     """Additive totals by source, language and tokenizer version."""
 
@@ -66,12 +50,37 @@ class TokenLedger:
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
 
-    def committed(self) -> list[str]:
+    def committed(self) -> dict[str, str]:
+        """Committed batches, each with the attempt that its mark names; an empty mark is of a writer that broke off."""
         fs, p = self._fs(f"{self.root}/commits")
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        marks = {s.getPath().getName(): self._attempt(s.getPath()) for s in fs.listStatus(p)} if fs.exists(p) else {}
+        return dict(sorted((batch, attempt) for batch, attempt in marks.items() if attempt))
+
+    def _attempt(self, mark) -> str:
+        fs, _ = self._fs(self.root)
+        stream = fs.open(mark)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _commit(self, batch: str, attempt: str) -> bool:
+        """Make the batch's mark, unless another writer was first."""
+        fs, mark = self._fs(f"{self.root}/commits/{batch}")
+        if fs.exists(mark) and not self._attempt(mark):
+            fs.delete(mark, False)
+        try:
+            stream = fs.create(mark, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName() or "already exists" in str(e.java_exception.getMessage()):
+                return False
+            raise
+        stream.write(bytearray(attempt.encode()))
+        stream.close()
+        return True
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.root}/{kind}/{b}" for b in self.committed()]
+        paths = [f"{self.root}/{kind}/{batch}/{attempt}" for batch, attempt in self.committed().items()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def entries(self) -> DataFrame:
@@ -88,7 +97,7 @@ class TokenLedger:
         return mine.groupBy("doc_id", *DIMS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
     def apply(self, batch: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None, revised: DataFrame | None = None) -> bool:
-        """Commit a batch; False if it already was.
+        """Commit a batch; False if it already was, or another writer was first.
 
         inserts and revised have the columns of count_tokens, deletes has doc_id.
         A deleted or revised document's live counts are taken back with the
@@ -107,9 +116,8 @@ class TokenLedger:
         for part in gone[:1]:
             ids = part if len(gone) == 1 else part.union(gone[1])
             rows = rows.unionByName(self.live(ids).select("doc_id", *DIMS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
-        rows.write.mode("overwrite").parquet(f"{self.root}/entries/{batch}")
-        written = self.spark.read.schema(_ENTRY).parquet(f"{self.root}/entries/{batch}")
-        written.groupBy(*DIMS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(f"{self.root}/rollups/{batch}")
-        fs, mark = self._fs(f"{self.root}/commits/{batch}")
-        fs.create(mark, True).close()
-        return True
+        attempt = uuid.uuid4().hex
+        rows.write.parquet(f"{self.root}/entries/{batch}/{attempt}")
+        written = self.spark.read.schema(_ENTRY).parquet(f"{self.root}/entries/{batch}/{attempt}")
+        written.groupBy(*DIMS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{self.root}/rollups/{batch}/{attempt}")
+        return self._commit(batch, attempt)

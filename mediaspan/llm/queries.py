@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaspan.llm import bpe, counts, decontaminate, embeddings, language, lexical, lines, minhash, packing, pii, substrings, tries, urls
+from mediaspan.llm.keyed import by_marks, key_marks
 from mediaspan.plans.workspace import Workspace
 
 #: The byte-level vocabulary, read as ranks: the ids are those of byte_bpe_50k.json.
@@ -161,10 +162,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted; those of low quality are then deleted, toxic ones revised to a text without digits; the last batch is sent twice."""
     docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
-    ledger = counts.TokenLedger(spark, Workspace(spark, "ledger").root)
+    work = Workspace(spark, "ledger")
+    ledger = counts.TokenLedger(spark, work.root)
     ledger.apply("0-load", inserts=counts.count_tokens(docs, TOKENIZER))
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    changed = counts.may_be_among(docs, toxic).withColumn("text", F.regexp_replace("text", "[0-9]", ""))
+    maybe, _ = by_marks(docs, F.col("doc_id"), key_marks(toxic, "doc_id", work, "toxic"))
+    changed = maybe.withColumn("text", F.regexp_replace("text", "[0-9]", ""))
     changes = {"deletes": labels.where("quality = 0"), "revised": counts.count_tokens(changed, TOKENIZER).join(toxic, "doc_id", "left_semi")}
     for _ in range(2):
         ledger.apply("1-review", **changes)
