@@ -87,6 +87,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         high = max(low + 1, int(np.searchsorted(at, at[low] + limit, side="right")) - 1)
         yield low, high, body[at[low] : at[high]], at[low : high + 1] - at[low]
         low = high
+    pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batches took
 
 
 @dataclass
