@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,12 @@ TONE, MOST_FADE, GRAY = 0.35, 0.55, 128.0
 # Falloff of the vignette, most grain, and the steps of its noise.
 FALLOFF, MOST_GRAIN = 1.8, 28.0
 NOISE = (374761393, 668265263, 1274126177)
+# Rows of the rotation of hue, each a constant, a part of the cosine and one of the sine.
+HUE = (
+    ((0.213, 0.787, -0.213), (0.715, -0.715, -0.715), (0.072, -0.072, 0.928)),
+    ((0.213, -0.213, 0.143), (0.715, 0.285, 0.140), (0.072, -0.072, -0.283)),
+    ((0.213, -0.213, -0.787), (0.715, -0.715, 0.715), (0.072, 0.928, 0.072)),
+)
 # sRGB and XYZ under D65 both ways, and the white.
 TO_XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
 FROM_XYZ = ((3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.0415560), (0.0556434, -0.2040259, 1.0572252))
@@ -165,3 +173,30 @@ def toned(new: Channels, old: Channels, strength: float) -> Channels:
 
 def rounded(rgb: Channels) -> Channels:
     return tuple(_byte(c) for c in rgb)
+
+
+def _cut(x: Column) -> Column:
+    """A channel's whole value, cut off."""
+    return F.floor(_between(x, 0.0, 255.0)).cast("int")
+
+
+def edited(rgb: Channels, brightness: int = 0, contrast: float = 0.0, saturation: float = 1.0) -> Channels:
+    """The editor's brightness and contrast (percent, a plain factor about the middle) and saturation about the luma, cut off once."""
+    light, spread = (100 + brightness) / 100, (100 + contrast) / 100
+    moved = tuple((c * light - GRAY) * spread + GRAY for c in rgb)
+    gray = _weighed(moved, LUMA_601)
+    return tuple(_cut(gray + saturation * (c - gray)) if saturation != 1.0 else _cut(c) for c in moved)
+
+
+def hue_matrix(degrees: float) -> list[list[float]]:
+    turn = math.radians(degrees)
+    return [[k + math.cos(turn) * c + math.sin(turn) * s for k, c, s in row] for row in HUE]
+
+
+def hue(rgb: Channels, degrees: float) -> Channels:
+    return tuple(_cut(_weighed(rgb, tuple(row))) for row in hue_matrix(degrees))
+
+
+def taps(sigma: float) -> dict[int, float]:
+    """Offsets and weights of a Gaussian that ends at twice its sigma."""
+    return {d: math.exp(-d * d / (2 * sigma * sigma)) for d in range(math.floor(0.5 - 2 * sigma), math.ceil(0.5 + 2 * sigma))}

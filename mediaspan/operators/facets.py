@@ -48,11 +48,18 @@ for _code, _order in enumerate(("label", "label desc", "total, label", "total de
     )
 
 
-@query("A8_gps_heatmap", "select round(gps_latitude, 2) cell_lat, round(gps_longitude, 2) cell_lon, round(avg(gps_latitude) + 1e-8, 6) lat, round(avg(gps_longitude) + 1e-8, 6) lon, count(*) n from v_files where gps_latitude is not null and gps_longitude is not null group by 1, 2")
+def _mean(degrees: F.Column) -> F.Column:
+    """The mean in millionths of a degree, halves up: whole numbers are added, so it is the same in any order."""
+    total = F.sum(F.round((degrees + 360) * 10000000).cast("long"))
+    return (F.floor((2 * total + 10 * F.count("*")) / (20 * F.count("*")).cast("decimal(20,0)")).cast("long") - 360000000) / 1000000.0
+
+
+@query("A8_gps_heatmap", "select round(gps_latitude, 2) cell_lat, round(gps_longitude, 2) cell_lon, (cast(2 * sum(cast(round((gps_latitude + 360) * 10000000) as bigint)) + 10 * count(*) as bigint) // (20 * count(*)) - 360000000) / 1000000::double lat, (cast(2 * sum(cast(round((gps_longitude + 360) * 10000000) as bigint)) + 10 * count(*) as bigint) // (20 * count(*)) - 360000000) / 1000000::double lon, count(*) n from v_files where gps_latitude is not null and gps_longitude is not null group by 1, 2")
 def heatmap(lib: Library) -> DataFrame:
+    """Files by cells of a hundredth of a degree, with the mean place of each."""
     lat, lon = F.col("gps_latitude"), F.col("gps_longitude")
     cells = lib.files.where(lat.isNotNull() & lon.isNotNull()).groupBy(F.round(lat, 2).alias("cell_lat"), F.round(lon, 2).alias("cell_lon"))
-    return cells.agg(F.round(F.avg(lat) + 1e-8, 6).alias("lat"), F.round(F.avg(lon) + 1e-8, 6).alias("lon"), F.count("*").alias("n"))
+    return cells.agg(_mean(lat).alias("lat"), _mean(lon).alias("lon"), F.count("*").alias("n"))
 
 
 def _counted(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:

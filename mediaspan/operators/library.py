@@ -302,3 +302,19 @@ def folder_search(lib: Library) -> DataFrame:
     parts = F.split("path", "/")
     above = hits.select("album_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("path")).distinct()
     return lib.folders.join(above, ["album_id", "path"], "left_semi").select("album_id", "path").distinct()
+
+
+def walked(lib: Library, root: str) -> DataFrame:
+    """Files at any depth under a folder, without hidden files and without what lies in hidden folders, in the order of paths."""
+    below = lib.base.where(F.col("file_path").startswith(f"{root}/"))
+    inner = F.substring("file_path", F.lit(len(root) + 1), F.length("file_path"))
+    return below.where(~inner.contains("/.")).orderBy("file_path")
+
+
+def listed_in(lib: Library, folder: str, code: int, descending: bool) -> DataFrame:
+    """Files directly in a folder, in one of the library's orders."""
+    return lib.base.where((F.col("folder_path") == folder) & ~F.col("name").startswith(".")).orderBy(*ordering(code, descending))
+
+
+register("S3_walk_library", lambda lib: walked(lib, "/lib/ASIA").select("file_path", "file_type", "size"), "select file_path, file_type, size from v_base where starts_with(file_path, '/lib/ASIA/') and not contains(substr(file_path, 10), '/.') order by file_path")
+register("S4_list_folder", lambda lib: listed_in(lib, "/lib/ASIA/NATION_12/BUILDING", 4, True).select("name", "file_type", "size"), "select name, file_type, size from v_base where folder_path = '/lib/ASIA/NATION_12/BUILDING' and not starts_with(name, '.') order by size desc, id desc")

@@ -9,26 +9,59 @@ from pyspark.sql import functions as F
 from mediaspan.plans.catalog import Library
 from mediaspan.plans.registry import query, register
 
-# How lens models tell their maker, tested in this order ("^" begins with, "*" holds).
-LENS_RULES = """
-^CANON=Canon|^CN-E=Canon|^TS-E=Canon|^MP-E=Canon|^RF-S=Canon|^RF=Canon|^EF-S=Canon|^EF-M=Canon|^EF=Canon|*NIKKOR=Nikon|^SONY=Sony|^SEL=Sony|^FE =Sony|^E =Sony|^E PZ =Sony
-|^FUJINON=Fujifilm|^XF=Fujifilm|^XC=Fujifilm|^GF=Fujifilm|^LUMIX=Panasonic|^LEICA DG=Panasonic|^LEICA D=Panasonic|^LEICA=Leica|^TAMRON=Tamron|* DI III-A=Tamron|* DI III=Tamron|* DI II=Tamron|* DI =Tamron
-|^SIGMA=Sigma|^TOKINA=Tokina|^AT-X=Tokina|^SAMYANG=Samyang|^ROKINON=Samyang|^VOIGTLANDER=Voigtlander|^TTARTISAN=TTArtisan|^7ARTISANS=7Artisans|^VILTROX=Viltrox
-"""
-_LENS = [(rule[0], *rule[1:].split("=")) for rule in LENS_RULES.replace("\n", "").split("|")]
+# How lens models tell their maker, tested in this order.
+LENS_RULES = [
+    ("starts", "CANON", "Canon"),
+    ("starts", "CN-E", "Canon"),
+    ("starts", "TS-E", "Canon"),
+    ("starts", "MP-E", "Canon"),
+    ("starts", "RF-S", "Canon"),
+    ("starts", "RF", "Canon"),
+    ("starts", "EF-S", "Canon"),
+    ("starts", "EF-M", "Canon"),
+    ("starts", "EF", "Canon"),
+    ("holds", "NIKKOR", "Nikon"),
+    ("starts", "SONY", "Sony"),
+    ("starts", "SEL", "Sony"),
+    ("starts", "FE ", "Sony"),
+    ("starts", "E ", "Sony"),
+    ("starts", "E PZ ", "Sony"),
+    ("starts", "FUJINON", "Fujifilm"),
+    ("starts", "XF", "Fujifilm"),
+    ("starts", "XC", "Fujifilm"),
+    ("starts", "GF", "Fujifilm"),
+    ("starts", "LUMIX", "Panasonic"),
+    ("starts", "LEICA DG", "Panasonic"),
+    ("starts", "LEICA D", "Panasonic"),
+    ("starts", "LEICA", "Leica"),
+    ("starts", "TAMRON", "Tamron"),
+    ("holds", " DI III-A", "Tamron"),
+    ("holds", " DI III", "Tamron"),
+    ("holds", " DI II", "Tamron"),
+    ("holds", " DI ", "Tamron"),
+    ("starts", "SIGMA", "Sigma"),
+    ("starts", "TOKINA", "Tokina"),
+    ("starts", "AT-X", "Tokina"),
+    ("starts", "SAMYANG", "Samyang"),
+    ("starts", "ROKINON", "Samyang"),
+    ("starts", "VOIGTLANDER", "Voigtlander"),
+    ("starts", "TTARTISAN", "TTArtisan"),
+    ("starts", "7ARTISANS", "7Artisans"),
+    ("starts", "VILTROX", "Viltrox"),
+]
 
 
 def lens_make(model: Column) -> Column:
     """The maker by the first rule that fits the model, upper-cased with single blanks; else null."""
     plain = F.trim(F.regexp_replace(F.upper(model), r"\s+", " "))
     found = F.lit(None).cast("string")
-    for how, needle, make in reversed(_LENS):
-        found = F.when(plain.startswith(needle) if how == "^" else plain.contains(needle), make).otherwise(found)
+    for how, needle, make in reversed(LENS_RULES):
+        found = F.when(plain.startswith(needle) if how == "starts" else plain.contains(needle), make).otherwise(found)
     return found
 
 
 _MODELS = ["rf 24-70", " ef-s\t18mm", "AF-S NIKKOR 50mm", "E 35mm", "leica dg 25", "Leica M 50", "28-75mm F/2.8 Di III VXD", "Sigma 35", "unknown glass", ""]
-_LENS_SQL = "case " + " ".join(f"when {'starts_with' if how == '^' else 'contains'}(m, '{needle}') then '{make}'" for how, needle, make in _LENS) + " end"
+_LENS_SQL = "case " + " ".join(f"when {'starts_with' if how == 'starts' else 'contains'}(m, '{needle}') then '{make}'" for how, needle, make in LENS_RULES) + " end"
 register(
     "P7_lens_make",
     lambda lib: lib.files.select("id", lens_make(F.element_at(F.array(*map(F.lit, _MODELS)), (F.col("id") % len(_MODELS) + 1).cast("int"))).alias("make")),
@@ -115,10 +148,20 @@ def clip_query(text: Column) -> Column:
     return F.when(described | ~simple, t).otherwise(F.concat(F.lit("a photo of "), article, t))
 
 
+def labels(lib: Library) -> DataFrame:
+    """(label): names that a search begins with, whole: of tags, persons, folders and parts, some with an article or described."""
+    part = lib.table("part")
+    kinds = [lib.tags.select("name"), lib.persons.select("name"), lib.folders.select("name"), part.select("p_name"), part.select(F.concat(F.lit("the "), "p_name")), part.select(F.concat(F.lit("a photo of "), "p_type")), part.select(F.concat_ws(" ", "p_name", "p_type", "p_brand"))]
+    found = kinds[0]
+    for kind in kinds[1:]:
+        found = found.union(kind)
+    return found.toDF("label").distinct()
+
+
 register(
     "X19_clip_query",
-    lambda lib: lib.table("documents").select("doc_id", clip_query(F.substring("text", 1, 12)).alias("prompt")),
-    "select doc_id, case when regexp_matches(lower(t), '^(a photo of|a close |an image of|a picture of)') or not (regexp_full_match(t, '[A-Za-z0-9\\s''-]+') and len(regexp_split_to_array(t, '\\s+')) <= 3 and length(t) <= 32) then t else 'a photo of ' || case when regexp_matches(lower(t), '^(a|an|the) ') then '' when regexp_matches(lower(t), '^[aeiou]') then 'an ' else 'a ' end || t end prompt from (select doc_id, trim(coalesce(substr(text, 1, 12), ''), ' ') t from documents)",
+    lambda lib: labels(lib).select("label", clip_query(F.col("label")).alias("prompt")),
+    "select label, case when regexp_matches(lower(t), '^(a photo of|a close |an image of|a picture of)') or not (regexp_full_match(t, '[A-Za-z0-9\\s''-]+') and len(regexp_split_to_array(t, '\\s+')) <= 3 and length(t) <= 32) then t else 'a photo of ' || case when regexp_matches(lower(t), '^(a|an|the) ') then '' when regexp_matches(lower(t), '^[aeiou]') then 'an ' else 'a ' end || t end prompt from (select *, trim(label, ' ') t from (select name as label from v_tags union select name from v_persons union select name from v_folders union select p_name from part union select 'the ' || p_name from part union select 'a photo of ' || p_type from part union select p_name || ' ' || p_type || ' ' || p_brand from part))",
 )
 
 

@@ -254,3 +254,50 @@ def colour_match(lib: Library) -> DataFrame:
     kept = colour.protected(tuple(F.col(f"to_{c}") for c in "rgb"), old, 0.7, 0.5)
     after = colour.rounded(colour.toned(kept, old, 0.4))
     return staged.select("file_id", F.col("at").alias("pos"), *[F.coalesce(x, F.col(c)).alias(c) for c, x in zip("rgb", after, strict=True)])
+
+
+# ---- the editor: light, blur, hue, saturation, in this order
+
+
+def blurred(px: DataFrame, sigma: float) -> DataFrame:
+    """(file_id, x, y, r, g, b) blurred by a Gaussian, first along y, then along x, rounded at the end.
+
+    Every pixel sends its weighed value to those around it; what lies outside
+    of the picture has no part. Two groupings of a few rows a pixel, of which
+    partial sums meet before the shuffle.
+    """
+    for axis in ("y", "x"):
+        sent = F.explode(F.array(*[F.struct((F.col(axis) - d).alias("to"), F.lit(w).alias("w")) for d, w in colour.taps(sigma).items()])).alias("s")
+        kept = [c for c in ("file_id", "x", "y") if c != axis]
+        sums = px.select(*kept, sent, "r", "g", "b").groupBy(*kept, F.col("s.to").alias(axis)).agg(F.sum("s.w").alias("w"), *[F.sum(F.col(c) * F.col("s.w")).alias(c) for c in "rgb"])
+        inside = px.select("file_id", "x", "y").distinct()
+        px = sums.join(inside, ["file_id", "x", "y"], "left_semi").select("file_id", "x", "y", *[(F.col(c) / F.col("w")).alias(c) for c in "rgb"])
+    return px.select("file_id", "x", "y", *[x.alias(c) for c, x in zip("rgb", colour.rounded(tuple(F.col(c) for c in "rgb")), strict=True)])
+
+
+_CUT = "cast(floor(greatest(0::double, least(255::double, {0}))) as int)"
+_WEIGHTS = ", ".join(f"({d}, {w!r}::double)" for d, w in colour.taps(0.9).items())
+_EDITED = (
+    _PIXELS + f", li as (select file_id, pos % {SIDE} x, pos // {SIDE} y, " + ", ".join(_CUT.format(f"({c} * 1.15::double - 128) * 0.8::double + 128") + f" {c}" for c in "rgb") + f" from px), k(d, w) as (values {_WEIGHTS}), "
+    + "b1 as (select t.file_id, t.x, t.y, " + ", ".join(f"sum(o.{c} * w) / sum(w) {c}" for c in "rgb") + " from li t join li o on o.file_id = t.file_id and o.x = t.x join k on o.y = t.y + d group by 1, 2, 3), "
+    + "b2 as (select t.file_id, t.x, t.y, " + ", ".join(f"cast(floor(greatest(0::double, least(255::double, sum(o.{c} * w) / sum(w))) + 0.5::double) as int) {c}" for c in "rgb") + " from b1 t join b1 o on o.file_id = t.file_id and o.y = t.y join k on o.x = t.x + d group by 1, 2, 3), "
+    + "hu as (select file_id, x, y, " + ", ".join(_CUT.format(" + ".join(f"{m!r}::double * {n}" for m, n in zip(row, "rgb", strict=True))) + f" {c}" for c, row in zip("rgb", colour.hue_matrix(40), strict=True)) + " from b2), lu as (select *, 0.299::double * r + 0.587::double * g + 0.114::double * b gray from hu) "
+)
+
+
+@query("X37_editor", _EDITED + "select file_id, x, y, " + ", ".join(_CUT.format(f"gray + 1.3::double * ({c} - gray)") + f" {c}" for c in "rgb") + " from lu")
+def editor(lib: Library) -> DataFrame:
+    """Brightness and contrast, blur, hue and then saturation, since a blur or a change of hue comes before it."""
+    lit = colour.edited((F.col("r"), F.col("g"), F.col("b")), 15, -20.0)
+    px = pixels(lib).select("file_id", (F.col("at") % SIDE).cast("long").alias("x"), F.floor(F.col("at") / SIDE).cast("long").alias("y"), *[x.alias(c) for c, x in zip("rgb", lit, strict=True)])
+    turned = colour.hue((F.col("r"), F.col("g"), F.col("b")), 40)
+    px = blurred(px, 0.9).select("file_id", "x", "y", *[x.alias(c) for c, x in zip("rgb", turned, strict=True)])
+    last = colour.edited((F.col("r"), F.col("g"), F.col("b")), saturation=1.3)
+    return px.select("file_id", "x", "y", *[x.alias(c) for c, x in zip("rgb", last, strict=True)])
+
+
+register(
+    "X37_editor_fused",
+    lambda lib: recoloured(lib, lambda rgb: colour.edited(rgb, -10, 30.0, 0.5)),
+    _PIXELS + ", m as (select file_id, pos, " + ", ".join(f"({c} * 0.9::double - 128) * 1.3::double + 128 {c}" for c in "rgb") + " from px), l as (select *, 0.299::double * r + 0.587::double * g + 0.114::double * b gray from m) select file_id, pos, " + ", ".join(_CUT.format(f"gray + 0.5::double * ({c} - gray)") + f" {c}" for c in "rgb") + " from l",
+)

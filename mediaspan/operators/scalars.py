@@ -51,12 +51,12 @@ register("X17_rotation", lambda lib: lib.files.select("id", media.rotation(F.col
 register("X18_rating_clamp", lambda lib: lib.files.select("id", media.clamp(F.col("rating") + (F.col("id") % 9).cast("int") - 4, 0, 5).alias("stars")), "select id, cast(least(5, greatest(0, rating + id % 9 - 4)) as int) stars from v_files")
 
 
-@query("X21_box_overlap", "select file_id, round(sum(case when shared > 0 then shared / (2 * w * h - shared) else 0 end) + 1e-8, 5) shared from (select file_id, w, h, greatest(w - file_id % 20, 0) * greatest(h - 1, 0) shared from v_faces) group by 1")
+@query("X21_box_overlap", "select file_id, sum(cast(floor(case when shared > 0 then shared / (2 * w * h - shared) else 0 end * 1000000000) as bigint)) / 1000000000::double shared from (select file_id, w, h, greatest(w - file_id % 20, 0) * greatest(h - 1, 0) shared from v_faces) group by 1")
 def overlaps(lib: Library) -> DataFrame:
-    """Each face's box against the same box, moved."""
+    """Each face's box against the same box, moved; billionths are added, so the sum is the same in any order."""
     box = {"x": F.lit(0.0), "y": F.lit(0.0), "w": F.col("w").cast("double"), "h": F.col("h")}
     moved = box | {"x": (F.col("file_id") % 20).cast("double"), "y": F.lit(1.0)}
-    return lib.faces.groupBy("file_id").agg(F.round(F.sum(media.overlap(box, moved)) + 1e-8, 5).alias("shared"))
+    return lib.faces.groupBy("file_id").agg((F.sum(F.floor(media.overlap(box, moved) * 1000000000)) / 1000000000.0).alias("shared"))
 
 
 @query("X31_motion_marks", "select id, case when live_photo_type = 3 then size end as mark_offset, case when live_photo_type = 3 then id end as mark_length from v_files")

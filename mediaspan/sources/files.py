@@ -43,6 +43,7 @@ def _literal(text: str) -> str:
 # First bytes of formats, in hexadecimal, in the order of the tests.
 _SIGNATURES = [("FFD8FF", "JPG"), ("89504E470D0A1A0A", "PNG"), ("474946383761", "GIF"), ("474946383961", "GIF"), ("424D", "BMP")]
 _LATER = [("FF0A", "JXL"), ("0000000C4A584C200D0A870A", "JXL"), ("1A45DFA3", "MKV"), ("464C56", "FLV"), ("3026B2758E66CF11A6D900AA0062CE6C", "ASF")]
+# Brands of two formats.
 _HEIC, _AVIF = ("heic", "heix", "hevc", "hevx", "mif1", "msf1", "heif"), ("avif", "avis")
 
 
