@@ -276,13 +276,27 @@ register("J22_tags_of_file", lambda lib: lib.file_tags.join(lib.tags, F.col("tag
 register("J19_id_set", lambda lib: lib.file_tags.join(lib.files.where("rating = 4").select(F.col("id").alias("file_id")), "file_id", "left_semi").groupBy("tag_id").agg(F.count("*").alias("n")), "select tag_id, count(*) n from v_file_tags where file_id in (select id from v_files where rating = 4) group by 1")
 
 
-@query("J21_remap_losers", ", d as (select folder_id, rating, max(id) new_id from v_files group by 1, 2 having count(*) > 1) select id old_id, new_id from v_files a join d on a.folder_id = d.folder_id and a.rating is not distinct from d.rating where id <> new_id")
-def remapped(lib: Library) -> DataFrame:
-    """Of rows with one key (folder and rating stand for folder and name) the greatest id wins; the losers map to it."""
-    key = ["folder_id", "rating"]
-    winners = lib.files.groupBy(*key).agg(F.max("id").alias("new_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    same = [lib.files[k].eqNullSafe(winners[k]) for k in key]
-    return lib.files.join(winners, same).where("id <> new_id").select(F.col("id").alias("old_id"), "new_id")
+def with_doubles(lib: Library) -> DataFrame:
+    """(id, folder_id, name, album_id) of the files as an old library has them: some names twice or three times in a folder, some missing."""
+    f = lib.base.select("id", "folder_id", "name", "album_id")
+    again = [f.where(F.col("id") % m == 0).withColumn("id", F.col("id") + by) for m, by in ((7, 10**7), (21, 2 * 10**7))]
+    every = f.unionByName(again[0]).unionByName(again[1])
+    return every.withColumn("name", F.when(F.col("id") % 50 != 3, F.col("name")))
+
+
+def losers(rows: DataFrame) -> DataFrame:
+    """(old_id, new_id): of rows (id, folder_id, name) with one folder and name the greatest id wins; a null name is a name like others.
+
+    Winners combine before the shuffle, and each loser meets one of them.
+    """
+    key = ["folder_id", "name"]
+    winners = rows.groupBy(*key).agg(F.max("id").alias("new_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    same = [rows[k].eqNullSafe(winners[k]) for k in key]
+    return rows.join(winners, same).where("id <> new_id").select(F.col("id").alias("old_id"), "new_id")
+
+
+DOUBLES = ", f0 as (select id, folder_id, name, album_id from v_base), f1 as (select * from f0 union all select id + 10000000, folder_id, name, album_id from f0 where id % 7 = 0 union all select id + 20000000, folder_id, name, album_id from f0 where id % 21 = 0), f as (select id, folder_id, case when id % 50 <> 3 then name end as name, album_id from f1), w as (select id old_id, max(id) over (partition by folder_id, name) new_id, album_id from f) "
+register("J21_remap_losers", lambda lib: losers(with_doubles(lib)), DOUBLES + "select old_id, new_id from w where old_id <> new_id")
 
 
 register("U1_scope_intersection", lambda lib: lib.hashes.join(lib.visible(lib.base).select(F.col("id").alias("file_id")), "file_id", "left_semi").select("file_id", "hash"), "select file_id, hash from v_hashes where file_id in (select id from v_visible)")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaspan.functions.media import rotation
-from mediaspan.operators.library import content_pairs, file_stem, remapped
+from mediaspan.operators.library import DOUBLES, content_pairs, file_stem, losers, with_doubles
 from mediaspan.plans.catalog import Library
 from mediaspan.plans.numbering import numbered
 from mediaspan.plans.registry import query, register
@@ -246,12 +246,34 @@ register("M13_move_folder", lambda lib: lib.folders.select("id", moved_path(F.co
 register("M13_rename_root", lambda lib: renamed_root(lib.folders, "/lib/A", "/lib/B").select("id", "name", "path"), "select id, case when starts_with(path, '/lib/A') then 'B' else name end as name, case when starts_with(path, '/lib/A') then '/lib/B' || substr(path, 7) else path end as path from v_folders")
 
 
-@query("M15_migration", ", d as (select folder_id, rating, max(id) new_id from v_files group by 1, 2), m as (select id old_id, new_id from v_files a join d on a.folder_id = d.folder_id and a.rating is not distinct from d.rating where id <> new_id), c as (select album_id, min(b.id) cover from v_base b group by 1) select album_id, cover old_cover, coalesce(m.new_id, cover) cover from c left join m on m.old_id = cover")
-def migrated(lib: Library) -> DataFrame:
-    """Duplicate rows give way to the greatest id; covers that pointed at a loser point at its winner."""
-    losers = remapped(lib)
-    covers = lib.base.groupBy("album_id").agg(F.min("id").alias("old_cover"))
-    return covers.join(losers, F.col("old_cover") == F.col("old_id"), "left").select("album_id", "old_cover", F.coalesce("new_id", "old_cover").alias("cover"))
+def migrated(rows: DataFrame, covers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, covers) once folder and name are unique: losers are gone, and covers (album_id, cover) that pointed at one point at its winner."""
+    gone = losers(rows)
+    moved = covers.join(gone, F.col("cover") == F.col("old_id"), "left").select("album_id", F.col("cover").alias("old_cover"), F.coalesce("new_id", "cover").alias("cover"))
+    return rows.join(gone.select(F.col("old_id").alias("id")), "id", "left_anti"), moved
 
 
-register("M15_files_left", lambda lib: lib.files.join(remapped(lib).select(F.col("old_id").alias("id")), "id", "left_anti").select("id"), "select max(id) id from v_files group by folder_id, rating")
+def _migrated(lib: Library) -> tuple[DataFrame, DataFrame]:
+    rows = with_doubles(lib)
+    return migrated(rows, rows.where("id % 7 = 0").groupBy("album_id").agg(F.min("id").alias("cover")))
+
+
+register("M15_migration", lambda lib: _migrated(lib)[1], DOUBLES + ", c as (select album_id, min(old_id) old_cover from w where old_id % 7 = 0 group by 1) select c.album_id, old_cover, new_id as cover from c join w on w.old_id = c.old_cover and w.album_id is not distinct from c.album_id")
+register("M15_files_left", lambda lib: _migrated(lib)[0].select("id"), DOUBLES + "select distinct new_id id from w")
+
+
+# ---- collections that empty or go
+
+def cleared(members: DataFrame, collection: int) -> DataFrame:
+    """The members without those of one collection, which stays."""
+    return members.where(F.col("collection_id") != collection)
+
+
+def deleted(collections: DataFrame, members: DataFrame, gone: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(collections, members) without some collections (id) and all that was in them; unknown ids do nothing."""
+    return collections.where(~F.col("id").isin(gone)), members.where(~F.col("collection_id").isin(gone))
+
+
+register("M12_clear", lambda lib: cleared(lib.collections, 2).groupBy("collection_id").agg(F.count("*").alias("n")), "select collection_id, count(*) n from v_collections where collection_id <> 2 group by 1")
+register("M12_delete", lambda lib: deleted(lib.collections.select(F.col("collection_id").alias("id")).distinct(), lib.collections, [1, 4, 99])[0], "select distinct collection_id id from v_collections where collection_id not in (1, 4)")
+register("M12_delete_members", lambda lib: deleted(lib.collections.select(F.col("collection_id").alias("id")).distinct(), lib.collections, [1, 4, 99])[1].select("collection_id", "file_id"), "select collection_id, file_id from v_collections where collection_id not in (1, 4)")

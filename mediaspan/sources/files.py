@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mediaspan.operators.library import extension, file_type
 from mediaspan.plans.catalog import Library
 from mediaspan.plans.registry import query, register
+from mediaspan.plans.workspace import Workspace
 
 GAZETTEER = "lat double, lon double, name string, admin1 string, cc string"
 
@@ -33,7 +34,7 @@ def listing(spark: SparkSession, folder: str, sort: str = "name", descending: bo
 
 def gazetteer(spark: SparkSession, path: str) -> DataFrame:
     """Places of a CSV file with a header (lat, lon, name, admin1, cc); malformed rows fail the read."""
-    return spark.read.schema(GAZETTEER).option("header", "true").option("mode", "FAILFAST").csv(path)
+    return spark.read.schema(GAZETTEER).option("header", "true").option("escape", '"').option("mode", "FAILFAST").csv(path)
 
 
 def _literal(text: str) -> str:
@@ -92,3 +93,13 @@ def tables_walk(lib: Library) -> DataFrame:
 
 
 register("S4_folder_listing", lambda lib: listing(lib.spark, lib.folder, "size", True).select("name", "size"))
+
+
+@query("S10_gazetteer", "select round(n_nationkey * 13 % 170 - 85.5::double, 4) lat, round(n_nationkey * 29 % 350 - 174.25::double, 4) lon, n_name || ', \"old\"' as name, r_name admin1, 'C' || n_nationkey cc from nation join region on r_regionkey = n_regionkey")
+def gazetteer_read(lib: Library) -> DataFrame:
+    """Nations as places, written as CSV with quotes and commas and read back by the gazetteer source."""
+    key = F.col("n_nationkey")
+    places = lib.table("nation").join(lib.table("region"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.round(key * 13 % 170 - 85.5, 4).alias("lat"), F.round(key * 29 % 350 - 174.25, 4).alias("lon"), F.concat("n_name", F.lit(', "old"')).alias("name"), F.col("r_name").alias("admin1"), F.concat(F.lit("C"), key.cast("string")).alias("cc"))
+    path = Workspace(lib.spark, "gazetteer").path("places")
+    places.write.option("header", "true").option("escape", '"').csv(path)
+    return gazetteer(lib.spark, path)
