@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,40 +101,68 @@ c as (select file_id, size, list_transform(range(72), lambda c: list_sum(codes[c
 p as (select file_id, size, list_transform(range(64), lambda i: case when cells[i // 8 * 9 + i % 8 + 1] > cells[i // 8 * 9 + i % 8 + 2] then 1 else 0 end) bits from c) """
 
 
-def near_pairs(hashes: DataFrame, distance: int) -> DataFrame:
-    """Pairs within a Hamming distance: of distance // 3 + 1 bands, some one differs in two bits at most.
+def masks(width: int, turned: int) -> list[int]:
+    """Every way to turn at most so many of the bits of a band."""
+    found = [0]
+    for n in range(1, turned + 1):
+        found += [sum(1 << b for b in bits) for bits in combinations(range(width), n)]
+    return found
+
+
+def banded(distinct: DataFrame, distance: int) -> DataFrame:
+    """distinct (file_id, phash) under every band value near its own.
 
-    Both sides put forward each band as it is and with any one bit turned; two
-    values of a band that differ by two bits meet halfway. Bands of 20 bits and
-    more keep buckets small, and rows grow with the hashes, not with pairs.
-    Equal hashes collapse first, so a hash that many files share is compared once.
+    Both sides turn one bit of a band, or two above a distance of 8, so values
+    of a band that differ by two or four bits meet halfway; among
+    distance // 3 + 1 or distance // 5 + 1 bands there is always such a one.
+    Bands so have 21 bits and more at every strictness, which keeps buckets
+    small, and rows grow with the hashes, not with pairs.
     """
-    bands = distance // 3 + 1
+    turned = 1 if distance <= 8 else 2
+    bands = distance // (2 * turned + 1) + 1
     width = -(-64 // bands)
-    distinct = hashes.groupBy("phash").agg(F.min("file_id").alias("file_id"))
-    one = F.lit(1).cast("long")
 
     def met(n: int) -> Column:
         value = F.call_function("shiftrightunsigned", F.col("phash"), F.lit(n * width)).bitwiseAND(F.lit((1 << width) - 1))
-        turned = F.transform(F.sequence(F.lit(0), F.lit(min(width, 64 - n * width) - 1)), lambda b: value.bitwiseXOR(F.call_function("shiftleft", one, b)))
-        return F.transform(F.concat(F.array(value), turned), lambda v: v + F.lit(n << width))
-
-    banded = distinct.select("file_id", "phash", F.explode(F.concat(*[met(n) for n in range(bands)])).alias("band"))
-    x = banded.select("band", F.col("file_id").alias("a"), F.col("phash").alias("pa"))
-    y = banded.select("band", F.col("file_id").alias("b"), F.col("phash").alias("pb"))
-    close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= distance)
-    near = x.join(y, [x["band"] == y["band"], close]).select("a", "b").distinct()
+        own = F.array(*[F.lit(m).cast("long") for m in masks(min(width, 64 - n * width), turned)])
+        return F.transform(own, lambda m: value.bitwiseXOR(m) + F.lit(n << width))
+
+    return distinct.select("file_id", "phash", F.explode(F.concat(*[met(n) for n in range(bands)])).alias("band"))
+
+
+def near_components(hashes: DataFrame, distance: int, work: Workspace) -> DataFrame:
+    """(node, component) of the files whose hashes lie within a Hamming distance of another's, transitively.
+
+    Equal hashes collapse first, so a hash that many files share is compared
+    once. Then all of a bucket meet its first hash; pairs beyond that are put
+    out only where they join two components, so a dense group gives a star and
+    not all its pairs. No link between different components is left out.
+    """
+    distinct = work.table(hashes.groupBy("phash").agg(F.min("file_id").alias("file_id")), "distinct-hashes")
+    rows = work.table(banded(distinct, distance), "banded")
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+    first = rows.groupBy("band").agg(F.min(F.struct("file_id", "phash")).alias("f"), F.count("*").alias("n")).where("n > 1").select("band", F.col("f.file_id").alias("a"), F.col("f.phash").alias("pa"))
+    star = rows.join(first, "band").where((F.col("file_id") != F.col("a")) & near("pa", "phash")).select("a", F.col("file_id").alias("b")).distinct()
+    star = work.table(star, "star")
+    labels = connected_components(star, "a", "b", work, "stars")
+    shared = first.select("band")
+    known = rows.join(shared, "band").join(labels.withColumnRenamed("node", "file_id"), "file_id", "left").withColumn("c", F.coalesce("component", "file_id")).drop("component")
+    known = work.table(known, "known")
+    x = known.select("band", F.col("file_id").alias("a"), F.col("phash").alias("pa"), F.col("c").alias("ca"))
+    y = known.select("band", F.col("file_id").alias("b"), F.col("phash").alias("pb"), F.col("c").alias("cb"))
+    bridges = x.join(y, [x["band"] == y["band"], F.col("ca") < F.col("cb"), near("pa", "pb")]).select("a", "b").distinct()
     twins = hashes.join(distinct.withColumnRenamed("file_id", "a"), "phash").where("file_id > a").select("a", F.col("file_id").alias("b"))
-    return near.unionByName(twins)
+    found = connected_components(star.unionByName(bridges).unionByName(twins), "a", "b", work, "near")
+    work.drop("banded", "known")
+    return found
 
 
 def similar_groups(lib: Library, distance: int = 8) -> DataFrame:
     """(group_id, file_id): files that differ by few bits, transitively; those of exact groups are left out."""
     exact = lib.hashes.join(exact_groups(lib).select("hash", "file_size"), ["hash", "file_size"]).select("file_id")
-    rest = phashes(lib).join(exact, "file_id", "left_anti")
     work = Workspace(lib.spark, "similar")
-    rest = work.table(rest, "phashes")
-    labels = connected_components(near_pairs(rest.select("file_id", "phash"), distance), "a", "b", work)
+    rest = work.table(phashes(lib).join(exact, "file_id", "left_anti"), "phashes")
+    labels = near_components(rest.select("file_id", "phash"), distance, work)
     return labels.select(F.col("component").alias("group_id"), F.col("node").alias("file_id"))
 
 
@@ -144,9 +174,8 @@ register("J12_near_hash_links", lambda lib: _reached(lib), _LINKS + " select dis
 
 
 def _reached(lib: Library) -> DataFrame:
-    exact = lib.hashes.join(exact_groups(lib).select("hash", "file_size"), ["hash", "file_size"]).select("file_id")
-    pairs = near_pairs(phashes(lib).join(exact, "file_id", "left_anti").select("file_id", "phash"), 8)
-    return pairs.select(F.col("a").alias("file_id")).union(pairs.select("b")).distinct()
+    """Files with a near hash other than their own."""
+    return similar_groups(lib).select("file_id")
 
 
 _NEAR_AT = _NEAR.replace("<= 8", "<= {0}")

@@ -130,15 +130,20 @@ register("X28_fade", lambda lib: recoloured(lib, lambda rgb: colour.fade(rgb, 40
 
 
 _PLACE = f"(pos % {SIDE})", f"(pos // {SIDE})"
-_X, _Y = F.col("at") % SIDE, F.floor(F.col("at") / SIDE)
+
+
+def _place() -> tuple[Column, Column]:
+    return F.col("at") % SIDE, F.floor(F.col("at") / SIDE)
+
+
 register(
     "X28_vignette",
-    lambda lib: recoloured(lib, lambda rgb: colour.vignette(rgb, _X, _Y, SIDE, SIDE, 70.0)),
+    lambda lib: recoloured(lib, lambda rgb: colour.vignette(rgb, *_place(), SIDE, SIDE, 70.0)),
     _PIXELS + f", v as (select *, 1 - 0.7::double * pow(sqrt(({_PLACE[0]} - 3.5::double) * ({_PLACE[0]} - 3.5::double) + ({_PLACE[1]} - 3.5::double) * ({_PLACE[1]} - 3.5::double)) / sqrt(24.5::double), 1.8::double) light from px) select file_id, pos, " + ", ".join(_BYTE.format(f"{c} * light") + f" {c}" for c in "rgb") + " from v",
 )
 register(
     "X28_grain",
-    lambda lib: recoloured(lib, lambda rgb: colour.grain(rgb, _X, _Y, 45.0)),
+    lambda lib: recoloured(lib, lambda rgb: colour.grain(rgb, *_place(), 45.0)),
     _PIXELS + f", n1 as (select *, (({_PLACE[0]} * 374761393) % 4294967296 + ({_PLACE[1]} * 668265263) % 4294967296) % 4294967296 n from px), n2 as (select * exclude (n), (xor(n, n >> 13) * 1274126177) % 4294967296 n from n1), n3 as (select *, (cast(xor(n, n >> 16) as double) / 4294967296::double - 0.5::double) * 2 * (0.45::double * 28) move from n2) select file_id, pos, " + ", ".join(_BYTE.format(f"{c} + move") + f" {c}" for c in "rgb") + " from n3",
 )
 

@@ -107,7 +107,8 @@ def test_near_pairs_lose_none(spark, distance):
     base = [rng.getrandbits(64) for _ in range(12)]
     hashes = base + [b ^ sum(1 << k for k in rng.sample(range(64), d)) for b in base for d in (1, 6, 8, 9, 12, 13)] + base[:3]
     signed = [struct.unpack("<q", struct.pack("<Q", h))[0] for h in hashes]
-    got = {(r.a, r.b) for r in dedup.near_pairs(spark.createDataFrame(list(enumerate(signed)), "file_id long, phash long"), distance).collect()}
+    rows = spark.createDataFrame(list(enumerate(signed)), "file_id long, phash long")
+    got = {r.node: r.component for r in dedup.near_components(rows, distance, Workspace(spark, "near")).collect()}
     linked = {(i, j) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if bin(hashes[i] ^ hashes[j]).count("1") <= distance}
 
     def groups(pairs):
@@ -117,7 +118,18 @@ def test_near_pairs_lose_none(spark, distance):
                 of[a] = of[b] = min(of[a], of[b])
         return of
 
-    assert got <= linked and groups(got) == groups(linked)
+    want = groups(linked)
+    assert got == {i: want[i] for pair in linked for i in pair}
+
+
+def test_a_dense_group_of_hashes_gives_stars(spark):
+    """All of 2,016 hashes lie within four bits of each other: rows put out grow with the hashes, not with their two million pairs."""
+    bits = [(1 << i) | (1 << j) for i in range(64) for j in range(i)]
+    rows = [(n, struct.unpack("<q", struct.pack("<Q", h))[0]) for n, h in enumerate(bits)]
+    work = Workspace(spark, "dense")
+    found = dedup.near_components(spark.createDataFrame(rows, "file_id long, phash long"), 8, work).collect()
+    assert {r.component for r in found} == {0} and len(found) == len(rows)
+    assert spark.read.parquet(work.path("star")).count() <= 70 * len(rows)
 
 
 def test_ramp_and_flat_texts_have_their_hashes(spark, tmp_path):
