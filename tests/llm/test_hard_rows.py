@@ -3,7 +3,6 @@
 import ipaddress
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from mediaspan.llm import counts, decontaminate, minhash, pii, substrings
@@ -51,10 +50,11 @@ def test_colliding_texts_are_no_repeats(spark):
 CLASSES = {"dots": "x@" + "a." * 50000 + "com", "labels": "x@" + "a-" * 50000, "digits": "1" * 200000, "blanks": " " * 200000, "letters": "k" * 200000, "capitals": "Mr. " + "A" * 100000, "ats": "a@" * 50000, "octets": "1." * 50000, "groups": "0 12 " * 20000, "secret": "password: " + "q" * 5000, "plus": "+" * 100000, "iban": "DE12 " * 20000}
 
 
-@pytest.mark.parametrize("kind", CLASSES)
-def test_long_texts_of_one_class_are_searched(spark, kind):
-    got = pii.pseudonymise(spark, spark.createDataFrame([(1, CLASSES[kind])], "doc_id long, text string"), "k").first().text
-    assert got and (kind not in ("dots", "secret") or got != CLASSES[kind])
+def test_long_texts_of_one_class_are_searched(spark):
+    rows = spark.createDataFrame([(i, CLASSES[kind]) for i, kind in enumerate(CLASSES)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark, rows, "k").collect()}
+    for i, kind in enumerate(CLASSES):
+        assert got[i] and (kind not in ("dots", "secret") or got[i] != CLASSES[kind]), kind
 
 
 def test_addresses_with_odd_domains_are_found(spark):
