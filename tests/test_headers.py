@@ -40,11 +40,11 @@ def test_formats_in_order_of_preference(spark):
 
 
 def test_graphs_of_any_shape(spark, monkeypatch):
-    deep = "[" * 40 + '{"text": "a text that is long enough to count"}' + "]" * 40
+    deep = "[" * 9 + '{"text": "a text that is long enough to count"}' + "]" * 9
     cases = [{"workflow": x} for x in (deep, "{broken", "[]", "[1, null, \"x\"]", '{"class_type": 5, "inputs": []}', '{"a": {"inputs": {"text": "tiny"}, "class_type": "TextEncode"}}')]
     same = '{"b": {"class_type": "CLIPText", "inputs": {"text": "second one"}}, "a": {"class_type": "CLIPText", "inputs": {"text": "the first!"}}, "c": {"class_type": "CLIPText", "inputs": {"text": "the first!"}}}'
     assert prompt_of(spark, *cases, {"workflow": same}) == ["a text that is long enough to count", None, None, None, None, None, "the first!\n---\nsecond one"]
-    monkeypatch.setattr(prompts, "DEEPEST", 20)
+    monkeypatch.setattr(prompts, "DEEPEST", 6)
     assert prompt_of(spark, {"workflow": deep}, {"workflow": GRAPH})[0] is None
 
 
