@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaspan.plans.catalog import Library
 from mediaspan.plans.registry import query, register
+from mediaspan.plans.workspace import Workspace
 
 # How lens models tell their maker, tested in this order.
 LENS_RULES = [
@@ -253,8 +256,16 @@ def crops(lib: Library) -> DataFrame:
 
 # ---- places
 
-#: Edges of the cubes in which the nearest city is looked for, in radii of the globe; the last holds all of it.
-CUBES = (0.05, 0.2, 0.8, 4.0)
+#: Cities that a cube of the first round holds on average; each later round has edges GROWTH times as long, up to the whole globe.
+PER_CUBE, GROWTH, WHOLE = 4, 4.0, 4.0
+
+
+def edges(cities: int) -> list[float]:
+    """Edges of the cubes, round by round, for so many cities on the unit sphere."""
+    found = [min(WHOLE, math.sqrt(4 * math.pi * PER_CUBE / max(cities, 1)))]
+    while found[-1] < WHOLE:
+        found.append(min(WHOLE, found[-1] * GROWTH))
+    return found
 
 
 def unit_xyz(lat: Column, lon: Column) -> list[Column]:
@@ -266,15 +277,17 @@ def nearest(points: DataFrame, cities: DataFrame) -> DataFrame:
     """(lat, lon, city): the city (city, lat, lon) nearest to each distinct point; of equal ones the smallest.
 
     Points look into the 27 cubes around them. What is nearer there than one
-    edge is nearest of all; the others try larger cubes. Joins are on cubes, so
-    neither side has to fit in memory.
+    edge is nearest of all; the others, written in between, try larger cubes.
+    Joins are on cubes, so neither side has to fit in memory. The first cubes
+    are so small that they hold a few cities on average.
     """
-    left = points.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)").distinct()
+    work = Workspace(points.sparkSession, "nearest")
+    known = points.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)").distinct()
     at = lambda df: df.withColumns(dict(zip(("x", "y", "z"), unit_xyz(F.col("lat"), F.col("lon")), strict=True)))
-    homes = at(cities).select("city", *[F.col(c).alias(f"c{c}") for c in "xyz"])
-    left, found = at(left), None
+    homes = work.table(at(cities).select("city", *[F.col(c).alias(f"c{c}") for c in "xyz"]), "homes")
+    left, found = work.table(at(known), "left-0"), []
     steps = F.array(*[F.lit(s) for s in (-1, 0, 1)])
-    for edge in CUBES:
+    for n_round, edge in enumerate(edges(homes.count()), 1):
         cube = lambda p, e=edge: [F.floor(F.col(f"{p}{c}") / e) for c in "xyz"]
         looks = left.select("lat", "lon", "x", "y", "z", *[c.alias(f"k{n}") for n, c in zip("xyz", cube(""), strict=True)])
         for n in "xyz":
@@ -282,10 +295,13 @@ def nearest(points: DataFrame, cities: DataFrame) -> DataFrame:
         housed = homes.select("city", "cx", "cy", "cz", *[c.alias(f"k{n}") for n, c in zip("xyz", cube("c"), strict=True)])
         square = sum(((F.col(c) - F.col(f"c{c}")) ** 2 for c in "xyz"), F.lit(0.0))
         best = looks.join(housed, ["kx", "ky", "kz"]).withColumn("d", F.round(square, 12)).groupBy("lat", "lon").agg(F.min(F.struct("d", "city")).alias("m"))
-        near = best.where(F.col("m.d") < edge * edge).select("lat", "lon", F.col("m.city").alias("city"))
-        found = near if found is None else found.unionByName(near)
-        left = left.join(near.select("lat", "lon"), ["lat", "lon"], "left_anti")
-    return found
+        near = work.table(best.where(F.col("m.d") < edge * edge).select("lat", "lon", F.col("m.city").alias("city")), f"near-{n_round}")
+        found.append(near)
+        left = work.table(left.join(near.select("lat", "lon"), ["lat", "lon"], "left_anti"), f"left-{n_round}")
+        work.drop(f"left-{n_round - 1}")
+        if not left.limit(1).count():
+            break
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("J16_nearest_city", """, c as (select s_suppkey city, cast(s_suppkey % 31 as double) * 5.5 - 83 lat, cast(s_suppkey % 37 as double) * 9.5 - 171 lon from supplier),

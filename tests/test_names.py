@@ -1,6 +1,9 @@
 """Names by sound, collections, doubles and walks."""
 
-from mediaspan.operators import library, mutations, names
+import math
+import random
+
+from mediaspan.operators import library, metadata, mutations, names
 
 
 def keys(spark, *given):
@@ -37,3 +40,22 @@ def test_collections_empty_and_go(spark):
     assert mutations.cleared(members, 1).count() == 1 and mutations.cleared(members, 9).count() == 3
     left, rows = mutations.deleted(ids, members, [2, 9])
     assert {r.id for r in left.collect()} == {1, 3} and rows.count() == 2
+
+
+def test_nearest_city_of_every_point(spark):
+    rnd = random.Random(4)
+    cities = [(i, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for i in range(40)] + [(100 + i, 48 + i / 1000, 2.0) for i in range(60)] + [(300, 48.0, 2.0), (301, 90.0, 0.0)]
+    points = [(rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for _ in range(60)] + [(48.0301, 2.0001), (90.0, 77.0), (-90.0, 0.0), (0.0, 180.0), (0.0, -180.0), (48.0, 2.0), (48.0, 2.0), (None, 1.0), (float("nan"), 1.0)]
+
+    def xyz(lat, lon):
+        a, o = math.radians(lat), math.radians(lon)
+        return math.cos(a) * math.cos(o), math.cos(a) * math.sin(o), math.sin(a)
+
+    def nearest(p):
+        return min((round(sum((u - v) ** 2 for u, v in zip(xyz(*p), xyz(*c[1:]), strict=True)), 12), c[0]) for c in cities)[1]
+
+    towns = spark.createDataFrame(cities, "city long, lat double, lon double")
+    got = {(r.lat, r.lon): r.city for r in metadata.nearest(spark.createDataFrame(points, "lat double, lon double"), towns).collect()}
+    assert got == {p: nearest(p) for p in set(points[:-2])}
+    assert metadata.nearest(spark.createDataFrame(points, "lat double, lon double"), towns.limit(0)).count() == 0
+    assert metadata.edges(10**6)[0] < 0.01 and metadata.edges(1)[-1] == metadata.WHOLE
