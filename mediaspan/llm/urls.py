@@ -23,6 +23,8 @@ from mediaspan.plans.workspace import Workspace
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BINS, FOLDS = 16, 5
+#: Trees between two written tables of scores.
+WRITE_AFTER = 4
 TREES, DEPTH, RATE, COLUMNS = 24, 3, 0.3, 0.6
 FEATURES = ("f_length", "f_host_length", "f_host_labels", "f_hyphens", "f_depth", "f_digit_ratio", "f_entropy", "f_parameters", "f_suffix_rate", "f_suffix_count", "f_head_rate")
 
@@ -113,7 +115,9 @@ def boost(rows: DataFrame, work: Workspace, trees: int = TREES, depth: int = DEP
     """(first score, trees) for logistic loss; rows: distinct bins with n rows, y of which are positive.
 
     Tree number t looks at a share of the features, drawn by random.Random(t).
-    The rows' scores are written after every tree, so no plan grows.
+    rows are those of a bounded sample: they lie in one partition, so a level is
+    one task without a shuffle. Their scores are written after every WRITE_AFTER
+    trees, so no plan grows.
     """
     n, positive = rows.agg(F.sum("n"), F.sum("y")).first()
     share = min(max((positive or 0) / max(n or 0, 1), 1e-3), 1 - 1e-3)
@@ -122,7 +126,7 @@ def boost(rows: DataFrame, work: Workspace, trees: int = TREES, depth: int = DEP
     for t in range(trees if n else 0):
         seen = sorted(random.Random(t).sample(range(len(FEATURES)), max(1, round(columns * len(FEATURES)))))
         p = 1 / (1 + F.exp(-F.col("s")))
-        graded = scored.select("bins", (F.col("n") * p - F.col("y")).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
+        graded = scored.coalesce(1).select("bins", (F.col("n") * p - F.col("y")).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
         tree, open_nodes = Tree({}, {}), [1]
         for _ in range(depth):
             # One job a level: every row goes to its node, and the sums are at most nodes x features x bins.
@@ -142,8 +146,10 @@ def boost(rows: DataFrame, work: Workspace, trees: int = TREES, depth: int = DEP
             if not open_nodes:
                 break
         found.append(tree)
-        scored = work.table(scored.withColumn("s", F.col("s") + tree.value()), f"scores-{t + 1}")
-        work.drop(f"scores-{t}")
+        scored = scored.withColumn("s", F.col("s") + tree.value())
+        if (t + 1) % WRITE_AFTER == 0:
+            scored = work.table(scored.coalesce(1), f"scores-{t + 1}")
+            work.drop(f"scores-{t + 1 - WRITE_AFTER}")
     return start, found
 
 
