@@ -5,13 +5,13 @@ import math
 import duckdb
 import pytest
 
-from mediaspan.operators import cluster, dedup, dynamic, facets, library, metadata, mutations, pixels, scalars, vectors  # noqa: F401
+from mediaspan.operators import cluster, dedup, dynamic, facets, headers, library, metadata, mutations, names, nearest, pixels, prompts, reviews, scalars, vectors  # noqa: F401
 from mediaspan.plans import rules
 from mediaspan.plans.catalog import Library
 from mediaspan.plans.components import connected_components
 from mediaspan.plans.predicates import Params, conjuncts, type_mask
 from mediaspan.sources import files
-from mediaspan.streaming import sync
+from mediaspan.streaming import snapshots, sync  # noqa: F401
 from mediaspan.plans.registry import ORACLES, QUERIES
 from mediaspan.plans.workspace import Workspace
 
