@@ -26,14 +26,21 @@ def piece(content: Column, at: Column, size: Column) -> Column:
     return F.when((at >= 0) & (size >= 0) & (at + size <= F.octet_length(content)), F.substring(content, (at + 1).cast("int"), size.cast("int")))
 
 
-def number(content: Column, at: Column, size: int, little: Column) -> Column:
-    """The unsigned number of so many bytes at an offset from 0; null if the bytes aren't all there."""
+def ordered(digits: Column, size: int, little: Column, at: int = 0) -> Column:
+    """The unsigned number of so many bytes, from a byte on, of hexadecimal digits."""
+    pick = lambda i, n: F.substring(digits, 2 * (at + i) + 1, 2 * n)
+    turned = F.concat(*[pick(i, 1) for i in reversed(range(size))])
+    return F.conv(F.when(little, turned).otherwise(pick(0, size)), 16, 10).cast("long")
+
+
+def digits_of(content: Column, at: Column, size: int) -> Column:
+    """Hexadecimal digits of so many bytes at an offset from 0, which is not negative; fewer if they aren't all there. The offset is looked at once."""
+    return F.hex(F.substring(content, F.least(at + 1, F.lit(2**31 - 1)).cast("int"), F.lit(size)))
 
-    def ordered(h: Column) -> Column:
-        turned = F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(size))])
-        return F.conv(F.when(little, turned).otherwise(h), 16, 10).cast("long")
 
-    return let(F.hex(piece(content, at, F.lit(size))), ordered)
+def number(content: Column, at: Column, size: int, little: Column) -> Column:
+    """The unsigned number of so many bytes at an offset from 0; null if the bytes aren't all there."""
+    return let(digits_of(content, at, size), lambda h: F.when(F.length(h) == 2 * size, ordered(h, size, little)))
 
 
 def tiff_base(content: Column) -> Column:
@@ -48,18 +55,30 @@ def directory(content: Column, base: Column, at: Column, little: Column) -> Colu
 
     A directory whose entries are not all there has those that are; one that isn't there at all is null.
     """
-    count = number(content, base + at, 2, little)
-    room = F.floor((F.octet_length(content) - base - at - 2) / 12)
+    sizes = F.create_map(*[F.lit(x) for pair in SIZES.items() for x in pair])
+
+    def listed(start: Column) -> Column:
+        room = F.floor((F.octet_length(content) - start - 2) / 12)
+
+        def entry(i: Column) -> Column:
+            place = start + 2 + 12 * i.cast("long")
 
-    def entry(i: Column) -> Column:
-        place = at + 2 + 12 * i
-        kind, n = number(content, base + place + 2, 2, little), number(content, base + place + 4, 4, little)
-        size = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in SIZES.items() for x in pair]), kind.cast("int")), F.lit(1)) * n
-        value_at = F.when(size <= 4, place + 8).otherwise(number(content, base + place + 8, 4, little))
-        return F.struct(number(content, base + place, 2, little).alias("tag"), kind.alias("kind"), n.alias("n"), value_at.alias("at"))
+            def told(h: Column) -> Column:
+                head = F.struct(ordered(h, 2, little).alias("tag"), ordered(h, 2, little, 2).alias("kind"), ordered(h, 4, little, 4).alias("n"))
 
-    used = F.least(count, room).cast("int")
-    return F.when(used > 0, F.transform(F.sequence(F.lit(0), F.greatest(used, F.lit(1)) - 1), lambda i: entry(i.cast("long"))))
+                def placed(e: Column) -> Column:
+                    size = F.coalesce(F.try_element_at(sizes, e["kind"].cast("int")), F.lit(1)) * e["n"]
+                    value_at = F.when(size <= 4, place + 8 - base).otherwise(ordered(h, 4, little, 8))
+                    return F.struct(e["tag"].alias("tag"), e["kind"].alias("kind"), e["n"].alias("n"), value_at.alias("at"))
+
+                return let(head, placed)
+
+            return let(digits_of(content, place, 12), told)
+
+        used = lambda count: F.least(count, room).cast("int")
+        return let(used(number(content, start, 2, little)), lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), entry)))
+
+    return let(base + at, listed)
 
 
 def entry_of(entries: Column, tag: int) -> Column:
@@ -69,14 +88,14 @@ def entry_of(entries: Column, tag: int) -> Column:
 
 def _printable(shown: Column) -> Column:
     """Bytes, a character each, as trimmed text; null if nothing is left or one is neither visible ASCII nor white space."""
-    text = F.regexp_replace(F.regexp_replace(shown, r"^[\s\x00]+", ""), r"[\s\x00]+$", "")
-    return F.when((text != "") & ~text.rlike(r"[^\x21-\x7E\s]"), text)
+    trimmed = F.btrim(shown, F.lit(" \t\n\x0b\f\r\0"))
+    return let(trimmed, lambda text: F.when((text != "") & ~text.rlike(r"[^\x21-\x7E\s]"), text))
 
 
 def text_of(content: Column, base: Column, entry: Column) -> Column:
     """An entry's text up to its first zero; null if its bytes aren't all there."""
-    first = F.substring_index(F.decode(piece(content, base + entry["at"], entry["n"]), "ISO-8859-1"), "\0", 1)
-    return F.when(entry["kind"] == 2, _printable(first))
+    first = lambda at: F.substring_index(F.decode(piece(content, at, entry["n"]), "ISO-8859-1"), "\0", 1)
+    return F.when(entry["kind"] == 2, let(base + entry["at"], lambda at: _printable(first(at))))
 
 
 def whole_of(content: Column, base: Column, entry: Column, little: Column) -> Column:
@@ -90,8 +109,8 @@ def ratios_of(content: Column, base: Column, entry: Column, little: Column) -> C
     at = base + entry["at"]
 
     def ratio(i: Column) -> Column:
-        over, under = (number(content, at + 8 * i + shift, 4, little) for shift in (0, 4))
-        return F.when(under != 0, over / under)
+        both = F.struct(*[number(content, at + 8 * i + shift, 4, little).alias(name) for shift, name in ((0, "over"), (4, "under"))])
+        return let(both, lambda b: F.when(b["under"] != 0, b["over"] / b["under"]))
 
     n = F.least(entry["n"], F.lit(64)).cast("int")  # no tag of interest has more than three
     return F.when((entry["kind"] == 5) & (n > 0), F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: ratio(i.cast("long") - 1)))
@@ -106,7 +125,10 @@ def degrees(parts: Column, ref: Column) -> Column:
 
 def fields(content: Column) -> Column:
     """struct of what the directories of a TIFF header hold, wherever it lies in the bytes; null without a header."""
+    return let(content, _fields)  # a bound value is not copied out of its row at every look
 
+
+def _fields(content: Column) -> Column:
     def walked(base: Column, little: Column, main: Column) -> Column:
         below = lambda tag: let(whole_of(content, base, entry_of(main, tag), little), lambda at: F.when(at.isNotNull(), directory(content, base, at, little)))
 
@@ -144,6 +166,10 @@ def scanned(content: Column) -> Column:
     Values of up to four bytes lie in the entry, others at their offset from
     the byte-order mark. maker_orientation is the number of its own tag.
     """
+    return let(content, _scanned)
+
+
+def _scanned(content: Column) -> Column:
     both = lambda tag: (f"\\x{tag & 255:02x}\\x{tag >> 8:02x}", f"\\x{tag >> 8:02x}\\x{tag & 255:02x}")
     pairs = [both(t) for t in SCANNED.values()]
     small, large = ("|".join(p[i] for p in pairs) for i in (0, 1))
@@ -163,7 +189,8 @@ def scanned(content: Column) -> Column:
                 turned = F.when(head["n"] > 0, number(e, F.lit(8), 2, little)).cast("int")
                 return F.struct(head["tag"].alias("tag"), F.when(head["tag"] != MAKER_ORIENTATION, text).alias("text"), F.when(head["tag"] == MAKER_ORIENTATION, turned).alias("turned"))
 
-            return let(F.struct(number(e, F.lit(0), 2, little).alias("tag"), number(e, F.lit(4), 4, little).alias("n"), number(e, F.lit(8), 4, little).alias("offset")), value)
+            head = lambda h: F.struct(ordered(h, 2, little).alias("tag"), ordered(h, 4, little, 4).alias("n"), ordered(h, 4, little, 8).alias("offset"))
+            return let(let(F.hex(e), head), value)
 
         def first(opened_all: Column) -> Column:
             text = lambda tag: F.try_element_at(F.filter(opened_all, lambda x: (x["tag"] == tag) & x["text"].isNotNull()), F.lit(1))["text"]

@@ -6,6 +6,8 @@ them back; the bytes are columns, so the work is a scan.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,55 +17,70 @@ from mediaspan.plans.registry import query
 
 
 def _put(value: Column, size: int, little: Column) -> Column:
-    """A whole number as so many bytes."""
-    plain = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
-    turned = F.concat(*[F.substring(plain, 2 * i + 1, 2) for i in reversed(range(size))])
-    return F.unhex(F.when(little, turned).otherwise(plain))
+    """A whole number, not negative, as so many bytes. It is told byte by byte, so give a column or a literal."""
+    v = value.cast("long")
+    byte = lambda i: F.shiftright(v, 8 * i).bitwiseAND(F.lit(255))
+    swapped = reduce(lambda x, y: x + y, (F.shiftleft(byte(i), 8 * (size - 1 - i)) for i in range(size)))
+    bytes_of = lambda c: F.unhex(F.lpad(F.hex(c), 2 * size, "0"))
+    return F.when(little, bytes_of(swapped)).otherwise(bytes_of(v))
 
 
 def _text(value: Column) -> Column:
     return F.concat(F.encode(value, "UTF-8"), F.unhex(F.lit("00")))
 
 
-def _directory(entries: list[tuple[int, int, Column, Column, Column]], start: Column, little: Column) -> tuple[Column, Column]:
-    """(bytes, size) of a directory at an offset: entries (tag, kind, n, value bytes, their number); what is longer than four bytes follows."""
+def _directory(df: DataFrame, name: str, entries: list[tuple[int, int, Column, Column, Column]], start: Column, little: Column) -> DataFrame:
+    """df with the bytes of a directory at an offset, and `{name}_end` where it ends: entries (tag, kind, n, value bytes, their number); what is longer than four bytes follows.
+
+    Numbers and offsets are columns of their own, so that each is made once.
+    """
+    at = [f"{name}_at{i}" for i in range(len(entries) + 1)]
+    df = df.withColumns({f"{name}_n{i}": n for i, (_, _, n, _, _) in enumerate(entries)} | {f"{name}_size{i}": size for i, (*_, size) in enumerate(entries)} | {at[0]: start + 2 + 12 * len(entries) + 4})
+    long = [F.col(f"{name}_size{i}") > 4 for i in range(len(entries))]
+    for i in range(len(entries)):
+        df = df.withColumn(at[i + 1], F.col(at[i]) + F.when(long[i], F.col(f"{name}_size{i}")).otherwise(0))
     head, body = [_put(F.lit(len(entries)), 2, little)], []
-    at = start + 2 + 12 * len(entries) + 4
-    for tag, kind, n, value, size in entries:
+    for i, (tag, kind, _, value, _) in enumerate(entries):
         inline = F.substring(F.concat(value, F.unhex(F.lit("00000000"))), 1, 4)
-        head.append(F.concat(_put(F.lit(tag), 2, little), _put(F.lit(kind), 2, little), _put(n, 4, little), F.when(size <= 4, inline).otherwise(_put(at, 4, little))))
-        body.append(F.when(size > 4, value).otherwise(F.unhex(F.lit(""))))
-        at = at + F.when(size > 4, size).otherwise(0)
-    return F.concat(*head, F.unhex(F.lit("00000000")), *body), at - start
+        head.append(F.concat(_put(F.lit(tag), 2, little), _put(F.lit(kind), 2, little), _put(F.col(f"{name}_n{i}"), 4, little), F.when(long[i], _put(F.col(at[i]), 4, little)).otherwise(inline)))
+        body.append(F.when(long[i], value).otherwise(F.unhex(F.lit(""))))
+    made = {name: F.concat(*head, F.unhex(F.lit("00000000")), *body), f"{name}_end": F.col(at[-1])}
+    return df.withColumns(made).drop(*at, *(f"{name}_{kind}{i}" for kind in ("n", "size") for i in range(len(entries))))
 
 
-def exif_headers(lib: Library) -> DataFrame:
-    """(id, content): a header of every file, little-endian for odd ids; every tenth is cut off within its first directory."""
-    f = lib.files
-    little = F.col("id") % 2 == 1
-    text = lambda tag, value: (tag, 2, F.octet_length(value) + 1, _text(value), F.octet_length(value) + 1)
-    taken = F.date_format(F.timestamp_seconds("created_at"), "yyyy:MM:dd HH:mm:ss")
+def _sizes(entries: list[tuple[int, int, Column, Column, Column]]) -> Column:
+    """How long a directory of these entries is."""
+    return reduce(lambda x, y: x + y, (F.when(size > 4, size).otherwise(0) for *_, size in entries), F.lit(2 + 12 * len(entries) + 4))
 
-    def angle(column: str) -> Column:
-        hundredths = F.round(F.abs(F.col(column)) * 360000).cast("long")
-        parts = [(F.floor(hundredths / 360000), 1), (F.floor(hundredths % 360000 / 6000), 1), (hundredths % 6000, 100)]
-        return F.concat(*[_put(x, 4, little) for over, under in parts for x in (over, F.lit(under))])
 
-    ref = lambda column, minus, plus: F.when(F.col(column) < 0, minus).otherwise(plus)
+def exif_headers(lib: Library) -> DataFrame:
+    """(id, content): a header of every file, little-endian for odd ids; every tenth is cut off within its first directory.
+
+    Rows are dealt to all tasks first: a header costs much more than the row
+    that it comes from, and a small table is one split.
+    """
+    little = F.col("id") % 2 == 1
+    text = lambda tag, column: (tag, 2, F.octet_length(column) + 1, _text(F.col(column)), F.octet_length(column) + 1)
     known = lambda c: F.coalesce(F.col(c), F.lit(" "))
-    place = [text(1, ref("gps_latitude", "S", "N")), (2, 5, F.lit(3), F.coalesce(angle("gps_latitude"), F.unhex(F.lit("00" * 24))), F.lit(24)), text(3, ref("gps_longitude", "W", "E")), (4, 5, F.lit(3), F.coalesce(angle("gps_longitude"), F.unhex(F.lit("00" * 24))), F.lit(24))]
-    detail = [text(exif.ORIGINAL, taken), text(exif.LENS_MAKE, known("e_lens_make")), text(exif.LENS_MODEL, known("e_lens_model"))]
-    turned = (exif.ORIENTATION, 3, F.lit(1), _put(F.col("id") % 8 + 1, 2, little), F.lit(2))
-    main = lambda e, g: [text(exif.MAKE, known("e_make")), text(exif.MODEL, known("e_model")), turned, text(exif.SOFTWARE, F.col("name")), (exif.EXIF_AT, 4, F.lit(1), _put(e, 4, little), F.lit(4)), (exif.GPS_AT, 4, F.lit(1), _put(g, 4, little), F.lit(4))]
-    _, first = _directory(main(F.lit(0), F.lit(0)), F.lit(8), little)
-    sized = f.withColumn("detail_at", F.lit(8) + first)
-    detail_bytes, second = _directory(detail, F.col("detail_at"), little)
-    sized = sized.withColumn("detail", detail_bytes).withColumn("place_at", F.col("detail_at") + second)
-    place_bytes, _ = _directory(place, F.col("place_at"), little)
-    main_bytes, _ = _directory(main(F.col("detail_at"), F.col("place_at")), F.lit(8), little)
-    mark = F.unhex(F.when(little, exif.LITTLE_MARK).otherwise(exif.BIG_MARK))
-    whole = F.concat(F.unhex(F.lit("FFD8FFE1")), F.encode(F.lit("Exif"), "UTF-8"), F.unhex(F.lit("0000")), mark, _put(F.lit(8), 4, little), main_bytes, F.col("detail"), place_bytes)
-    return sized.select("id", F.when(F.col("id") % 10 == 0, F.substring(whole, 1, 25)).otherwise(whole).alias("content"))
+    ref = lambda column, minus, plus: F.when(F.col(column) < 0, minus).otherwise(plus)
+    hundredths = lambda column: F.round(F.abs(F.col(column)) * 360000).cast("long")
+    f = lib.files.repartition("id").select(
+        "id", "name", F.date_format(F.timestamp_seconds("created_at"), "yyyy:MM:dd HH:mm:ss").alias("taken"), *[known(c).alias(c) for c in ("e_make", "e_model", "e_lens_make", "e_lens_model")],
+        ref("gps_latitude", "S", "N").alias("lat_ref"), ref("gps_longitude", "W", "E").alias("lon_ref"), hundredths("gps_latitude").alias("lat"), hundredths("gps_longitude").alias("lon"), (F.col("id") % 8 + 1).alias("turned"),
+    )
+    parts = {f"{c}{i}": part.cast("long") for c in ("lat", "lon") for i, part in enumerate((F.floor(F.col(c) / 360000), F.floor(F.col(c) % 360000 / 6000), F.col(c) % 6000))}
+    angle = lambda c: F.coalesce(F.concat(*[_put(x, 4, little) for i, under in enumerate((1, 1, 100)) for x in (F.col(f"{c}{i}"), F.lit(under))]), F.unhex(F.lit("00" * 24)))
+    place = [text(1, "lat_ref"), (2, 5, F.lit(3), angle("lat"), F.lit(24)), text(3, "lon_ref"), (4, 5, F.lit(3), angle("lon"), F.lit(24))]
+    detail = [text(exif.ORIGINAL, "taken"), text(exif.LENS_MAKE, "e_lens_make"), text(exif.LENS_MODEL, "e_lens_model")]
+    pointer = lambda tag, at: (tag, 4, F.lit(1), _put(F.col(at), 4, little), F.lit(4))
+    main = [text(exif.MAKE, "e_make"), text(exif.MODEL, "e_model"), (exif.ORIENTATION, 3, F.lit(1), _put(F.col("turned"), 2, little), F.lit(2)), text(exif.SOFTWARE, "name"), pointer(exif.EXIF_AT, "main_size"), pointer(exif.GPS_AT, "detail_end")]
+    sized = f.withColumns(parts).withColumn("main_size", F.lit(8) + _sizes(main))
+    sized = _directory(sized, "detail", detail, F.col("main_size"), little)
+    sized = _directory(sized, "place", place, F.col("detail_end"), little)
+    sized = _directory(sized, "main", main, F.lit(8), little)
+    mark = F.when(little, F.unhex(F.lit(exif.LITTLE_MARK))).otherwise(F.unhex(F.lit(exif.BIG_MARK)))
+    whole = sized.select("id", F.concat(F.unhex(F.lit("FFD8FFE1")), F.encode(F.lit("Exif"), "UTF-8"), F.unhex(F.lit("0000")), mark, _put(F.lit(8), 4, little), "main", "detail", "place").alias("content"))
+    return whole.select("id", F.when(F.col("id") % 10 == 0, F.substring("content", 1, 25)).otherwise(F.col("content")).alias("content"))
 
 
 _ANGLE = "round(case when {t} is not null then (case when {c} < 0 then -1 else 1 end) * ({t} // 360000 + ({t} % 360000) // 6000 / 60.0::double + {t} % 6000 / 100.0::double / 3600.0::double) end, 7)"

@@ -144,3 +144,16 @@ def test_motion_photos(spark):
     ]
     found = read_all(spark, [c for c, _ in cases], xmp.motion)
     assert [None if x is None else (x.video_offset, x.video_length) for x in found] == [want for _, want in cases]
+
+
+def test_headers_are_dealt_to_all_tasks(spark):
+    from mediaspan.operators.headers import exif_headers
+    from mediaspan.plans.catalog import Library
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = exif_headers(Library(spark, "/root/testdata/sf0.001")).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(made) == 4 and sum(r["count"] for r in made) == 1500
