@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,7 +16,9 @@ from mediaspan.plans.numbering import numbered
 from mediaspan.plans.registry import query
 from mediaspan.plans.workspace import Workspace
 
-DISTANCE, NEIGHBOURS, TILE, STRIP = 0.65, 80, 4096, 256
+DISTANCE, NEIGHBOURS, TILE, STRIP = 0.65, 80, 16_384, 256
+#: Pairs that are measured at a time, and that a task holds before it keeps the k best of each vector.
+PIECE, HELD = 65_536, 4_000_000
 #: Below so many faces the graph is exact by default.
 EXACT_BELOW = 8000
 
@@ -26,24 +31,64 @@ def graph_strategy(n: int, mode: str = "auto") -> str:
 
 
 def _tile_pair(distance: float, k: int):
+    def best(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each a its k pairs of least distance, equal ones by b."""
+        order = np.lexsort((b, d, a))
+        a, b, d = a[order], b[order], d[order]
+        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+        place = np.arange(len(a)) - np.repeat(starts, np.diff(np.r_[starts, len(a)]))
+        return a[place < k], b[place < k], d[place < k]
+
+    def single(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Both in single precision, with how far a product of them may lie from the exact one; in double precision if they are too large for that."""
+        norms = [np.sqrt((v * v).sum(axis=1)).max(initial=0.0) for v in (x, y)]
+        if not all(n < 1e15 for n in norms):
+            return x, y, np.inf
+        return x.astype(np.float32), y.astype(np.float32), (x.shape[1] + 8) * 2.0**-23 * norms[0] * norms[1] + 1e-9
+
+    def promising(s: np.ndarray, slack: float, apart: Callable[[], np.ndarray]) -> np.ndarray:
+        """Flat places of the scores that may be within the distance and among the k best of their row or their column."""
+        floor = 1 - distance - slack if distance <= 2 else -np.inf
+        hits = s > floor
+        crowded = [hits.sum(axis=1) > 4 * k, hits.sum(axis=0) > 4 * k]
+        if not any(c.any() for c in crowded) or not np.isfinite(slack):
+            return np.flatnonzero(hits)
+        s = np.where(hits & apart(), s, -np.inf)
+        wanted = [np.where(c, 0.0, floor) for c in crowded]
+        wanted[0][crowded[0]] = np.partition(s[crowded[0]], -k, axis=1)[:, -k] - 2 * slack
+        wanted[1][crowded[1]] = np.partition(s[:, crowded[1]], -k, axis=0)[-k] - 2 * slack
+        return np.flatnonzero((s > floor) & ((s >= wanted[0][:, None]) | (s >= wanted[1][None, :])))
+
     def near(tiles: pd.DataFrame) -> pd.DataFrame:
-        """Of each vector of two tiles (or one) its k nearest in the other, a strip of rows at a time."""
+        """Of each vector of two tiles (or one) its k nearest in the other, a strip of rows at a time.
+
+        Products in single precision choose the pairs that may count, with room
+        for their error; these are measured in double precision.
+        """
+        one = tiles.p.iloc[0] == tiles.q.iloc[0]
         left, right = (tiles[tiles.tile == t] for t in (tiles.p.iloc[0], tiles.q.iloc[0]))
         a, b = (t.node.to_numpy() for t in (left, right))
-        x, y = (np.stack(t.embedding.to_numpy()).astype(np.float64) for t in (left, right))
-        owners, found = (left.owner.to_numpy(), right.owner.to_numpy()), []
-        sides = ((a, x, owners[0], b, y, owners[1]),) if tiles.p.iloc[0] == tiles.q.iloc[0] else ((a, x, owners[0], b, y, owners[1]), (b, y, owners[1], a, x, owners[0]))
-        for here, own, mine, there, other, theirs in sides:
-            order = np.argsort(there, kind="stable")
-            there, other, theirs = there[order], other[order], theirs[order]
-            for low in range(0, len(here), STRIP):
-                d = 1 - np.clip(own[low : low + STRIP] @ other.T, -1, 1)
-                d[mine[low : low + STRIP, None] == theirs[None, :]] = np.inf
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                row = np.repeat(np.arange(len(d)), best.shape[1])
-                one = pd.DataFrame({"a": here[low + row], "b": there[best.ravel()], "d": d[row, best.ravel()]})
-                found.append(one[one.d < distance])
-        return pd.concat(found)
+        x, y = (np.stack(t.embedding.to_numpy()).astype(np.float64) if len(t) else np.zeros((0, 1)) for t in (left, right))
+        mine, theirs, found, held = left.owner.to_numpy(), right.owner.to_numpy(), [], 0
+        if not len(x) or not len(y):  # a tile of few vectors may be empty
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "d": np.zeros(0)})
+        fx, fy, slack = single(x, y)
+        for low in range(0, len(a), STRIP):
+            apart = lambda low=low: mine[low : low + STRIP, None] != theirs[None, :]
+            places = promising(fx[low : low + STRIP] @ fy.T, slack, apart)
+            i, j = np.divmod(places, len(b))
+            i += low
+            d = np.concatenate([1 - np.clip(np.einsum("ij,ij->i", x[i[n : n + PIECE]], y[j[n : n + PIECE]]), -1, 1) for n in range(0, max(len(i), 1), PIECE)])
+            keep = (d < distance) & (mine[i] != theirs[j])
+            i, j, d = i[keep], j[keep], d[keep]
+            # Within a tile every pair comes in both orders; of two tiles both sides get theirs at once.
+            found += [best(a[i], b[j], d)] if one else [best(a[i], b[j], d), best(b[j], a[i], d)]
+            held += len(d)
+            if held > HELD:
+                found = [best(*(np.concatenate(c) for c in zip(*found, strict=True)))]
+                held = 0
+        whole = best(*(np.concatenate(c) for c in zip(*found, strict=True)))
+        return pd.DataFrame(dict(zip("abd", whole, strict=True)))
 
     return near
 
@@ -58,7 +103,9 @@ def neighbours(vectors: DataFrame, work: Workspace, distance: float = DISTANCE,
     Null vectors are left out. Vectors are taken to be of one length.
     """
     known = vectors.where("embedding is not null and size(embedding) > 0")
-    tiles = max(1, -(-known.count() // TILE))
+    n = known.count()
+    # Smaller tiles if there would be less than some eight pairs of them for a core.
+    tiles = max(1, -(-n // TILE), min(-(-n // 1024), math.isqrt(16 * work.spark.sparkContext.defaultParallelism)))
     dealt = known.select("node", "owner", "embedding", F.pmod(F.xxhash64("node"), F.lit(tiles)).cast("int").alias("tile"))
     others = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other")
     paired = dealt.select("*", others).select("node", "owner", "embedding", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))

@@ -5,6 +5,7 @@ import random
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -219,3 +220,22 @@ def test_keepers_of_large_groups(spark):
     for r in dedup.keepers(lib).collect():
         want.setdefault(r["hash"], []).append((r.score, r.is_keep))
     assert want and all(sorted(v) == [(i + 1, i + 1 == len(v)) for i in range(len(v))] for v in want.values())
+
+
+def test_tiles_measure_near_pairs_exactly_and_hold_few(spark, monkeypatch):
+    """Tables of one direction and little spread: crowded rows, equal vectors, and products too close for single precision."""
+    monkeypatch.setattr(cluster, "HELD", 500)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.ones((300, 8)) + 1e-4 * rng.normal(size=(300, 8)), np.ones((40, 8))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tiles = pd.DataFrame({"node": range(340), "owner": [i // 2 for i in range(340)], "embedding": list(x), "tile": 0, "p": 0, "q": 0})
+    got = cluster._tile_pair(0.65, 3)(tiles)
+    assert len(got) == 340 * 3
+    score = lambda a, b: 1 - np.clip(x[a] @ x[b], -1, 1)
+    for a, near in got.groupby("a"):
+        want = sorted(score(a, b) for b in range(340) if a // 2 != b // 2)[:3]
+        assert np.allclose(sorted(near.d), want, atol=1e-14)
+    two = tiles.assign(tile=[i % 2 for i in range(340)], q=1)
+    crossed = cluster._tile_pair(0.65, 3)(two)
+    assert len(crossed) == 340 * 3 and all(a % 2 != b % 2 and a // 2 != b // 2 for a, b in zip(crossed.a, crossed.b, strict=True))
+    assert len(cluster._tile_pair(0.65, 3)(tiles.assign(embedding=list(x * 1e30)))) == 340 * 3  # too long for single precision
