@@ -3,8 +3,8 @@
 Centres of cells are fitted on a bounded sample by spherical k-means. Every
 vector lies in the cell of its nearest centre; a query visits the cells of its
 nearest few centres, as many as found the wanted share of true neighbours on
-the sample. Within a cell, blocks of queries meet blocks of vectors in one
-matrix product; nothing is copied to cells that are not visited.
+the sample. Blocks of queries meet parts of cells, a cell at a time in one
+matrix product; a query is sent once to a part, with its cells there.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from mediaspan.plans.workspace import Workspace
 SAMPLE, TRIALS = 20_000, 512
 #: Vectors of a cell on average, until there are MOST_CELLS.
 CELL, MOST_CELLS = 512, 4096
-#: Vectors of one kind that meet in one task, and queries multiplied at a time.
-BLOCK, STRIP = 4096, 256
+#: Vectors of one kind that meet in one task on average, queries multiplied at a time, and pairs held before the best are kept.
+BLOCK, STRIP, HELD = 16_384, 256, 4_000_000
 #: Share of the sample's true neighbours that the probes have to find.
 RECALL = 0.97
 #: Candidates kept for each neighbour asked for, before same owners and far ones go.
@@ -97,38 +97,62 @@ def fit(vectors: DataFrame, n: int, k: int, recall: float = RECALL) -> Index:
     return Index(centres, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1)
 
 
-def _placed(vectors: DataFrame, index: Index) -> DataFrame:
-    """vectors (node, owner, embedding) with the cells that each visits; those of another length than the index's are left out."""
+def _placed(vectors: DataFrame, index: Index, parts: int, own: bool) -> DataFrame:
+    """vectors (node, owner, embedding), one row a part, with the cells in that part: the own cell alone, or all that the vector visits. Those of another length than the index's are left out."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                yield part.assign(cells=list(index.nearest(unit_rows(part.embedding))))
+    def run(given: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in given:
+            if not len(frame):
+                continue
+            found = index.nearest(unit_rows(frame.embedding))[:, : 1 if own else None]
+            for part in range(parts):
+                inside = found % parts == part
+                here = inside.any(axis=1)
+                if here.any():
+                    cells = [row[mask] for row, mask in zip(found[here], inside[here], strict=True)]
+                    yield frame[here].assign(cells=pd.Series(cells, frame.index[here], dtype=object), part=np.int32(part))
 
     of_length = vectors.where(F.size("embedding") == index.centres.shape[1])
     kind = of_length.schema["embedding"].dataType.simpleString()
-    return of_length.mapInPandas(run, f"node long, owner long, embedding {kind}, cells array<int>")
+    return of_length.mapInPandas(run, f"node long, owner long, embedding {kind}, cells array<int>, part int")
 
 
 def _meet(k: int, floor: float):
+    def top(one: pd.DataFrame) -> pd.DataFrame:
+        return one.sort_values(["a", "score", "b"], ascending=[True, False, True]).groupby("a").head(k)
+
     def near(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        """Of each query its best CANDIDATES x k among the rows, without its own owner's and those under the floor."""
+        """Of each query its best CANDIDATES x k among the rows of each cell that it visits, without its own owner's and those under the floor; k of them over all cells here."""
+        nothing = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(q) or not len(r):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "score": np.zeros(0)})
+            return nothing
         r = r.sort_values("node")
-        y, there, owners = unit_rows(r.embedding), r.node.to_numpy(), r.owner.to_numpy()
+        y, there, owners, cell = unit_rows(r.embedding), r.node.to_numpy(), r.owner.to_numpy(), np.concatenate(r.cells.to_numpy())
         x, here, mine = unit_rows(q.embedding), q.node.to_numpy(), q.owner.to_numpy()
-        most, found = min(CANDIDATES * k, len(r)), []
-        for low in range(0, len(q), STRIP):
-            scores = np.clip(x[low : low + STRIP] @ y.T, -1, 1)
-            scores[mine[low : low + STRIP, None] == owners[None, :]] = -2
-            best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-            values = np.take_along_axis(scores, best, axis=1)
-            line = np.repeat(here[low : low + STRIP], most)
-            one = pd.DataFrame({"a": line, "b": there[best.ravel()], "score": values.ravel()})
-            one = one[one.score > floor].sort_values(["a", "score", "b"], ascending=[True, False, True])
-            found.append(one.groupby("a").head(k))
-        return pd.concat(found)
+        visited = np.concatenate(q.cells.to_numpy())
+        visitor = np.repeat(np.arange(len(q)), [len(c) for c in q.cells])
+        order, homes = np.argsort(visited, kind="stable"), np.argsort(cell, kind="stable")
+        found, held = [], 0
+        for name in np.unique(cell):
+            rows = homes[slice(*np.searchsorted(cell[homes], (name, name + 1)))]
+            asking = visitor[order[slice(*np.searchsorted(visited[order], (name, name + 1)))]]
+            most = min(CANDIDATES * k, len(rows))
+            strip = max(1, min(STRIP, HELD // 2 // len(rows)))
+            for low in range(0, len(asking), strip):
+                some = asking[low : low + strip]
+                scores = np.clip(x[some] @ y[rows].T, -1, 1)
+                scores[mine[some, None] == owners[None, rows]] = -2
+                if most < len(rows):  # else all of them are candidates
+                    crowded = (scores > floor).sum(axis=1) > most
+                    least = np.full(len(some), -np.inf)
+                    least[crowded] = np.partition(scores[crowded], -most, axis=1)[:, -most]
+                    scores[scores < least[:, None]] = -2
+                i, j = np.nonzero(scores > floor)
+                found.append(pd.DataFrame({"a": here[some[i]], "b": there[rows[j]], "score": scores[i, j]}))
+                held += len(i)
+                if held > HELD:
+                    found, held = [top(pd.concat(found))], 0
+        return top(pd.concat(found)) if found else nothing
 
     return near
 
@@ -138,7 +162,10 @@ def probed(queries: DataFrame, rows: DataFrame, k: int, floor: float, work: Work
 
     Both tables have node, owner and embedding; rows of a query's owner are not
     its neighbours. All usable rows of the length that most have are in the
-    index. A cell's rows and visitors meet in blocks of at most about BLOCK.
+    index. Cells are dealt to parts of about BLOCK rows, and a query is sent once
+    to each part that it visits, with the cells that it visits there; a part's
+    rows go once to each block of about BLOCK queries. So copies grow with
+    parts, not with cells.
     """
     rows = work.table(usable(rows).select("node", "owner", "embedding"), "rows")
     sizes = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
@@ -146,22 +173,19 @@ def probed(queries: DataFrame, rows: DataFrame, k: int, floor: float, work: Work
         return work.spark.createDataFrame([], "a long, b long, score double")
     rows = rows.where(F.size("embedding") == sizes["size"])
     index = fit(rows, sizes["count"], k, recall)
-    held = work.table(_placed(rows, index).withColumn("cell", F.col("cells")[0]).drop("cells"), "held")
-    visits = work.table(_placed(usable(queries).select("node", "owner", "embedding"), index).withColumn("cell", F.explode("cells")).drop("cells"), "visits")
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-
-    cells = F.broadcast(blocks(held, "row_blocks").join(blocks(visits, "query_blocks"), "cell"))  # at most MOST_CELLS rows
-
-    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        met = df.join(cells, "cell")
-        block = F.pmod(F.xxhash64("node"), F.col(f"{own}_blocks")).cast("int").alias(f"{own}_block")
-        copies = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
-        return met.select("node", "owner", "embedding", "cell", block, copies)
-
-    keys = ["cell", "row_block", "query_block"]
-    pairs = dealt(visits, "query", "row").groupBy(*keys).cogroup(dealt(held, "row", "query").groupBy(*keys)).applyInPandas(_meet(k, floor), "a long, b long, score double")
+    groups = max(1, -(-sizes["count"] // BLOCK))
+    askers = usable(queries).select("node", "owner", "embedding")
+    blocks = max(1, -(-askers.count() // BLOCK))
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    held, visits = work.table(_placed(rows, index, groups, True), "held"), _placed(askers, index, groups, False)
+    counts = {r["part"]: r["count"] for r in held.groupBy("part").count().collect()}  # a number a part
+    # A part that much more than BLOCK rows fill, as copies do, is dealt to several.
+    slices = F.element_at(F.array(*[F.lit(-(-counts.get(part, 1) // (2 * BLOCK))) for part in range(groups)]), F.col("part") + 1)
+    own, all_of = F.pmod(F.xxhash64("node", F.lit("slice")), slices).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice")
+    columns, keys = ["node", "owner", "embedding", "cells", "part"], ["part", "slice", "block"]
+    sides = [df.select(*columns, a).select("*", b) for df, a, b in ((visits, block, all_of), (held, own, every))]
+    pairs = sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInPandas(_meet(k, floor), "a long, b long, score double")
     best = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     return pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 

@@ -90,3 +90,11 @@ def test_fast_search_scores_exactly(spark, small_cells):
     assert all(abs(fast[key].score - exact[key].score) < 1e-6 for key in exact.keys() & fast.keys())
     assert all(q != f for q, f in fast) and max(r["rank"] for r in fast.values()) <= 25
     assert nearest.ranked_auto(queries, rows, Workspace(spark, "auto"), "auto", 0.3, 25).count() == len(exact)
+
+
+def test_a_query_is_sent_once_to_a_part_with_all_its_cells(spark):
+    rows = spark.createDataFrame(grouped_vectors(6, 10, 8, 4), SCHEMA)
+    index = nearest.Index(np.eye(8)[:6], 5)
+    sent = nearest._placed(rows, index, 2, False).collect()
+    assert len(sent) == 120 and all(c % 2 == r.part for r in sent for c in r.cells) and sum(len(r.cells) for r in sent) == 60 * 5
+    assert nearest._placed(rows, index, 2, True).count() == 60
