@@ -284,7 +284,9 @@ def nearest(points: DataFrame, cities: DataFrame) -> DataFrame:
     work = Workspace(points.sparkSession, "nearest")
     known = points.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)").distinct()
     at = lambda df: df.withColumns(dict(zip(("x", "y", "z"), unit_xyz(F.col("lat"), F.col("lon")), strict=True)))
-    homes = work.table(at(cities).select("city", *[F.col(c).alias(f"c{c}") for c in "xyz"]), "homes")
+    # Cities at one place are equally near, so the smallest stands for them: a crowded place is one row.
+    places = cities.groupBy("lat", "lon").agg(F.min("city").alias("city"))
+    homes = work.table(at(places).select("city", *[F.col(c).alias(f"c{c}") for c in "xyz"]), "homes")
     left, found = work.table(at(known), "left-0"), []
     steps = F.array(*[F.lit(s) for s in (-1, 0, 1)])
     for n_round, edge in enumerate(edges(homes.count()), 1):

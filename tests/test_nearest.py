@@ -98,3 +98,14 @@ def test_a_query_is_sent_once_to_a_part_with_all_its_cells(spark):
     sent = nearest._placed(rows, index, 2, False).collect()
     assert len(sent) == 120 and all(c % 2 == r.part for r in sent for c in r.cells) and sum(len(r.cells) for r in sent) == 60 * 5
     assert nearest._placed(rows, index, 2, True).count() == 60
+
+
+def test_cities_at_one_place_are_one_home(spark, monkeypatch):
+    from mediaspan.operators import metadata
+
+    homes, edges = [], metadata.edges
+    monkeypatch.setattr(metadata, "edges", lambda n: homes.append(n) or edges(n))
+    cities = spark.range(1, 401).select(F.col("id").alias("city"), (F.col("id") % 4 * 10.0).alias("lat"), F.lit(5.0).alias("lon"))
+    points = spark.createDataFrame([(1.0, 5.0), (29.0, 5.0)], "lat double, lon double")
+    found = {(r.lat, r.city) for r in metadata.nearest(points, cities).collect()}
+    assert found == {(1.0, 4), (29.0, 3)} and homes == [4]
