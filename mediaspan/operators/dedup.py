@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from mediaspan.plans.catalog import Library
 from mediaspan.plans.components import connected_components
@@ -72,6 +75,21 @@ def touched_groups(lib: Library) -> DataFrame:
 CELLS = 72
 #: Bits that perceptual hashes may differ in, by strictness.
 STRICTNESS = (6, 8, 12)
+#: Hashes of a group's side at most; rows and columns that are compared at a time.
+GROUP, STRIP, PIECE = 16_384, 16, 8192
+
+
+@F.pandas_udf(LongType())
+def dhash(texts: pd.Series) -> pd.Series:
+    """The difference hash of texts in UTF-8; null is empty. Code points of a cell are added up by one call."""
+
+    def one(text: bytes | None) -> int:
+        codes = np.frombuffer((text or b"").decode("utf-8", "replace").ljust(CELLS).encode("utf-32-le"), "<u4")
+        edges = np.arange(CELLS + 1) * len(codes) // CELLS
+        grid = (np.add.reduceat(codes, edges[:-1], dtype=np.int64) // np.diff(edges)).reshape(8, 9)
+        return int(np.packbits(grid[:, :-1] > grid[:, 1:], bitorder="little").view("<i8")[0])
+
+    return pd.Series([one(t) for t in texts], dtype="int64")
 
 
 def phashes(lib: Library) -> DataFrame:
@@ -79,21 +97,7 @@ def phashes(lib: Library) -> DataFrame:
 
     A cell is the mean code point of one of 72 equal stretches, rounded down; shorter texts are padded with blanks.
     """
-    text = F.coalesce("text", F.lit(""))
-    codes = F.transform(F.split(F.rpad(text, F.greatest(F.length(text), F.lit(CELLS)), F.lit(" ")), ""), lambda c: F.ascii(c).cast("long"))
-
-    def cells(a: Column) -> Column:
-        edge = lambda c: F.floor(c * F.size(a) / CELLS).cast("int")
-        mean = lambda low, high: F.floor(F.aggregate(F.slice(a, low + 1, high - low), F.lit(0).cast("long"), lambda x, y: x + y) / (high - low))
-        return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: mean(edge(c), edge(c + 1)))
-
-    def hashed(grid: Column) -> Column:
-        set_bit = lambda i: F.when(F.element_at(grid, (F.floor(i / 8) * 9 + i % 8 + 1).cast("int")) > F.element_at(grid, (F.floor(i / 8) * 9 + i % 8 + 2).cast("int")), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda h, i: h.bitwiseOR(set_bit(i)))
-
-    # Arrays of one element bind a value, so that it is made once and not once a cell.
-    bound = F.transform(F.transform(F.array(codes), cells), hashed)
-    return lib.table("documents").select((F.col("doc_id") + 1).alias("file_id"), F.element_at(bound, 1).alias("phash"), F.col("n_chars").alias("size"))
+    return lib.table("documents").select((F.col("doc_id") + 1).alias("file_id"), dhash(F.col("text").cast("binary")).alias("phash"), F.col("n_chars").alias("size"))
 
 
 _PHASH = """, t as (select doc_id + 1 file_id, list_transform(string_split(rpad(coalesce(text, ''), cast(greatest(72, length(coalesce(text, ''))) as int), ' '), ''), lambda c: unicode(c)) codes, n_chars size from documents),
@@ -109,59 +113,104 @@ def masks(width: int, turned: int) -> list[int]:
     return found
 
 
-def banded(distinct: DataFrame, distance: int) -> DataFrame:
-    """distinct (file_id, phash) under every band value near its own.
+def band_limits(n: int, distance: int) -> list[tuple[int, int, int]]:
+    """(shift, width, limit) of the bands that cut a hash, for so many hashes.
 
-    Both sides turn one bit of a band, or two above a distance of 8, so values
-    of a band that differ by two or four bits meet halfway; among
-    distance // 3 + 1 or distance // 5 + 1 bands there is always such a one.
-    Bands so have 21 bits and more at every strictness, which keeps buckets
-    small, and rows grow with the hashes, not with pairs.
+    With m bands whose limits come to distance - m + 1, hashes within the
+    distance differ in some band by no more than its limit, else they would
+    differ by at least one bit more. Bands are as wide as to leave about GROUP
+    hashes a value; below GROUP hashes all are one group.
     """
-    turned = 1 if distance <= 8 else 2
-    bands = distance // (2 * turned + 1) + 1
-    width = -(-64 // bands)
+    bands = 1 if n <= GROUP else next((m for m in range(8, 4, -1) if n >> 64 // m <= GROUP), 4)
+    bands = min(bands, distance + 1)
+    spare, cuts = distance - bands + 1, [64 * k // bands for k in range(bands + 1)]
+    if bands == 1:
+        return [(0, 0, 0)]
+    return [(low, high - low, spare // bands + (k < spare % bands)) for k, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
-    def met(n: int) -> Column:
-        value = F.call_function("shiftrightunsigned", F.col("phash"), F.lit(n * width)).bitwiseAND(F.lit((1 << width) - 1))
-        own = F.array(*[F.lit(m).cast("long") for m in masks(min(width, 64 - n * width), turned)])
-        return F.transform(own, lambda m: value.bitwiseXOR(m) + F.lit(n << width))
 
-    return distinct.select("file_id", "phash", F.explode(F.concat(*[met(n) for n in range(bands)])).alias("band"))
+def meetings(distinct: DataFrame, limits: list[tuple[int, int, int]], work: Workspace) -> DataFrame:
+    """distinct (file_id, phash) in every group where it is compared: by two values of a band that are within its limit, and a block of each.
+
+    Values of more than GROUP hashes are dealt to blocks, so a group is never
+    larger than about two of these. left says on which side of it a hash is;
+    null is both.
+    """
+    pieces = [F.struct(F.lit(k).cast("long").alias("band"), F.call_function("shiftrightunsigned", F.col("phash"), F.lit(low)).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for k, (low, width, _) in enumerate(limits)]
+    rows = distinct.select("file_id", "phash", F.explode(F.array(*pieces)).alias("p")).select("file_id", "phash", "p.*")
+    sizes = work.table(rows.groupBy("band", "value").agg(F.ceil(F.count("*") / GROUP).alias("blocks")), "sizes")
+    own = rows.join(F.broadcast(sizes), ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("file_id"), F.col("blocks"))).drop("blocks")
+    turns = F.element_at(F.array(*[F.array(*[F.lit(m).cast("long") for m in masks(width, limit)]) for _, width, limit in limits]), (F.col("band") + 1).cast("int"))
+    near = own.withColumn("other", F.explode(F.transform(turns, lambda m: F.col("value").bitwiseXOR(m))))
+    near = near.join(F.broadcast(sizes.withColumnRenamed("value", "other")), ["band", "other"])
+    near = near.withColumn("there", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    here, there = F.struct("value", "block"), F.struct(F.col("other").alias("value"), F.col("there").alias("block"))
+    near = near.withColumn("left", F.when(here != there, here < there)).withColumns({"x": F.least(here, there), "y": F.greatest(here, there)})
+    return near.select("band", F.col("x.value").alias("u"), F.col("x.block").alias("i"), F.col("y.value").alias("v"), F.col("y.block").alias("j"), "left", "file_id", "phash")
+
+
+def _forest(distance: int):
+    def join(met: pd.DataFrame) -> pd.DataFrame:
+        """Pairs within the distance that join what earlier pairs of the group have not, a strip of rows at a time."""
+        one = met.left.isna().all()
+        left, right = (met, met) if one else (met[met.left == True], met[met.left == False])  # noqa: E712
+        a, b = (side.file_id.to_numpy() for side in (left, right))
+        x, y = (side.phash.to_numpy(dtype=np.int64).view(np.uint64) for side in (left, right))
+        nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+        at, to = places[: len(a)], places[len(a) :]
+        label, found = np.arange(len(nodes)), []
+
+        def link(i: np.ndarray, j: np.ndarray) -> None:
+            for p, q in zip(at[i], to[j], strict=True):
+                low, high = sorted((label[p], label[q]))
+                if low != high:
+                    label[label == high] = low
+                    found.append((nodes[p], nodes[q]))
+
+        bits, counts = np.empty((STRIP, PIECE), np.uint64), np.empty((STRIP, PIECE), np.uint8)
+        for s in range(0, len(x), STRIP):
+            for t in range(0, len(y), PIECE):
+                p, q = x[s : s + STRIP], y[t : t + PIECE]
+                here = counts[: len(p), : len(q)]
+                np.bitwise_count(np.bitwise_xor(p[:, None], q[None, :], out=bits[: len(p), : len(q)]), out=here)
+                if here.min() > distance:
+                    continue
+                hits = here <= distance
+                # Of each row its first partner, then of each column, until all that meet are joined.
+                apart = lambda s=s, t=t, h=hits: h & (label[at[s : s + STRIP]][:, None] != label[to[t : t + PIECE]][None, :])
+                while (todo := apart()).any():
+                    i = np.flatnonzero(todo.any(axis=1))
+                    link(s + i, t + todo[i].argmax(axis=1))
+                    todo = apart()
+                    j = np.flatnonzero(todo.any(axis=0))
+                    link(s + todo[:, j].argmax(axis=0), t + j)
+        return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return join
 
 
 def near_components(hashes: DataFrame, distance: int, work: Workspace) -> DataFrame:
     """(node, component) of the files whose hashes lie within a Hamming distance of another's, transitively.
 
     Equal hashes collapse first, so a hash that many files share is compared
-    once. Then all of a bucket meet its first hash; pairs beyond that are put
-    out only where they join two components, so a dense group gives a star and
-    not all its pairs. No link between different components is left out.
+    once. Hashes that are alike in a band meet in groups of bounded size, which
+    compare all their pairs and put out those that join two components of the
+    group: no link is left out, and a dense group gives no more rows than it has
+    hashes.
     """
     distinct = work.table(hashes.groupBy("phash").agg(F.min("file_id").alias("file_id")), "distinct-hashes")
-    rows = work.table(banded(distinct, distance), "banded")
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
-    first = rows.groupBy("band").agg(F.min(F.struct("file_id", "phash")).alias("f"), F.count("*").alias("n")).where("n > 1").select("band", F.col("f.file_id").alias("a"), F.col("f.phash").alias("pa"))
-    star = rows.join(first, "band").where((F.col("file_id") != F.col("a")) & near("pa", "phash")).select("a", F.col("file_id").alias("b")).distinct()
-    star = work.table(star, "star")
-    labels = connected_components(star, "a", "b", work, "stars")
-    shared = first.select("band")
-    known = rows.join(shared, "band").join(labels.withColumnRenamed("node", "file_id"), "file_id", "left").withColumn("c", F.coalesce("component", "file_id")).drop("component")
-    known = work.table(known, "known")
-    x = known.select("band", F.col("file_id").alias("a"), F.col("phash").alias("pa"), F.col("c").alias("ca"))
-    y = known.select("band", F.col("file_id").alias("b"), F.col("phash").alias("pb"), F.col("c").alias("cb"))
-    bridges = x.join(y, [x["band"] == y["band"], F.col("ca") < F.col("cb"), near("pa", "pb")]).select("a", "b").distinct()
+    met = meetings(distinct, band_limits(distinct.count(), distance), work)
+    star = work.table(met.groupBy("band", "u", "i", "v", "j").applyInPandas(_forest(distance), "a long, b long").distinct(), "star")
     twins = hashes.join(distinct.withColumnRenamed("file_id", "a"), "phash").where("file_id > a").select("a", F.col("file_id").alias("b"))
-    found = connected_components(star.unionByName(bridges).unionByName(twins), "a", "b", work, "near")
-    work.drop("banded", "known")
-    return found
+    return connected_components(star.unionByName(twins), "a", "b", work, "near")
 
 
 def similar_groups(lib: Library, distance: int = 8) -> DataFrame:
     """(group_id, file_id): files that differ by few bits, transitively; those of exact groups are left out."""
     exact = lib.hashes.join(exact_groups(lib).select("hash", "file_size"), ["hash", "file_size"]).select("file_id")
     work = Workspace(lib.spark, "similar")
-    rest = work.table(phashes(lib).join(exact, "file_id", "left_anti"), "phashes")
+    # Hashes are written before they meet others, so that texts are not shuffled.
+    rest = work.table(work.table(phashes(lib), "hashed").join(exact, "file_id", "left_anti"), "phashes")
     labels = near_components(rest.select("file_id", "phash"), distance, work)
     return labels.select(F.col("component").alias("group_id"), F.col("node").alias("file_id"))
 

@@ -133,6 +133,27 @@ def test_a_dense_group_of_hashes_gives_stars(spark):
     assert spark.read.parquet(work.path("star")).count() <= 70 * len(rows)
 
 
+def test_hashes_meet_in_groups_of_bounded_size(spark, monkeypatch):
+    """Many values of a band, and one with more hashes than a group takes: 48 rows a hash and blocks, the same links as all pairs give."""
+    monkeypatch.setattr(dedup, "GROUP", 40)
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    hashes = sorted({b ^ sum(1 << k for k in rng.sample(range(64), d)) for b in base for d in (0, 5, 11, 13)} | {rng.getrandbits(20) << 44 for _ in range(100)})
+    rows = spark.createDataFrame([(n, struct.unpack("<q", struct.pack("<Q", h))[0]) for n, h in enumerate(hashes)], "file_id long, phash long")
+    limits = [(low, 8, 1 if n < 5 else 0) for n, low in enumerate(range(0, 64, 8))]
+    assert dedup.band_limits(len(hashes), 12) == limits
+    sent = dedup.meetings(rows, limits, Workspace(spark, "met")).groupBy("band", "u", "i", "v", "j").count()
+    assert sent.agg({"count": "max"}).first()[0] <= 4 * 40 and sent.where("i > 0 or j > 0").count()
+    label = list(range(len(hashes)))
+    for i, h in enumerate(hashes):
+        for j in range(i):
+            if (h ^ hashes[j]).bit_count() <= 12 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if v == high else v for v in label]
+    want = {n: v for n, v in enumerate(label) if label.count(v) > 1}
+    assert {r.node: r.component for r in dedup.near_components(rows, 12, Workspace(spark, "bounded")).collect()} == want
+
+
 def test_ramp_and_flat_texts_have_their_hashes(spark, tmp_path):
     texts = ["".join(chr(200 - i % 9 * 5) for i in range(72)), "a" * 500, "".join(chr(200 - i // 40 % 9 * 5) for i in range(72 * 40)), "ab" * 20_000, "", None]
     spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
