@@ -247,7 +247,10 @@ def crop(box: Column, width: Column, height: Column) -> Column:
 )
 def crops(lib: Library) -> DataFrame:
     o = F.element_at(F.array(*map(F.lit, (1, 3, 6, 8))), (F.col("file_id") % 4 + 1).cast("int"))
-    f = boxes(lib).join(lib.files.select(F.col("id").alias("file_id"), "width", "height"), "file_id").withColumn("o", o)
+    # Both sides are dealt once by file, to as many tasks as there are rows for; equal crops of a file meet where they lie.
+    parts = lib.deals()
+    sized = lib.files.select(F.col("id").alias("file_id"), "width", "height").repartition(parts, "file_id")
+    f = boxes(lib).repartition(parts, "file_id").join(sized, "file_id").withColumn("o", o)
     t = f.withColumn("t", turned_box(*[F.col(c) for c in ("x", "y", "w", "h", "width", "height", "o")]))
     across = F.col("o").isin(6, 8)
     c = t.withColumn("c", crop(F.col("t"), F.when(across, F.col("height")).otherwise(F.col("width")), F.when(across, F.col("width")).otherwise(F.col("height"))))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Upper and lower letters that compare alike: ASCII only.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows of order lines that a task takes where partitions are dealt by their number.
+ROWS_A_TASK = 500_000
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
@@ -26,6 +28,10 @@ class Library:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def deals(self) -> int:
+        """Partitions to deal order lines to, so that a task takes about as many at any size. Counts them, which reads the files' footers."""
+        return max(1, -(-self.table("lineitem").count() // ROWS_A_TASK))
+
     @cached_property
     def albums(self) -> DataFrame:
         return self.table("region").select((F.col("r_regionkey") + 1).cast("long").alias("id"), F.col("r_name").alias("name"), F.concat(F.lit("/lib/"), "r_name").alias("path"), (F.lit(5) - F.col("r_regionkey")).cast("long").alias("display_order_id"))

@@ -260,3 +260,17 @@ def test_tiles_measure_near_pairs_exactly_and_hold_few(spark, monkeypatch):
     crossed = cluster._tile_pair(0.65, 3)(two)
     assert len(crossed) == 340 * 3 and all(a % 2 != b % 2 and a // 2 != b // 2 for a, b in zip(crossed.a, crossed.b, strict=True))
     assert len(cluster._tile_pair(0.65, 3)(tiles.assign(embedding=list(x * 1e30)))) == 340 * 3  # too long for single precision
+
+
+@pytest.mark.parametrize("name", ["X35_face_crop"])
+def test_order_lines_are_dealt_by_their_number(spark, monkeypatch, name):
+    """Tasks grow in number, not in rows; results are the SQL's."""
+    from mediaspan.plans import catalog
+    from mediaspan.plans.registry import ORACLES
+    from tests_tables import connected
+
+    monkeypatch.setattr(catalog, "ROWS_A_TASK", 900)
+    assert Library(spark, FOLDER).deals() == 7
+    got = QUERIES[name](spark, FOLDER)
+    assert ", 7), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(connected().sql(ORACLES[name]).limit(1 << 30).fetchall())
