@@ -215,11 +215,9 @@ def minhash_groups(spark: SparkSession, documents: DataFrame, doc_id: str = "doc
     full = keyed.join(labels.withColumnRenamed("node", "id"), "id", "left").join(sigs, "id").select("key", "id", "n", "bits", F.coalesce("component", "id").alias("c"))
     full = work.table(full, "labelled")
     open_keys = full.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("sharers")).where("c0 <> c1").select("key", "sharers")
-    open_rows = work.table(full.join(open_keys, "key"), "open")
-    work.drop("labelled")
     sizes = labels.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") >= BIG)
-    big = work.table(sizes.withColumnRenamed("component", "c"), "big")
-    marked = work.table(open_rows.join(big, "c", "left"), "marked")
+    marked = work.table(full.join(open_keys, "key").join(sizes.withColumnRenamed("component", "c"), "c", "left"), "marked")
+    work.drop("labelled")
     # Outsiders that share a key with a large component meet it, and one another, in blocks, which return links only.
     inside = marked.where("members is not null").groupBy("key", "c").agg(F.max("members").alias("m")).withColumnRenamed("c", "group")
     met = marked.join(inside, "key").where((F.col("c") != F.col("group")) & (F.col("members").isNull() | (F.col("c") < F.col("group"))))
@@ -255,7 +253,7 @@ def minhash_groups(spark: SparkSession, documents: DataFrame, doc_id: str = "doc
     every = labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     fresh = merged.join(labels, "node", "left_anti")
     final = work.table(every.union(fresh.select("node", "component")), "components")
-    work.drop("keyed", "open", "marked", "rest", "hosts", "guests", "second-sets")
+    work.drop("keyed", "marked", "rest", "hosts", "guests", "second-sets")
 
     found = signed.select("id", "n", "h1", "h2").join(reps.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left")
     found = found.join(final.withColumnRenamed("node", "rep"), "rep", "left")

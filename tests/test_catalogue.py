@@ -56,6 +56,18 @@ def test_components(spark, tmp_path):
     assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 8, 9: 8, 20: 20, 21: 20, 22: 20, 23: 20, 24: 20}
 
 
+def test_labels_of_a_small_graph_are_one_file(spark):
+    """Also if shuffles have many partitions that are not made fewer."""
+    edges = spark.range(200).selectExpr("id a", "id - id % 4 b").localCheckpoint()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        labels = connected_components(edges, "a", "b", Workspace(spark, "few-files"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.node, r.component) for r in labels.collect()} == {(i, i - i % 4) for i in range(200)}
+    assert len(labels.inputFiles()) == 1
+
+
 def test_inactive_parameters_add_no_predicate():
     assert conjuncts(Params()) == []
     assert type_mask(7) is None and type_mask(15) is None and type_mask(0) is None
