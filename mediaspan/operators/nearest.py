@@ -3,8 +3,9 @@
 Centres of cells are fitted on a bounded sample by spherical k-means. Every
 vector lies in the cell of its nearest centre; a query visits the cells of its
 nearest few centres, as many as found the wanted share of true neighbours on
-the sample. Blocks of queries meet parts of cells, a cell at a time in one
-matrix product; a query is sent once to a part, with its cells there.
+the sample. Blocks of queries meet parts of cells, a strip of queries and a
+cell at a time in matrix products; a query is sent once to a part, with its
+cells there.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +30,10 @@ from mediaspan.plans.workspace import Workspace
 SAMPLE, TRIALS = 20_000, 512
 #: Vectors of a cell on average, until there are MOST_CELLS.
 CELL, MOST_CELLS = 512, 4096
-#: Vectors of one kind that meet in one task on average, queries multiplied at a time, and pairs held before the best are kept.
-BLOCK, STRIP, HELD = 16_384, 256, 4_000_000
+#: Vectors of one kind that meet in one task on average, queries and rows multiplied at a time, and pairs held before the best are kept.
+BLOCK, STRIP, PIECE, HELD = 16_384, 256, 4096, 262_144
+#: Queries whose visits are worked out at a time.
+VISITS = 2048
 #: Share of the sample's true neighbours that the probes have to find.
 RECALL = 0.97
 #: Candidates kept for each neighbour asked for, before same owners and far ones go.
@@ -44,20 +49,25 @@ class Index:
     centres: np.ndarray
     probes: int
 
-    def nearest(self, units: np.ndarray) -> np.ndarray:
-        """The cells that each vector visits, nearest first."""
-        found = np.empty((len(units), self.probes), np.int32)
-        for low in range(0, len(units), STRIP):
-            near = -(units[low : low + STRIP] @ self.centres.T)
-            found[low : low + STRIP] = np.argsort(near, axis=1, kind="stable")[:, : self.probes]
+    def nearest(self, vectors: np.ndarray, most: int | None = None) -> np.ndarray:
+        """The cells that each unit vector visits (or so many), nearest first."""
+        most = self.probes if most is None else most
+        found = np.empty((len(vectors), most), np.int32)
+        for low in range(0, len(vectors), STRIP):
+            near = -(vectors[low : low + STRIP] @ self.centres.T)
+            found[low : low + STRIP] = np.argsort(near, axis=1, kind="stable")[:, :most]
         return found
 
 
-def unit_rows(vectors: pd.Series) -> np.ndarray:
-    x = np.stack(vectors.to_numpy()).astype(np.float64)
+def units(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def unit_rows(vectors: pd.Series) -> np.ndarray:
+    return units(np.stack(vectors.to_numpy()))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """Vectors of finite numbers with a norm; the others have no direction."""
     e = F.col("embedding")
@@ -102,57 +112,104 @@ def _placed(vectors: DataFrame, index: Index, parts: int, own: bool) -> DataFram
 
     def run(given: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in given:
-            if not len(frame):
+            if own and len(frame):
+                cells = index.nearest(unit_rows(frame.embedding), 1)
+                yield frame.assign(cells=pd.Series(list(cells), frame.index, dtype=object), part=cells[:, 0] % np.int32(parts))
                 continue
-            found = index.nearest(unit_rows(frame.embedding))[:, : 1 if own else None]
-            for part in range(parts):
-                inside = found % parts == part
-                here = inside.any(axis=1)
-                if here.any():
-                    cells = [row[mask] for row, mask in zip(found[here], inside[here], strict=True)]
-                    yield frame[here].assign(cells=pd.Series(cells, frame.index[here], dtype=object), part=np.int32(part))
+            for low in range(0, len(frame), VISITS):
+                some = frame[low : low + VISITS]
+                found = index.nearest(unit_rows(some.embedding))
+                for part in range(parts):
+                    inside = found % parts == part
+                    here = inside.any(axis=1)
+                    if here.any():
+                        cells = [row[mask] for row, mask in zip(found[here], inside[here], strict=True)]
+                        yield some[here].assign(cells=pd.Series(cells, some.index[here], dtype=object), part=np.int32(part))
 
     of_length = vectors.where(F.size("embedding") == index.centres.shape[1])
     kind = of_length.schema["embedding"].dataType.simpleString()
     return of_length.mapInPandas(run, f"node long, owner long, embedding {kind}, cells array<int>, part int")
 
 
-def _meet(k: int, floor: float):
-    def top(one: pd.DataFrame) -> pd.DataFrame:
-        return one.sort_values(["a", "score", "b"], ascending=[True, False, True]).groupby("a").head(k)
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, one list after the other, and the length of each."""
+    whole = column.combine_chunks()
+    return whole.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(whole).to_numpy(zero_copy_only=False)
+
 
-    def near(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        """Of each query its best CANDIDATES x k among the rows of each cell that it visits, without its own owner's and those under the floor; k of them over all cells here."""
-        nothing = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "score": np.zeros(0)})
+def _meet(k: int, floor: float):
+    def best(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each a its k best, equal ones by b, and their places from 0."""
+        order = np.lexsort((b, -score, a))
+        a, b, score = a[order], b[order], score[order]
+        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+        place = np.arange(len(a)) - np.repeat(starts, np.diff(np.r_[starts, len(a)]))
+        kept = place < k
+        return a[kept], b[kept], score[kept], place[kept]
+
+    def near(q: pa.Table, r: pa.Table) -> pa.Table:
+        """Of each query its best CANDIDATES x k among the rows of each cell that it visits, without its own owner's and those under the floor; k of them over all cells here.
+
+        Strips of queries are done one after the other, each with pieces of the
+        cells' rows, so beside the vectors and the result no more than one
+        strip's scores are held. The result comes in a batch a strip, as the
+        other side holds a batch whole.
+        """
+        schema = pa.schema({"a": pa.int64(), "b": pa.int64(), "score": pa.float64()})
+        q = q.filter(pc.is_valid(q["node"]))
         if not len(q) or not len(r):
-            return nothing
-        r = r.sort_values("node")
-        y, there, owners, cell = unit_rows(r.embedding), r.node.to_numpy(), r.owner.to_numpy(), np.concatenate(r.cells.to_numpy())
-        x, here, mine = unit_rows(q.embedding), q.node.to_numpy(), q.owner.to_numpy()
-        visited = np.concatenate(q.cells.to_numpy())
-        visitor = np.repeat(np.arange(len(q)), [len(c) for c in q.cells])
-        order, homes = np.argsort(visited, kind="stable"), np.argsort(cell, kind="stable")
-        found, held = [], 0
-        for name in np.unique(cell):
-            rows = homes[slice(*np.searchsorted(cell[homes], (name, name + 1)))]
-            asking = visitor[order[slice(*np.searchsorted(visited[order], (name, name + 1)))]]
-            most = min(CANDIDATES * k, len(rows))
-            strip = max(1, min(STRIP, HELD // 2 // len(rows)))
-            for low in range(0, len(asking), strip):
-                some = asking[low : low + strip]
-                scores = np.clip(x[some] @ y[rows].T, -1, 1)
-                scores[mine[some, None] == owners[None, rows]] = -2
-                if most < len(rows):  # else all of them are candidates
-                    crowded = (scores > floor).sum(axis=1) > most
-                    least = np.full(len(some), -np.inf)
-                    least[crowded] = np.partition(scores[crowded], -most, axis=1)[:, -most]
-                    scores[scores < least[:, None]] = -2
-                i, j = np.nonzero(scores > floor)
-                found.append(pd.DataFrame({"a": here[some[i]], "b": there[rows[j]], "score": scores[i, j]}))
-                held += len(i)
-                if held > HELD:
-                    found, held = [top(pd.concat(found))], 0
-        return top(pd.concat(found)) if found else nothing
+            return schema.empty_table()
+        # Rows lie by cell and id; places among the sorted ids stand for them, null ones last.
+        by_id = pc.sort_indices(r["node"])
+        there, by_id = r["node"].combine_chunks().take(by_id), by_id.to_numpy()
+        cell = _lists(r["cells"])[0][by_id]
+        homes = np.argsort(cell, kind="stable").astype(np.int32)
+        names, edges = np.unique(cell[homes], return_index=True)
+        edges = np.append(edges, len(homes))
+        y, owners = _lists(r["embedding"])[0].reshape(len(r), -1)[by_id[homes]], r["owner"].to_numpy()[by_id[homes]]
+        visited, n_visits = _lists(q["cells"])
+        # Queries of one nearest cell lie together, and of one id.
+        asking = np.lexsort((q["node"].to_numpy(), visited[np.cumsum(n_visits) - n_visits]))
+        line = np.empty(len(q), np.int64)
+        line[asking] = np.arange(len(q))
+        visitor = np.repeat(line, n_visits)
+        order = np.lexsort((visited, visitor // STRIP))
+        visited, visitor = visited[order], visitor[order]
+        x, here, mine = _lists(q["embedding"])[0].reshape(len(q), -1)[asking], q["node"].to_numpy()[asking], q["owner"].to_numpy()[asking]
+        done = []
+        for low in range(0, len(x), STRIP):
+            own, some = units(x[low : low + STRIP]), slice(*np.searchsorted(visitor // STRIP, (low // STRIP, low // STRIP + 1)))
+            ids, who = np.unique(here[low : low + STRIP], return_inverse=True)
+            least = np.full(len(ids), np.nextafter(floor, np.inf))
+            found, held = [], 0
+            for name in np.unique(visited[some]):
+                at = np.searchsorted(names, name)
+                if at == len(names) or names[at] != name:
+                    continue
+                lines = visitor[some][slice(*np.searchsorted(visited[some], (name, name + 1)))] - low
+                for first in range(edges[at], edges[at + 1], PIECE):
+                    rows = slice(first, min(first + PIECE, edges[at + 1]))
+                    scores = own[lines] @ units(y[rows]).T
+                    np.clip(scores, -1, 1, out=scores)
+                    scores[mine[low + lines, None] == owners[None, rows]] = -np.inf
+                    hits = scores >= least[who[lines], None]
+                    crowded = np.flatnonzero(hits.sum(axis=1) > CANDIDATES * k)
+                    if len(crowded):
+                        s, most = np.where(hits[crowded], scores[crowded], -np.inf), CANDIDATES * k
+                        edge = np.partition(s, -most, axis=1)[:, [-most]]
+                        above, equal = s > edge, s == edge
+                        hits[crowded] = above | equal & (equal.cumsum(axis=1) <= most - above.sum(axis=1, keepdims=True))
+                    i, j = np.nonzero(hits)
+                    found.append((who[lines[i]], homes[rows][j], scores[i, j]))
+                    held += len(i)
+                    if held > HELD:
+                        a, b, score, place = best(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                        least[a[place == k - 1]] = score[place == k - 1]
+                        found, held = [(a, b, score)], 0
+            if found:
+                a, b, score, _ = best(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                done.append(pa.record_batch([pa.array(ids[a]), there.take(pa.array(b)), pa.array(score)], schema=schema))
+        return pa.Table.from_batches(done, schema)
 
     return near
 
@@ -185,7 +242,7 @@ def probed(queries: DataFrame, rows: DataFrame, k: int, floor: float, work: Work
     own, all_of = F.pmod(F.xxhash64("node", F.lit("slice")), slices).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice")
     columns, keys = ["node", "owner", "embedding", "cells", "part"], ["part", "slice", "block"]
     sides = [df.select(*columns, a).select("*", b) for df, a, b in ((visits, block, all_of), (held, own, every))]
-    pairs = sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInPandas(_meet(k, floor), "a long, b long, score double")
+    pairs = sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInArrow(_meet(k, floor), "a long, b long, score double")
     best = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     return pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 

@@ -1,6 +1,9 @@
 """The index of approximate neighbours against the exact graph and search."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +103,76 @@ def test_a_query_is_sent_once_to_a_part_with_all_its_cells(spark):
     assert nearest._placed(rows, index, 2, True).count() == 60
 
 
+def group(nodes, owners, vectors, cells):
+    return pa.table({"node": pa.array(nodes, pa.int64()), "owner": pa.array(owners, pa.int64()), "embedding": pa.array(list(vectors), pa.list_(pa.float32())), "cells": pa.array(cells, pa.list_(pa.int32()))})
+
+
+def test_a_group_equals_brute_force(monkeypatch):
+    rng = np.random.default_rng(8)
+    y = np.repeat(rng.normal(size=(60, 4)), 3, axis=0).round(1)  # every vector three times
+    nodes, owners = [*rng.permutation(170).tolist(), *[None] * 4, *[5] * 6], rng.integers(0, 40, 180).tolist()
+    home = rng.integers(0, 9, 180)
+    x, asked = y[::5], [2**60 + n // 2 for n in range(36)]  # every query id twice
+    asked[7], visits = None, [rng.permutation(12)[: 1 + n % 5].tolist() for n in range(36)]
+    mine = rng.integers(0, 40, 36).tolist()
+    units = [v / np.linalg.norm(v.astype(np.float32).astype(float), axis=1, keepdims=True) for v in (x, y)]
+    scores = np.clip(units[0].astype(float) @ units[1].T, -1, 1)
+    want = {}
+    for i, a in enumerate(asked):
+        if a is not None:
+            want.setdefault(a, []).extend(round(float(scores[i, j]), 5) for j in range(180) if home[j] in visits[i] and owners[j] != mine[i] and scores[i, j] > 0.21)
+    monkeypatch.setattr(nearest, "STRIP", 7)
+    monkeypatch.setattr(nearest, "PIECE", 5)
+    monkeypatch.setattr(nearest, "HELD", 20)
+    q, r = group(asked, mine, x, visits), group(nodes, owners, y, [[c] for c in home])
+    for k in (1, 6, 500):
+        found = {}
+        for row in nearest._meet(k, 0.21)(q, r).to_pylist():
+            found.setdefault(row["a"], []).append(row)
+        for a, scored in want.items():
+            got = sorted((round(row["score"], 5) for row in found.get(a, [])), reverse=True)
+            assert np.allclose(got[:k], sorted(scored, reverse=True)[:k], atol=2e-5), (k, a)
+        assert None not in found and (k < 500 or any(row["b"] is None for rows in found.values() for row in rows))
+    assert nearest._meet(3, 0.2)(q.slice(0, 0), r).num_rows == nearest._meet(3, 0.2)(q, r.slice(0, 0)).num_rows == 0
+
+
+def test_equal_scores_go_by_id_in_pieces_of_a_cell(monkeypatch):
+    monkeypatch.setattr(nearest, "PIECE", 10)
+    nodes = np.random.default_rng(1).permutation(100)
+    r = group(nodes, nodes, np.tile([3.0, 4.0], (100, 1)), [[int(n % 3)] for n in nodes])
+    found = nearest._meet(2, 0.5)(group([-1, -2], [-1, 0], [[6.0, 8.0]] * 2, [[2, 0, 1], [0, 2]]), r).to_pylist()
+    assert sorted((row["a"], row["b"]) for row in found) == [(-2, 2), (-2, 3), (-1, 0), (-1, 1)]
+
+
+def test_a_repeated_query_gets_no_more_rows():
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    r = group(range(300), range(300), x, [[0]] * 300)
+    found = nearest._meet(5, -1.0)(group([7] * 200, [7] * 200, [x[7]] * 200, [[0]] * 200), r).to_pylist()
+    best = int((x @ x[7] / np.linalg.norm(x, axis=1) - 1e9 * (np.arange(300) == 7)).argmax())
+    assert [(row["a"], row["b"]) for row in found] == [(7, best)] * 5
+
+
+def test_a_group_holds_little_beside_its_result():
+    rng = np.random.default_rng(2)
+    x, ids = rng.normal(size=(4000, 16)), np.arange(4000)
+    q, r = group(ids, ids, x, [[0, 1, 2, 3]] * 4000), group(ids, ids, x, [[int(n % 4)] for n in ids])
+    tracemalloc.start()
+    found = nearest._meet(200, -1.0)(q, r)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 800_000 and max(b.num_rows for b in found.to_batches()) <= nearest.STRIP * 200
+    assert peak < 80e6  # a copy of the pairs sorted at once takes more
+
+
+def test_a_part_without_queries_is_empty(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "CELL", 20)
+    monkeypatch.setattr(nearest, "BLOCK", 15)
+    rows = spark.createDataFrame(grouped_vectors(8, 20, 24, 31, 0.05), SCHEMA)
+    found = nearest.probed(rows.where("node = 3"), rows, 5, 0.5, Workspace(spark, "few"))
+    assert sorted(r.a for r in found.collect()) == [3] * 5
+    assert nearest.probed(rows.where("node < 0"), rows, 5, 0.5, Workspace(spark, "nobody")).count() == 0
+
+
 def test_cities_at_one_place_are_one_home(spark, monkeypatch):
     from mediaspan.operators import metadata
 
